@@ -90,20 +90,27 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: sum of (byte + 1) * BASE**-position, moved to the span's start and mixed.
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, page: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each of the ascending, disjoint spans: its bytes weighted by powers of BASE from the span's start, mixed.
 
-    Prefix sums of weighted bytes make every span cost the same, however long it is.
+    Prefix sums of weighted bytes make every span cost the same, however long it is; about a page of bytes is summed at a time.
     """
-    n = len(data)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n), out=sums[1:])
-        inverse = powers(n + 1, pow(BASE, -1, 1 << 64))
-        out = (sums[stops] - sums[starts]) * inverse[starts]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(MIX)
-        out ^= out >> np.uint64(32)
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        begin = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(stops, begin + page, side="right")))
+        part = data[begin : stops[hi - 1]]
+        first, last = starts[lo:hi] - begin, stops[lo:hi] - begin
+        sums = np.zeros(len(part) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part)), out=sums[1:])
+            h = (sums[last] - sums[first]) * powers(len(part) + 1, pow(BASE, -1, 1 << 64))[first]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(MIX)
+            h ^= h >> np.uint64(32)
+        out[lo:hi] = h
+        lo = hi
     return out
 
 

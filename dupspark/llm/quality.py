@@ -100,7 +100,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float =
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, most_bytes: int = 24 << 20) -> tuple[list[bytes], list[int]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, most_bytes: int = 12 << 20) -> tuple[list[bytes], list[int]]:
     """A bounded sample of labelled texts outside the held-out fold: at most per_label a class, by a hash of doc_id.
 
     Of several labels of a document the largest counts; null labels and null ids are left out. The chosen ids are few,

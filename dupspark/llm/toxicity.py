@@ -84,7 +84,7 @@ class Network:
         w = np.exp(s - s.max(axis=0))
         w *= live
         w /= np.maximum(w.sum(axis=0), 1e-20)
-        pooled = (w[:, :, None] * h).sum(axis=0)
+        pooled = np.einsum("tn,tnk->nk", w, h)
         return pooled @ self.p["o"] + self.p["b"][0], (live, kf, kb, h, a, w, pooled)
 
     def backward(self, x, slots, cache, d_logit) -> tuple[dict, np.ndarray]:
@@ -129,7 +129,7 @@ class Network:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The largest window probability of each row, over all overlapping windows of the whole text."""
         x, slots, row, _ = self.windows(data, offsets)
-        z = np.concatenate([self.forward(x, slots[:, at : at + 4096])[0] for at in range(0, len(row), 4096)]) if len(row) else np.zeros(0)
+        z = np.concatenate([self.forward(x, slots[:, at : at + 2048])[0] for at in range(0, len(row), 2048)]) if len(row) else np.zeros(0)
         best = np.maximum.reduceat(z, np.flatnonzero(np.r_[True, row[1:] != row[:-1]])) if len(row) else z
         return sigmoid(np.clip(best.astype(np.float64), -50, 50))
 
@@ -173,7 +173,7 @@ def contrast(parts, marks: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) > 3.5, np.log((yes + 0.5) / (n1 + 1)) - np.log((no + 0.5) / (n0 + 1)), 0).clip(-4, 4).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[int], steps: int = 300, most_windows: int = 48, seed: int = 13) -> Network:
+def train(texts: list[bytes], labels: list[int], steps: int = 300, most_windows: int = 32, seed: int = 13) -> Network:
     """Texts have labels, windows don't: each round the likeliest window of every text takes the text's label (Adam).
 
     A text of more than most_windows windows trains on an even spread of them. Word and gram vectors start with the
@@ -207,7 +207,8 @@ def train(texts: list[bytes], labels: list[int], steps: int = 300, most_windows:
     nth = np.arange(len(row)) - np.searchsorted(row, row)
     each = np.bincount(row, minlength=len(texts))[row]
     pick = (each <= most_windows) | ((nth * most_windows) % np.maximum(each, 1) < most_windows)
-    slots, row = slots[:, pick], row[pick]
+    slots, row = slots[:, pick].astype(np.int32), row[pick]
+    del hashes, rows, nth, each, pick
     m, v, t = {k: np.zeros_like(q) for k, q in p.items()}, {k: np.zeros_like(q) for k, q in p.items()}, 0
     firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     batches = max(1, len(firsts) // 128)
@@ -215,7 +216,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = 300, most_windows:
     weight = np.sqrt(len(y) / 2 / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum())))
     for n in range(rounds):
         x[:-1] = np.concatenate([p["word"][word_at], gram_means(p["char"], found, count)], axis=1)
-        z = np.concatenate([net.forward(x, slots[:, at : at + 8192])[0] for at in range(0, len(row), 8192)])
+        z = np.concatenate([net.forward(x, slots[:, at : at + 2048])[0] for at in range(0, len(row), 2048)])
         best = np.lexsort((-z, row))[firsts]
         for part in np.array_split(rng.permutation(best), batches):
             used, inner = np.unique(slots[:, part], return_inverse=True)
