@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dupspark.llm import exact_dedup, language_id
+from dupspark.llm import bpe, exact_dedup, language_id, mixing, simhash
 from dupspark.llm.common import written
 
+#: The vocabulary file is a parameter of the encoder; this is the one the pipeline uses.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; the others go."""
@@ -18,14 +22,35 @@ def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("language ID", known_language), ("exact dedup", one_of_equal_texts)]
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group, the document with the smallest id."""
+    return simhash.keep_one_of_near_copies(docs)
+
+
+def mix_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts of the blocks that the mix takes, a row for each document and turn."""
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of every row."""
+    return bpe.digests(docs, bpe.read_ranks(public_tokenizers.path(RANKS)))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", one_of_equal_texts),
+    ("SimHash near-dedup", one_of_near_copies),
+    ("mixing sources", mix_of_sources),
+    ("byte-level BPE", encoded),
+]
 
-#: SQL can express neither the trained language net nor the random mix.
+#: SQL can express neither the trained language net nor the random mix; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; each result is written to the shared folder and read again."""
+    """All stages in order over documents; each result but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

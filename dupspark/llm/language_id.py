@@ -161,7 +161,7 @@ def language_of(docs: DataFrame) -> DataFrame:
     return predict(rows, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """docs without the rows whose language stays undetermined: 'und', or a score below least. All columns stay.
 
     The least score is one that a text of any learned language passes; a label of docs that is wrong is no reason to drop.
