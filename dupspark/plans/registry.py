@@ -1,11 +1,354 @@
-"""All queries of the library outside the optional subpackage."""
+"""All queries of the library outside the optional subpackage, each beside SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .. import catalog
+from ..functions.hashing import iso_utc, xxh128
+from ..functions.sizes import human_size, parsed_size
+from ..functions.vectors import level
+from ..operators import exact, filters, ordered, rules, similar
+from . import report
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: The catalogue of documents, as SQL sees it.
+FILES = "files AS (SELECT doc_id AS id, source || '/' || lang || '/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, text AS content, source, lang FROM documents)"
+SETS = f"{FILES}, keyed AS (SELECT *, md5(content) AS h, count(*) OVER (PARTITION BY strlen(content), md5(content)) AS n FROM files)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.with_hash(catalog.documents(spark, sf_dir))
+
+
+@query(f"WITH {SETS} SELECT size, h, count(*) AS n, min(path) AS first_path FROM keyed WHERE n > 1 GROUP BY size, h")
+def exact_groups(spark, sf_dir):
+    return exact.groups(hashed(spark, sf_dir))
+
+
+@query(f"WITH {SETS} SELECT size, h, count(*) AS n, min(path) AS first_path FROM keyed WHERE n > 1 GROUP BY size, h, content")
+def exact_groups_verified(spark, sf_dir):
+    return exact.groups(hashed(spark, sf_dir), verify=True)
+
+
+@query(f"WITH {SETS} SELECT size, h, id, path, n, CAST(row_number() OVER (PARTITION BY size, h ORDER BY path) AS INTEGER) AS rank FROM keyed WHERE n > 1")
+def exact_members(spark, sf_dir):
+    return exact.members(hashed(spark, sf_dir)).select("size", "h", "id", "path", "n", "rank")
+
+
+@query(f"WITH {SETS} SELECT size, h, id, path, n, starts_with(path, 'src1') AS prioritized, CAST(row_number() OVER (PARTITION BY size, h ORDER BY starts_with(path, 'src1') DESC, path) AS INTEGER) AS rank FROM keyed WHERE n > 1")
+def exact_members_priority(spark, sf_dir):
+    files = hashed(spark, sf_dir).withColumn("prioritized", filters.prioritized(F.col("path"), "src1"))
+    return exact.members(files).select("size", "h", "id", "path", "n", "prioritized", "rank")
+
+
+@query(f"WITH {SETS} SELECT id, path, starts_with(lower(path), lower('SRC2')) AS prioritized FROM keyed")
+def priority_flag(spark, sf_dir):
+    return catalog.documents(spark, sf_dir).select("id", "path", filters.prioritized(F.col("path"), "SRC2", ignore_case=True).alias("prioritized"))
+
+
+@query(f"WITH {FILES} SELECT size, count(*) AS n FROM files GROUP BY size")
+def size_histogram(spark, sf_dir):
+    return exact.size_histogram(catalog.documents(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT id, path, size FROM files WHERE size IN (SELECT size FROM files GROUP BY size HAVING count(*) > 1)")
+def size_candidates(spark, sf_dir):
+    return exact.size_candidates(catalog.documents(spark, sf_dir)).select("id", "path", "size")
+
+
+@query(f"WITH {FILES} SELECT id, path, size FROM files WHERE size IN (SELECT size FROM files GROUP BY size HAVING count(*) = 1)")
+def singletons(spark, sf_dir):
+    return exact.singletons(catalog.documents(spark, sf_dir)).select("id", "path", "size")
+
+
+@query(f"WITH {FILES}, c AS (SELECT size FROM files GROUP BY size HAVING count(*) > 1) SELECT count(*) AS to_hash, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS comparisons FROM files WHERE size IN (SELECT size FROM c)")
+def work_totals(spark, sf_dir):
+    n = F.count("*")
+    return exact.size_candidates(catalog.documents(spark, sf_dir)).agg(n.alias("to_hash"), F.floor(n * (n - 1) / 2).alias("comparisons"))
+
+
+@query(f"WITH {FILES} SELECT id, path, size FROM files WHERE size BETWEEN 2048 AND 8192")
+def size_range(spark, sf_dir):
+    return catalog.documents(spark, sf_dir).where(filters.size_between(F.col("size"), 2048, 8192)).select("id", "path", "size")
+
+
+@query("SELECT page_id AS id, url AS path FROM pages WHERE regexp_matches(url, '/[a-m][^/]*$')")
+def path_whitelist(spark, sf_dir):
+    return catalog.pages(spark, sf_dir).where(filters.whitelisted(F.col("path"), "/[a-m][^/]*$")).select("id", "path")
+
+
+@query("SELECT page_id AS id, url AS path FROM pages WHERE NOT regexp_matches(url, '[0-4]$')")
+def path_ignore(spark, sf_dir):
+    return catalog.pages(spark, sf_dir).where(filters.not_ignored(F.col("path"), "[0-4]$")).select("id", "path")
+
+
+@query(f"WITH {FILES} SELECT id, path FROM files WHERE regexp_matches(path, 'SRC1.*/EN/', 'is')")
+def path_icase(spark, sf_dir):
+    return catalog.documents(spark, sf_dir).where(filters.whitelisted(F.col("path"), "SRC1.*/EN/", ignore_case=True)).select("id", "path")
+
+
+@query(f"WITH {FILES} SELECT id, path FROM files WHERE source NOT IN ('src3', 'src7') AND lang <> 'de'")
+def deny_names(spark, sf_dir):
+    return catalog.documents(spark, sf_dir).where(filters.not_denied(F.col("path"), (".", "..", "src3", "src7", "de"))).select("id", "path")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END || source || '/' || doc_id AS path FROM documents WHERE doc_id % 3 <> 0")
+def hidden_filter(spark, sf_dir):
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, ".").otherwise(""), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    return catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path")).where(filters.visible(F.col("path")))
+
+
+RULES = ["src1*/", "!/src12/", "*7.txt", "!important.log", "de/"]
+
+
+@query(rf"""WITH {FILES} SELECT id, path FROM files WHERE NOT (regexp_matches(source, '^src1') AND source <> 'src12') AND lang <> 'de'
+AND NOT regexp_matches(path, '7\.txt$')""")
+def ignore_rules(spark, sf_dir):
+    contexts = [rules.Context("", tuple(rules.parse_rules(RULES)))]
+    return catalog.documents(spark, sf_dir).where(rules.survives(F.col("path"), contexts)).select("id", "path")
+
+
+@query(f"""WITH {FILES} SELECT id, path, CASE WHEN source = 'src5' AND regexp_matches(path, '[02468]\\.txt$') THEN 'WHITELISTED' WHEN regexp_matches(path, '[02468]\\.txt$') THEN 'IGNORED' ELSE 'NONE' END AS verdict FROM files""")
+def ignore_verdicts(spark, sf_dir):
+    contexts = [rules.Context("", tuple(rules.parse_rules(["*[02468].txt"]))), rules.Context("src5", tuple(rules.parse_rules(["!*[02468].txt"])))]
+    return catalog.documents(spark, sf_dir).select("id", "path", rules.verdict(F.col("path"), F.lit(False), contexts).alias("verdict"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN true WHEN c_custkey % 5 = 0 THEN c_custkey % 2 = 0 ELSE c_custkey % 3 = 0 END AS readable FROM customer")
+def permission_check(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = catalog.table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 7 == 0, 1000).otherwise(1).alias("uid"), F.when(k % 5 == 0, 20).otherwise(2).alias("gid"),
+        (F.lit(0o400) + F.when(k % 2 == 0, 0o40).otherwise(0) + F.when(k % 3 == 0, 4).otherwise(0)).cast("int").alias("mode"),
+    )
+    return rows.select("id", filters.permitted(F.col("uid"), F.col("gid"), F.col("mode"), 1000, [20, 30]).alias("readable"))
+
+
+@query(f"WITH {FILES} SELECT a.id AS a, b.id AS b, a.size, md5(a.content) AS h FROM files a JOIN files b ON a.size = b.size AND a.content = b.content AND a.id < b.id")
+def verify_pairs(spark, sf_dir):
+    return exact.verified_pairs(hashed(spark, sf_dir))
+
+
+@query("SELECT CAST(strlen(html) AS BIGINT) AS size, md5(html) AS h, count(*) AS n, min(url) AS first_path FROM pages GROUP BY strlen(html), md5(html) HAVING count(*) > 1")
+def no_duplicates_pages(spark, sf_dir):
+    return exact.groups(exact.with_hash(catalog.pages(spark, sf_dir)))
+
+
+@query(f"WITH {SETS} SELECT size AS size_bytes, h, n, path, CAST(row_number() OVER (PARTITION BY size, h ORDER BY path) AS INTEGER) AS position FROM keyed WHERE n > 1")
+def json_groups(spark, sf_dir):
+    members = exact.members(hashed(spark, sf_dir)).withColumn("mtime", F.lit("2024-01-01").cast("timestamp"))
+    found = report.json_sets(members).withColumnRenamed("hash_xxh128", "h")
+    return found.select("size_bytes", "h", F.size("duplicates").cast("bigint").alias("n"), F.posexplode("duplicates").alias("at", "d")).select("size_bytes", "h", "n", F.col("d.path").alias("path"), (F.col("at") + 1).alias("position"))
+
+
+@query(f"WITH {SETS} SELECT size, h, count(*) AS n, string_agg(path, ';' ORDER BY path) AS shown FROM keyed WHERE n > 1 GROUP BY size, h")
+def text_groups(spark, sf_dir):
+    return report.sets(exact.members(hashed(spark, sf_dir)), ";").select("size", "h", "n", "shown")
+
+
+@query()
+def xxh128_members(spark, sf_dir):
+    """Members of the sets with the report's hash; DuckDB has no XXH3."""
+    members = exact.members(hashed(spark, sf_dir)).select("id", "rank")
+    return catalog.documents(spark, sf_dir).join(members, "id").select("id", "path", "rank", xxh128(F.col("content").cast("binary")).alias("h128"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, CAST(o_orderkey * o_orderkey * 37 AS BIGINT) AS size FROM orders)
+SELECT id, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{:.1f}', size / 1024.0::DOUBLE) || ' KiB' WHEN size < 1073741824 THEN format('{:.1f}', size / 1048576.0::DOUBLE) || ' MiB'
+WHEN size < 1099511627776 THEN format('{:.1f}', size / 1073741824.0::DOUBLE) || ' GiB' ELSE format('{:.1f}', size / 1099511627776.0::DOUBLE) || ' TiB' END AS shown FROM s""")
+def human_sizes(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), (F.col("o_orderkey").cast("bigint") * F.col("o_orderkey") * 37).alias("size"))
+    return rows.select("id", "size", human_size(F.col("size")).alias("shown"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE CAST(floor((p_partkey + 0.5) * CASE p_partkey % 5 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 ELSE 1 END) AS BIGINT) END AS size FROM part""")
+def parsed_sizes(spark, sf_dir):
+    k = F.col("p_partkey")
+    suffix = F.when(k % 5 == 0, "Z").when(k % 5 == 1, "k").when(k % 5 == 2, " M").when(k % 5 == 3, "Gx").otherwise("")
+    return catalog.table(spark, sf_dir, "part").select(k.alias("id"), parsed_size(F.concat(k.cast("string"), F.lit(".5"), suffix)).alias("size"))
+
+
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+def mtime_iso(spark, sf_dir):
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")).cast("timestamp")
+    return catalog.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), iso_utc(stamp).alias("iso"))
+
+
+@query(f"WITH {FILES} SELECT id, path, size FROM files ORDER BY size DESC, id LIMIT 20")
+def largest_files(spark, sf_dir):
+    return exact.top(catalog.documents(spark, sf_dir).select("id", "path", "size"), 20, "size", "id")
+
+
+@query(f"WITH {FILES} SELECT source, id, size, rank FROM (SELECT source, id, size, CAST(row_number() OVER (PARTITION BY source ORDER BY size DESC, id) AS INTEGER) AS rank FROM files) WHERE rank <= 3")
+def topk_per_source(spark, sf_dir):
+    files = catalog.documents(spark, sf_dir).withColumn("source", F.split("path", "/")[0])
+    return exact.top_per(files, "source", 3, [F.desc("size"), F.col("id")]).select("source", "id", "size", "rank")
+
+
+@query(f"WITH {FILES}, d AS (SELECT size, lag(size) OVER (ORDER BY size DESC) AS before FROM (SELECT DISTINCT size FROM files)) SELECT size, before FROM d")
+def size_changes(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    sizes = exact.size_histogram(catalog.documents(spark, sf_dir)).select("size")
+    return sizes.withColumn("before", F.lag("size").over(Window.orderBy(F.desc("size"))))
+
+
+@query("SELECT 'documents' AS root, text AS content FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'benchmark', text FROM benchmark")
+def union_roots(spark, sf_dir):
+    docs = catalog.table(spark, sf_dir, "documents").select(F.lit("documents").alias("root"), F.col("text").alias("content"))
+    other = catalog.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("root"), F.col("text").alias("content"))
+    return docs.unionByName(other).unionByName(other)
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def difference_keys(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "documents").select("doc_id").subtract(catalog.table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT DISTINCT source, lang FROM documents WHERE source IN ('src1', 'src2', 'src3')")
+def set_members(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("source", "lang").distinct()
+
+
+PAIRS = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) / (a.n + b.n) AS d FROM m a JOIN m b ON a.vec_id < b.vec_id)"""
+
+
+def vector_pairs(spark, sf_dir, n):
+    vectors = catalog.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return similar.pairs(vectors, level(n))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, round(d, 6) AS distance FROM p WHERE d < 0.6")
+def similar_pairs_l4(spark, sf_dir):
+    return vector_pairs(spark, sf_dir, 4).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {PAIRS} SELECT a AS pivot, b AS other FROM p WHERE d < 0.6")
+def similar_stars(spark, sf_dir):
+    sizes = catalog.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(1).alias("size"))
+    return similar.stars(vector_pairs(spark, sf_dir, 4), sizes).select("pivot", F.explode("others").alias("other"))
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey = 7")
+def kv_get(spark, sf_dir):
+    return ordered.get(keyed_orders(spark, sf_dir), 7)
+
+
+def keyed_orders(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400")
+def kv_range(spark, sf_dir):
+    return ordered.key_range(keyed_orders(spark, sf_dir), 100, 400)
+
+
+@query("SELECT 'first' AS what, min(o_orderkey) AS k FROM orders UNION ALL SELECT 'last', max(o_orderkey) FROM orders")
+def kv_first_last(spark, sf_dir):
+    rows = keyed_orders(spark, sf_dir).select("k")
+    return ordered.first(rows).select(F.lit("first").alias("what"), "k").unionByName(ordered.last(rows).select(F.lit("last").alias("what"), "k"))
+
+
+@query("SELECT o_custkey AS customer, o_orderkey AS k, lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey) OVER w AS next_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def kv_next_prev(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("k"))
+    return ordered.neighbours(rows, "k", "customer")
+
+
+@query("SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey >= 1001")
+def kv_seek(spark, sf_dir):
+    return ordered.seek(keyed_orders(spark, sf_dir).select("k"), 1001)
+
+
+@query("SELECT q.p AS probe, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= q.p) AS k FROM (SELECT DISTINCT c_custkey * 11 AS p FROM customer) q")
+def kv_seek_many(spark, sf_dir):
+    probes = catalog.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 11).alias("k"))
+    rows = keyed_orders(spark, sf_dir)
+    return ordered.seek_many(rows.select("k"), probes, bucket=F.floor(F.col("k") / 4096))
+
+
+LOG = "log AS (SELECT user_id || ':' || event_type AS k, value AS v, ts, event_id FROM events)"
+
+
+def write_log(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("k"), F.col("value").alias("v"), "ts", "event_id")
+
+
+@query(f"WITH {LOG} SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS n FROM log) WHERE n = 1")
+def kv_upsert(spark, sf_dir):
+    return ordered.latest(write_log(spark, sf_dir), ["k"], ["ts", "event_id"]).select("k", "v")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def kv_delete(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "documents").select("doc_id").join(catalog.table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def kv_delete_missing(spark, sf_dir):
+    even = catalog.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
+    return catalog.table(spark, sf_dir, "labels").select("doc_id").join(even, "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, l.quality AS cached FROM documents d LEFT JOIN labels l USING (doc_id)")
+def cache_lookup(spark, sf_dir):
+    known = catalog.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("cached"))
+    return catalog.table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def cache_sweep(spark, sf_dir):
+    visited = catalog.table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", "source").join(visited, "doc_id", "left_semi")
+
+
+@query("SELECT coalesce(min(user_id), 0) AS oldest FROM events WHERE event_type = 'view' AND user_id > 0")
+def oldest_reader(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "events").where("event_type = 'view' and user_id > 0").agg(F.coalesce(F.min("user_id"), F.lit(0).cast("bigint")).alias("oldest"))
+
+
+@query("SELECT o_custkey AS owner, max(o_orderkey) AS live, count(*) - 1 AS retired FROM orders GROUP BY o_custkey")
+def retained_versions(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.max("o_orderkey").alias("live"), (F.count("*") - 1).alias("retired"))
+
+
+@query("""WITH c AS (SELECT conv_id || CASE WHEN turn IS NULL THEN '' ELSE ':' || turn END AS shown, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS h FROM conversations)
+SELECT size, h, count(*) AS n, min(shown) AS first_shown FROM c GROUP BY size, h""")
+def archive_members(spark, sf_dir):
+    files = exact.with_hash(catalog.conversations(spark, sf_dir)).withColumn("shown", report.shown_path())
+    return files.groupBy("size", "h").agg(F.count("*").alias("n"), F.min("shown").alias("first_shown"))
+
+
+@query(f"WITH {SETS}, s AS (SELECT size, count(*) AS n FROM keyed WHERE n > 1 GROUP BY size, h) SELECT CAST(sum(size * (n - 1)) AS BIGINT) AS bytes, count(*) AS sets FROM s")
+def reclaimable_bytes(spark, sf_dir):
+    return exact.reclaimable(exact.groups(hashed(spark, sf_dir)))
+
+
+@query("SELECT encode(p_name) AS k, p_partkey AS id FROM part WHERE encode(p_name) >= encode('f') AND encode(p_name) < encode('m')")
+def byte_order_range(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "part").select(F.col("p_name").cast("binary").alias("k"), F.col("p_partkey").alias("id"))
+    return rows.where((F.col("k") >= F.lit("f").cast("binary")) & (F.col("k") < F.lit("m").cast("binary")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
