@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def digest(content: Column, kind: str = "md5") -> Column:
@@ -12,7 +12,7 @@ def digest(content: Column, kind: str = "md5") -> Column:
     return F.md5(content) if kind == "md5" else F.sha2(content, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh128(content: pd.Series) -> pd.Series:
     """XXH3-128 of a binary column as 32 hex digits, the high half first; null stays null."""
     import xxhash

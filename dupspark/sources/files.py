@@ -7,6 +7,7 @@ import os
 import stat
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -100,8 +101,6 @@ def scan(spark: SparkSession, roots, recurse: bool = True, follow: bool = False,
 
 def with_content(files: DataFrame) -> DataFrame:
     """files beside content (binary) and error: a file that can't be read has a null content and says why."""
-    import pandas as pd
-
     def read(paths: pd.Series) -> pd.DataFrame:
         out = []
         for p in paths:
@@ -118,8 +117,6 @@ def with_content(files: DataFrame) -> DataFrame:
 
 def with_file_hash(files: DataFrame, kind: str = "md5", chunk: int = 1 << 20) -> DataFrame:
     """files beside h and error, hashed a chunk at a time: contents never travel, and no file has to fit in memory."""
-    import pandas as pd
-
     def run(paths: pd.Series) -> pd.DataFrame:
         import hashlib
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 GRID, MOST_SIDE, CROP, SAME = 9, 5000, 0.05, 2 / 255
 
@@ -33,7 +33,7 @@ def signature(gray: np.ndarray) -> list[float] | None:
     return out.tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def image_signature(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     out = []
     for h, w, c, d in zip(height, width, channels, data, strict=True):
