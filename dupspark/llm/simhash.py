@@ -91,7 +91,7 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS):
     owner = np.full(lanes.shape, -1)
     owner[word, lane] = np.arange(len(fps))
     bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    planes = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
     valid = np.packbits(owner >= 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
     del bits, lanes
     full, width = np.uint64(0xFFFFFFFFFFFFFFFF), max(1, radius.bit_length())
