@@ -11,9 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import byte_blocks, span_hashes, written
+from .common import byte_blocks, extended, span_hashes, written
 
 #: At most so many distinct words are folded in Spark and broadcast, the most frequent ones: some 20 bytes a word, 80 MB
 #: in all. Rarer words, and words longer than LONG bytes, are merged by merged() where they occur.
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
                 ids, first = shared.value.encode_block(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], [*keep, out])
 
-    return docs.withColumn("_b", F.col(text).cast("binary")).mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.withColumn("_b", F.col(text).cast("binary")).mapInArrow(run, extended(docs, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -274,7 +274,7 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
             pieces = [None if x is None else b"".join(map(shared.value.__getitem__, x)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.binary())], [*keep, out])
 
-    return rows.mapInArrow(run, rows.schema.add(out, "binary"))
+    return rows.mapInArrow(run, extended(rows, out, T.BinaryType()))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

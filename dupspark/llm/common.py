@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 
@@ -28,6 +28,11 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """df's schema and one more column; the schema that df keeps stays as it is."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary or string column, and the n + 1 offsets of its rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import bounded_sample, byte_blocks, fold_of
 
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
                 said = [net.labels[k] if ok else "und" for k, ok in zip(best.tolist(), letter, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(said, pa.string()), pa.array(np.where(letter, p.max(axis=1), 0.0))], [*keep, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return out.mapInArrow(score, schema)
 
 

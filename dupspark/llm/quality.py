@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import BASE, MIX, bounded_sample, byte_blocks, fold_of, runs, span_hashes
+from .common import BASE, MIX, bounded_sample, byte_blocks, extended, fold_of, runs, span_hashes
 
 BUCKETS, GRAMS, SIZE = 1 << 17, (3, 4), 8
 _SPACE = np.zeros(256, bool)
@@ -127,7 +127,7 @@ def apply_scores(docs: DataFrame, net, text: str = "text") -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(shared.value.scores(data, offsets))], [*keep, "score"])
 
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(score, docs.schema.add("score", "double"))
+    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(score, extended(docs, "score", T.DoubleType()))
 
 
 def quality_of(docs: DataFrame, labels: DataFrame, per_label: int = 1500, threshold: float = 0.3) -> DataFrame:
