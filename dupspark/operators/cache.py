@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .kv import SnapshotTable
+from .kv import Locked, SnapshotTable
 
 SCHEMA = "path string, mtime timestamp, ctime timestamp, size bigint, h string"
 
@@ -21,8 +21,6 @@ class HashCache:
     @contextmanager
     def opened(self):
         """Holds the cache for this process; a second opening raises until it is closed."""
-        from .kv import Locked
-
         if not self.table.files.create("open.lock", ""):
             raise Locked(self.table.files.root)
         try:

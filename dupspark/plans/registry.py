@@ -11,6 +11,9 @@ from ..functions.hashing import iso_utc, xxh128
 from ..functions.sizes import human_size, parsed_size
 from ..functions.vectors import level
 from ..operators import exact, filters, ordered, rules, similar
+from ..operators.cache import HashCache
+from ..operators.kv import SnapshotTable
+from ..workspace import shared_folder
 from . import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,6 +321,42 @@ def cache_sweep(spark, sf_dir):
     return catalog.table(spark, sf_dir, "documents").select("doc_id", "source").join(visited, "doc_id", "left_semi")
 
 
+@query(f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY k, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM log),
+c AS (SELECT k, max(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END) AS late FROM log GROUP BY k) SELECT k, v FROM r JOIN c USING (k) WHERE n = 1 AND event_id % 2 = late""")
+def snapshot_upsert(spark, sf_dir):
+    """Even events fill a snapshot table, odd ones are upserted in a second version."""
+    table = SnapshotTable(spark, shared_folder(spark), "k string, v double")
+    log = write_log(spark, sf_dir)
+    for part in (0, 1):
+        with table.writer() as batch:
+            batch.upsert(ordered.latest(log.where(F.col("event_id") % 2 == part), ["k"], ["ts", "event_id"]).select("k", "v"))
+    return table.read()
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def snapshot_delete(spark, sf_dir):
+    """Customers fill a snapshot table; those with orders are deleted."""
+    table = SnapshotTable(spark, shared_folder(spark), "k bigint, v double")
+    with table.writer() as batch:
+        batch.insert(catalog.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), F.col("c_acctbal").cast("double").alias("v")))
+    with table.writer() as batch:
+        batch.delete(catalog.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("k")))
+    return table.read()
+
+
+@query(f"WITH {FILES} SELECT path, size, md5(content) AS h FROM files WHERE id IN (SELECT doc_id FROM labels)")
+def cache_rescan(spark, sf_dir):
+    """All documents enter a hash cache; a second scan sees the labelled ones, and the sweep drops the others."""
+    cache = HashCache(spark, shared_folder(spark))
+    files = hashed(spark, sf_dir).select("id", "path", F.lit(0).cast("timestamp").alias("mtime"), F.lit(0).cast("timestamp").alias("ctime"), "size", "h")
+    seen = files.join(catalog.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    with cache.opened():
+        cache.upsert(files)
+        cache.mark(seen)
+        cache.sweep()
+    return cache.fresh(seen.select("path", "mtime", "ctime", "size")).select("path", "size", "h")
+
+
 @query("SELECT coalesce(min(user_id), 0) AS oldest FROM events WHERE event_type = 'view' AND user_id > 0")
 def oldest_reader(spark, sf_dir):
     return catalog.table(spark, sf_dir, "events").where("event_type = 'view' and user_id > 0").agg(F.coalesce(F.min("user_id"), F.lit(0).cast("bigint")).alias("oldest"))
