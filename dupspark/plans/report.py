@@ -24,10 +24,24 @@ def sets(members: DataFrame, separator: str = "\n") -> DataFrame:
     return one.withColumn("human", human_size(F.col("size")))
 
 
-def text_lines(members: DataFrame, separator: str = "\n", show_size: bool = False) -> Iterator[str]:
+#: Terminal codes of a size line, a path, and the end of both.
+SIZE_STYLE, PATH_STYLE, PLAIN = "\x1b[1m\x1b[36m", "\x1b[34m", "\x1b[0m"
+
+
+def text_lines(members: DataFrame, separator: str = "\n", show_size: bool = False, colour: bool = False) -> Iterator[str]:
     """Sets by descending size, each ended by an empty line; read from Spark one partition at a time."""
     for r in sets(members, separator).orderBy(F.desc("size"), "shown").toLocalIterator():
-        yield (f"Size: {r.human}\n" if show_size else "") + r.shown + "\n\n"
+        human, shown = f"Size: {r.human}", r.shown
+        if colour:
+            human, shown = f"{SIZE_STYLE}{human}{PLAIN}", f"{PATH_STYLE}{shown}{PLAIN}"
+        yield (f"{human}\n" if show_size else "") + shown + "\n\n"
+
+
+def dry_run_notes(members: DataFrame) -> DataFrame:
+    """One note for each member of a set but the first; nothing is ever deleted, with or without them."""
+    first = members.where("rank = 1").select("size", "h", shown_path().alias("a"))
+    pairs = members.where("rank > 1").select("size", "h", shown_path().alias("b")).join(first, ["size", "h"])
+    return pairs.select(F.format_string("Dry run: would report %s and %s as duplicates.", "a", "b").alias("note"))
 
 
 def json_sets(members: DataFrame, archives: bool = False) -> DataFrame:

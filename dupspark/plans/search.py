@@ -12,6 +12,15 @@ from ..options import ARCHIVES, Options
 from ..sources import archives, files, images
 from . import report
 
+VERSION = "0.1"
+HELP = """dupspark [options] path ...
+-a hidden files too      -c patterns ignore case   -d sizes before sets      -e REGEX leave out paths   -f follow links
+-h this text             -i A,B leave out names    -I similar images         -J JSON                    -j N workers, 1 to 256
+-m SIZE at least         -M SIZE at most           -n notes only, no change  -o accepted, no effect     -p PATH first in its set
+-r subfolders (default)  -R no subfolders          -s C between entries      -t archive members         -T 1..5 image threshold
+-v skipped files         -V version                -w REGEX these paths only -x SIZE accepted, no effect
+"""
+
 
 def ignore_contexts(spark: SparkSession, o: Options) -> list[rules.Context]:
     """The built-in rules at every root, then each .gitignore below a root, from the top down."""
@@ -60,7 +69,10 @@ def similar_images(spark: SparkSession, o: Options) -> DataFrame:
 
 
 def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> int:
-    """The command line; 0 if the search ran."""
+    """The command line; 0 if the search ran, or help or the version was asked for."""
+    if asked := [a for a in argv if a in ("-h", "--help", "-V", "--version")]:
+        out.write(f"dupspark {VERSION}\n" if asked[0] in ("-V", "--version") else HELP)
+        return 0
     o = Options.parse(argv)
     spark = spark or SparkSession.builder.appName("dupspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if o.images:
@@ -71,8 +83,11 @@ def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
     if o.json:
         out.write(report.json_text(report.json_sets(members, o.archives)) + "\n")
     else:
-        for line in report.text_lines(members, o.separator, o.show_size):
+        for line in report.text_lines(members, o.separator, o.show_size, colour=out.isatty()):
             out.write(line)
+    if o.dry_run:
+        for r in report.dry_run_notes(members).toLocalIterator():
+            sys.stderr.write(r.note + "\n")
     if o.verbose:
         for r in errors.toLocalIterator():
             sys.stderr.write(f"skipping {r.path}: {r.error}\n")

@@ -45,6 +45,17 @@ def test_sizes_recursion_hidden(spark, tree):
     assert first.endswith("f5K_copy")
 
 
+def test_notes_help_and_colour(spark, tree, capsys):
+    from dupspark.plans import report
+
+    run(spark, "-n", "-m", "1K", tree)
+    assert capsys.readouterr().err.count("Dry run: would report") == 2
+    assert "-p PATH" in run(spark, "-h") and run(spark, "-V").startswith("dupspark ")
+    members, _ = search.duplicates(spark, Options.parse(["-m", "1K", str(tree)]))
+    line = next(report.text_lines(members, show_size=True, colour=True))
+    assert line.startswith("\x1b[1m\x1b[36mSize: 5.0 KiB\x1b[0m\n\x1b[34m") and line.endswith("\x1b[0m\n\n")
+
+
 def test_nothing_and_missing(spark, tmp_path):
     write(tmp_path, a=b"1", b=b"22")
     assert run(spark, tmp_path) == ""
