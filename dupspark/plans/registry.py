@@ -90,9 +90,9 @@ def size_range(spark, sf_dir):
     return catalog.documents(spark, sf_dir).where(filters.size_between(F.col("size"), 2048, 8192)).select("id", "path", "size")
 
 
-@query("SELECT page_id AS id, url AS path FROM pages WHERE regexp_matches(url, '/[a-m][^/]*$')")
+@query(r"SELECT page_id AS id, url AS path FROM pages WHERE regexp_matches(url, '\.(com|org)/(en|fr)/[0-9]+$')")
 def path_whitelist(spark, sf_dir):
-    return catalog.pages(spark, sf_dir).where(filters.whitelisted(F.col("path"), "/[a-m][^/]*$")).select("id", "path")
+    return catalog.pages(spark, sf_dir).where(filters.whitelisted(F.col("path"), r"\.(com|org)/(en|fr)/[0-9]+$")).select("id", "path")
 
 
 @query("SELECT page_id AS id, url AS path FROM pages WHERE NOT regexp_matches(url, '[0-4]$')")
@@ -333,14 +333,14 @@ def snapshot_upsert(spark, sf_dir):
     return table.read()
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
 def snapshot_delete(spark, sf_dir):
     """Customers fill a snapshot table; those with orders are deleted."""
     table = SnapshotTable(spark, shared_folder(spark), "k bigint, v double")
     with table.writer() as batch:
         batch.insert(catalog.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), F.col("c_acctbal").cast("double").alias("v")))
     with table.writer() as batch:
-        batch.delete(catalog.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("k")))
+        batch.delete(catalog.table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").cast("bigint").alias("k")))
     return table.read()
 
 
