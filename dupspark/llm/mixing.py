@@ -156,7 +156,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     takes = takes.join(sizes.select("row", "size"), "row")
     got = rows.join(takes, "row")
     pieces = F.regexp_extract_all(F.col(at["text"]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("blocks", lambda b: F.slice(pieces, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))), "")
+    # the pieces are bound once; inside the inner lambda they would be cut anew for each block
+    chosen = F.transform(F.array(pieces), lambda p: F.array_join(F.flatten(F.transform("blocks", lambda b: F.slice(p, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))), ""))
+    part = F.get(chosen, 0)
     text = F.when(F.col("words") == F.col("size"), F.col(at["text"])).otherwise(part)
     out = got.withColumn("_text", text)
     return out.select(*[(F.col("_text") if c == "text" else F.char_length("_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(n)).alias(c) for c, n in at.items()])
