@@ -33,6 +33,15 @@ def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches end after `most` bytes, or one row that is longer: texts may be of any length,
+    and a task holds a few batches at once. A smaller bound of the session's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary or string column, and the n + 1 offsets of its rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):

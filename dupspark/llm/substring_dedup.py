@@ -16,14 +16,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from .common import BASE, MIX, byte_blocks, runs, work_folder, written
+from .common import BASE, MIX, bounded_batches, byte_blocks, runs, work_folder, written
 from .suffix_groups import lay_out, suffix_arrays
 
 WINDOW, GRAM = 50, 24
-#: Bytes of a block of texts, windows of a tile at most (a mask is one long), tiles of one suffix array, table buckets.
-BLOCK, TILE, PART, TABLE = 2 << 20, 32, 64, 48
+#: Bytes of a block of texts, windows of a tile at most (a mask is one long), tiles of one suffix array, table buckets at least.
+BLOCK, TILE, PART, TABLE = 2 << 20, 32, 128, 48
 NONE = (1 << 63) - 1  # stands for a null doc_id: larger than all
 
 
@@ -136,8 +135,13 @@ class Block:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """The texts as a table of blocks (block, ids, ends, data), bucketed by block, so that later joins leave it in place."""
+    """The texts as a table of blocks (block, ids, ends, data), bucketed by block, so that later joins leave it in place.
+
+    With fewer buckets than shuffle partitions Spark would rather shuffle both sides of those joins, texts included.
+    """
     spark = docs.sparkSession
+    bounded_batches(spark)
+    buckets = max(TABLE, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -165,7 +169,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
     table = f"text_blocks_{uuid.uuid4().hex}"
     cuts = rows.mapInArrow(cut, "block long, ids binary, ends binary, data binary")
-    cuts.write.option("path", work_folder(spark)).option("compression", "zstd").bucketBy(TABLE, "block").saveAsTable(table)
+    cuts.write.option("path", work_folder(spark)).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(table)
     return spark.table(table)
 
 
