@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import byte_blocks, extended, span_hashes, written
+from .common import bounded_batches, byte_blocks, extended, span_hashes, written
 
 #: At most so many distinct words are folded in Spark and broadcast, the most frequent ones: some 20 bytes a word, 80 MB
 #: in all. Rarer words, and words longer than LONG bytes, are merged by merged() where they occur.
@@ -114,13 +114,14 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @dataclass
 class RankMap:
-    """Pairs of ids whose joint bytes are a token, as two literal arrays: a pair's entry is at one of two places.
+    """Pairs of ids whose joint bytes are a token, as literal arrays: a pair's key and joint id are at one of two places.
 
-    An entry is left << 34 | right << 17 | joint, 0 is empty. The places are linear hashes modulo a prime.
+    A key is left << 17 | right, -1 where there is none. The places are linear hashes modulo a prime.
     """
 
     byte_ids: list[int]
-    tables: list[np.ndarray]
+    keys: list[np.ndarray]
+    joints: list[np.ndarray]
     primes: tuple[int, int]
 
     FACTORS = ((92821, 486187), (681899, 31337))
@@ -141,60 +142,67 @@ class RankMap:
                 side = 1 - side
             else:
                 raise ValueError("no place for a pair")
-        tables = [np.zeros(p, np.int64) for p in primes]
-        for table, slot in zip(tables, slots, strict=True):
+        keys, joints = [np.full(p, -1, np.int64) for p in primes], [np.zeros(p, np.int32) for p in primes]
+        for key, joint, slot in zip(keys, joints, slots, strict=True):
             for place, (a, b, c) in slot.items():
-                table[place] = a << 34 | b << 17 | c
-        return cls([ranks[bytes([b])] for b in range(256)], tables, primes)
+                key[place], joint[place] = a << 17 | b, c
+        return cls([ranks[bytes([b])] for b in range(256)], keys, joints, primes)
 
     def fold(self, word: str) -> Column:
         """Ids of a binary column's words: one merge a step, of the leftmost pair of lowest rank, until no pair has a rank."""
-        tables = [f"cast(split('{','.join(map(str, t.tolist()))}', ',') as array<bigint>)" for t in self.tables]
-        bytes_ = f"cast(split('{','.join(map(str, self.byte_ids))}', ',') as array<int>)"
+        literal = lambda values, kind: f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
         nibble = "instr('0123456789ABCDEF', substr(hex({w}), {i}, 1)) - 1"
         byte = f"({nibble.format(w=word, i='2 * i + 1')}) * 16 + {nibble.format(w=word, i='2 * i + 2')}"
-        start = f"transform(sequence(0, octet_length({word}) - 1), i -> get({bytes_}, {byte}))"
-        found = []
-        for table, prime, (f, g) in zip(tables, self.primes, self.FACTORS, strict=True):
-            entry = f"get({table}, cast((cast(a as bigint) * {f} + cast(b as bigint) * {g}) % {prime} as int))"
-            found.append(f"element_at(transform(array({entry}), e -> case when shiftright(e, 17) = cast(a as bigint) * 131072 + b then cast(e & 131071 as int) end), 1)")
-        joint = f"zip_with(s.parts, slice(s.parts, 2, size(s.parts)), (a, b) -> case when b is not null then coalesce({found[0]}, {found[1]}) end)"
+        start = f"transform(sequence(0, octet_length({word}) - 1), i -> get({literal(self.byte_ids, 'bigint')}, {byte}))"
+        found = ""
+        for keys, joints, prime, (f, g) in zip(self.keys, self.joints, self.primes, self.FACTORS, strict=True):
+            place = f"cast((a * {f} + b * {g}) % {prime} as int)"
+            found += f" when get({literal(keys.tolist(), 'bigint')}, {place}) = a * 131072 + b then get({literal(joints.tolist(), 'bigint')}, {place})"
+        joint = f"zip_with(s.parts, slice(s.parts, 2, size(s.parts)), (a, b) -> case when b is null then null{found} end)"
         cut = "concat(slice(s.parts, 1, p - 1), array(best), slice(s.parts, p + 2, size(s.parts)))"
         at_best = f"element_at(transform(array(cast(array_position(ranks, best) as int)), p -> named_struct('parts', {cut}, 'live', true)), 1)"
         step = f"element_at(transform(array({joint}), ranks -> element_at(transform(array(array_min(ranks)), best -> case when best is null then named_struct('parts', s.parts, 'live', false) else {at_best} end), 1)), 1)"
-        return F.expr(f"reduce(sequence(1, octet_length({word})), named_struct('parts', {start}, 'live', true), (s, i) -> case when s.live then {step} else s end, s -> s.parts)")
+        return F.expr(f"reduce(sequence(1, octet_length({word})), named_struct('parts', {start}, 'live', true), (s, i) -> case when s.live then {step} else s end, s -> transform(s.parts, x -> cast(x as int)))")
 
 
 @dataclass
 class Encoder:
-    """What tasks need: the rank file's tokens, and the folded words as sorted hashes with their ids."""
+    """What tasks need: the rank file's tokens, and the folded words as sorted hashes, each with its place and length in a pool of ids."""
 
     ranks: dict[bytes, int]
     hashes: np.ndarray
-    first: np.ndarray
-    ids: np.ndarray
+    lead: np.ndarray
+    count: np.ndarray
+    pool: np.ndarray
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and the n + 1 offsets of the rows in them."""
         starts, stops = split_words(data, offsets)
         hashes, sample, at = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        count = np.where(known, self.first[place + 1] - self.first[place], 0) if len(self.hashes) else np.zeros(len(hashes), np.int64)
-        lead = np.where(known, self.first[place], 0) if len(self.hashes) else np.zeros(len(hashes), np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[place] == hashes
+        count, lead = self.count[place].astype(np.int64), self.lead[place].astype(np.int64)
         rare = np.flatnonzero(~known)
         own = [merged(data[starts[k] : stops[k]].tobytes(), self.ranks) for k in sample[rare].tolist()]
         count[rare] = [len(x) for x in own]
-        lead[rare] = len(self.ids) + np.cumsum(count[rare]) - count[rare]
-        pool = np.concatenate([self.ids, np.array([i for x in own for i in x], self.ids.dtype)]) if own else self.ids
+        new = np.zeros(len(hashes), bool)
+        new[rare] = True
+        lead[rare] = np.cumsum(count[rare]) - count[rare]
         many = count[at]
         total = np.concatenate([[0], np.cumsum(many)])
-        out = pool[np.repeat(lead[at] - total[:-1], many) + np.arange(total[-1])]
+        index = np.repeat(lead[at] - total[:-1], many) + np.arange(total[-1])
+        if not len(rare):
+            return self.pool[index], total[np.searchsorted(starts, offsets)]
+        extra = np.array([i for x in own for i in x], np.int64)
+        late = np.repeat(new[at], many)
+        out = np.empty(total[-1], np.int64)
+        out[~late], out[late] = self.pool[index[~late]], extra[index[late]]
         return out, total[np.searchsorted(starts, offsets)]
 
 
 def words_of(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(word binary, n) of the distinct words that are no token themselves, up to LONG bytes."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def distinct(batches):
@@ -222,7 +230,7 @@ def encoder(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> Enco
         if r.words > room:
             break
         room, least = room - r.words, r.n
-    packed = []
+    packed, wide = [], np.uint16 if max(ranks.values()) < 1 << 16 else np.int32
     if least is not None:
         folded = words.where(F.col("n") >= least).select("word", RankMap.of(ranks).fold("word").alias("ids"))
 
@@ -233,21 +241,20 @@ def encoder(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> Enco
                 ends = np.cumsum(lengths)
                 ids = batch.column(1)
                 count = np.asarray(ids.value_lengths())
-                flat = np.asarray(ids.flatten()).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (span_hashes(data, ends - lengths, ends), count.astype(np.int32), flat)], ["h", "c", "i"])
+                flat = np.asarray(ids.flatten()).astype(wide)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (span_hashes(data, ends - lengths, ends), count.astype(np.uint8), flat)], ["h", "c", "i"])
 
         packed = written(folded.mapInArrow(pack, "h binary, c binary, i binary")).collect()
     tokens = list(ranks)
     sizes = np.array([len(t) for t in tokens], np.int64)
     own = span_hashes(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
+    pool = np.concatenate([np.array([ranks[t] for t in tokens], wide), *(np.frombuffer(r.i, wide) for r in packed)])
+    count = np.concatenate([np.ones(len(own), np.uint8), *(np.frombuffer(r.c, np.uint8) for r in packed)])
     hashes = np.concatenate([own, *(np.frombuffer(r.h, np.uint64) for r in packed)])
-    count = np.concatenate([np.ones(len(own), np.int32), *(np.frombuffer(r.c, np.int32) for r in packed)]).astype(np.int64)
-    ids = np.concatenate([np.array([ranks[t] for t in tokens], np.int32), *(np.frombuffer(r.i, np.int32) for r in packed)])
-    order = np.argsort(hashes)
-    lead = np.cumsum(count) - count
-    first = np.concatenate([[0], np.cumsum(count[order])])
-    ids = ids[np.repeat(lead[order] - first[:-1], count[order]) + np.arange(first[-1])]
-    return Encoder(ranks, hashes[order], first.astype(np.int32), ids)
+    del packed
+    lead = np.cumsum(count, dtype=np.int32) - count
+    order = np.argsort(hashes).astype(np.int32)
+    return Encoder(ranks, hashes[order], lead[order], count[order], pool)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids") -> DataFrame:
