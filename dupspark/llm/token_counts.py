@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import work_folder, written
+from .common import bounded_batches, work_folder, written
 
 #: Bytes of a block; a file is read in as many tasks as it has blocks.
 BLOCK = 8 << 20
@@ -64,6 +64,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, pattern: str, se
     A task writes under a name of its own attempt and renames at its end, so a task that runs again leaves the same file.
     Null text is an empty document.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import base64
@@ -102,4 +103,4 @@ def document_token_counts(docs: DataFrame, vocabulary: str, pattern: str, separa
     names = write_tokens(docs, folder, vocabulary, pattern, separator)
     if names.isEmpty():
         return spark.createDataFrame([], "doc_id long, n_tokens long, file string, nth long, first long")
-    return names.join(token_counts(spark, folder, separator), ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth", "first")
+    return names.hint("merge").join(token_counts(spark, folder, separator), ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth", "first")
