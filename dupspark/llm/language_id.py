@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_sample, byte_blocks, fold_of
+from .common import bounded_batches, bounded_sample, byte_blocks, fold_of
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 REACH = max(WIDTHS) - 1
@@ -117,19 +117,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return train([bytes(r.text) for r in rows], [r.label for r in rows])
 
 
-def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
-    """docs beside lang_pred and score: the mean log-probability over all windows of the whole text picks the label.
+def predict(docs: DataFrame, net: ByteNet, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns of docs (all, or those to keep) beside lang_pred and score: the mean log-probability over all windows of the whole text picks the label.
 
     score is the label's probability after softmax of those means. Null texts and texts without a letter get 'und', 0.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    out = docs.withColumn("_bytes", F.col(text).cast("binary")).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    keep = [c for c in out.columns if c not in ("_bytes", "_letter")]
+    keep = docs.columns if keep is None else keep
+    sent = [*keep, *([] if text in keep else [text])]
+    rows = docs.select(*sent, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
     def score(batches):
         net = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in byte_blocks(batch, "_bytes", 1 << 20):
+            for lo, hi, data, offsets in byte_blocks(batch, text, 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 cells, first = padded_windows(data, offsets)
                 sums = np.zeros((hi - lo, len(net.labels)))
@@ -141,12 +143,12 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
                 p = np.exp(means - means.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 best = p.argmax(axis=1)
-                letter = np.asarray(part.column(part.schema.get_field_index("_letter")))
+                letter = np.asarray(part.column(len(sent)))
                 said = [net.labels[k] if ok else "und" for k, ok in zip(best.tolist(), letter, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(said, pa.string()), pa.array(np.where(letter, p.max(axis=1), 0.0))], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.array(said, pa.string()), pa.array(np.where(letter, p.max(axis=1), 0.0))], [*keep, "lang_pred", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return out.mapInArrow(score, schema)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(score, schema)
 
 
 def language_of(docs: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def language_of(docs: DataFrame) -> DataFrame:
     fold = fold_of("doc_id", 4) == 2
     net = fit(docs.where(~fold))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), "text")
-    return predict(rows, net).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows, net, keep=["doc_id", "held_out"])
 
 
 def keep_known_language(docs: DataFrame, least: float = 0.35) -> DataFrame:

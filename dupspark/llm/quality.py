@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import BASE, MIX, bounded_sample, byte_blocks, extended, fold_of, runs, span_hashes
+from .common import BASE, MIX, bounded_batches, bounded_sample, byte_blocks, extended, fold_of, runs, span_hashes
 
 BUCKETS, GRAMS, SIZE = 1 << 17, (3, 4), 8
 _SPACE = np.zeros(256, bool)
@@ -116,18 +116,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mos
     return [bytes(r.b) for r in rows], [r._y for r in rows]
 
 
-def apply_scores(docs: DataFrame, net, text: str = "text") -> DataFrame:
-    """docs beside score; net needs only scores(data, offsets). Null texts count as empty."""
+def apply_scores(docs: DataFrame, net, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns to keep beside score; net needs only scores(data, offsets). Null texts count as empty."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    keep = docs.columns
+    kept = docs.select(*keep)
 
     def score(batches):
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(batch, "_bytes"):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(shared.value.scores(data, offsets))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.array(shared.value.scores(data, offsets))], [*keep, "score"])
 
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(score, extended(docs, "score", T.DoubleType()))
+    return docs.select(*keep, F.col(text).cast("binary").alias("_bytes")).mapInArrow(score, extended(kept, "score", T.DoubleType()))
 
 
 def quality_of(docs: DataFrame, labels: DataFrame, per_label: int = 1500, threshold: float = 0.3) -> DataFrame:
@@ -139,5 +140,5 @@ def quality_of(docs: DataFrame, labels: DataFrame, per_label: int = 1500, thresh
     texts, marks = labelled(docs, labels, "quality", per_label)
     net = train(texts, marks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", 5) == 0).alias("held_out"), "text")
-    got = apply_scores(rows, net)
+    got = apply_scores(rows, net, ["doc_id", "held_out"])
     return got.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

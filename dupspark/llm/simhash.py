@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_blocks, components, local_forest, runs, written
+from .common import bounded_batches, byte_blocks, components, local_forest, runs, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Five parts of the 64 bits: a pair that differs in at most 3 bits agrees on at least two whole parts.
@@ -64,6 +64,7 @@ def row_fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp bigint) of every row; null text counts as empty."""
+    bounded_batches(docs.sparkSession)
 
     def compute(batches):
         for batch in batches:

@@ -248,5 +248,5 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, per_label: int = 2000, thres
     texts, marks = labelled(docs, labels, "toxic", per_label)
     net = train(texts, marks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", 5) == 0).alias("held_out"), "text")
-    got = apply_scores(rows, net)
+    got = apply_scores(rows, net, ["doc_id", "held_out"])
     return got.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
