@@ -207,7 +207,7 @@ def words_of(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def distinct(batches):
         for batch in batches:
-            for _, _, data, offsets in byte_blocks(batch, "b"):
+            for _, _, data, offsets in byte_blocks(batch, "b", 1 << 20):
                 starts, stops = split_words(data, offsets)
                 short = stops - starts <= LONG
                 starts, stops = starts[short], stops[short]
@@ -244,7 +244,8 @@ def encoder(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> Enco
                 flat = np.asarray(ids.flatten()).astype(wide)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (span_hashes(data, ends - lengths, ends), count.astype(np.uint8), flat)], ["h", "c", "i"])
 
-        packed = written(folded.mapInArrow(pack, "h binary, c binary, i binary")).collect()
+        # a partition at a time, so the driver holds the packed arrays and little else
+        packed = list(written(folded.mapInArrow(pack, "h binary, c binary, i binary")).toLocalIterator())
     tokens = list(ranks)
     sizes = np.array([len(t) for t in tokens], np.int64)
     own = span_hashes(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
@@ -263,7 +264,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: st
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in byte_blocks(batch, "_b"):
+            for lo, hi, data, offsets in byte_blocks(batch, "_b", 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, first = shared.value.encode_block(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], [*keep, out])
@@ -301,7 +302,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 names, pieces = [str(i).encode() for i in range(size)], [b""] * size
                 for token, i in shared.value.ranks.items():
                     pieces[i] = token
-            for lo, hi, data, offsets in byte_blocks(batch, "b"):
+            for lo, hi, data, offsets in byte_blocks(batch, "b", 1 << 20):
                 ids, first = shared.value.encode_block(data, offsets)
                 count, sums = np.diff(first), ([], [])
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -52,7 +52,7 @@ def row_fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     total = np.diff(np.r_[first, len(row)])
     ones = np.zeros((len(first), 64), np.int64)
-    step = 1 << 18  # shingles unpacked at a time
+    step = 1 << 16  # shingles unpacked at a time
     for at in range(0, len(h), step):
         part = np.unpackbits(h[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lo, hi = np.searchsorted(first, at, side="right") - 1, np.searchsorted(first, at + len(part))
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def compute(batches):
         for batch in batches:
-            for lo, hi, data, offsets in byte_blocks(batch, "b", 2 << 20):
+            for lo, hi, data, offsets in byte_blocks(batch, "b", 1 << 19):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(row_fingerprints(data, offsets).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b")).mapInArrow(compute, "doc_id long, fp long")
