@@ -273,8 +273,8 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     """(block, tile, mask): the windows of sent tiles that a smaller document has too, bit by bit.
 
     An anchor's tiles stand in suffix arrays of about PART tiles each. Windows that are equal are neighbours there, and
-    all but those of the smallest document are repeats. If an anchor has several arrays, each sends one row for each
-    distinct window to a second comparison, across arrays.
+    all but those of the smallest document are repeats. If an anchor has several arrays, each sends what is left, a row
+    for each window and tile of its smallest document there, to a second comparison, across arrays.
     """
     sizes = texts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PART).select("h", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     dealt = texts.join(sizes, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -309,8 +309,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"block": block[k], "tile": tile[k], "mask": masks[k].view(np.int64), "h": pa.nulls(len(k), pa.int64()), "w": pa.nulls(len(k), pa.int64()), "doc": doc[k]})
         lone = np.flatnonzero(~again & (parts[p] > 1))
         if len(lone):
-            lone = lone[np.unique(group[lone], return_index=True)[1]]
-            yield pa.RecordBatch.from_pydict({"block": block[p[lone]], "tile": tile[p[lone]], "mask": bit[lone].view(np.int64), "h": h[p[lone]], "w": whole[s[lone]].view(np.int64), "doc": doc[p[lone]]})
+            # groups are in order already; a tile that holds a window more than once sends it once, with all its bits
+            lone = lone[np.lexsort((p[lone], group[lone]))]
+            begin = np.flatnonzero(np.r_[True, (group[lone][1:] != group[lone][:-1]) | (p[lone][1:] != p[lone][:-1])])
+            bits, lone = np.bitwise_or.reduceat(bit[lone], begin), lone[begin]
+            yield pa.RecordBatch.from_pydict({"block": block[p[lone]], "tile": tile[p[lone]], "mask": bits.view(np.int64), "h": h[p[lone]], "w": whole[s[lone]].view(np.int64), "doc": doc[p[lone]]})
 
     def compare(batches):
         held, size = [], 0

@@ -199,6 +199,17 @@ def test_cut_repeats(spark, monkeypatch, part):
     assert substring_dedup.cut_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("part", [4, 128])
+def test_cut_repeats_of_windows_that_a_document_repeats(spark, monkeypatch, part):
+    monkeypatch.setattr(substring_dedup, "PART", part)
+    rnd = random.Random(11)
+    passage = words(rnd, 14)
+    # over 2 * PART contexts of one anchor; the passage stands in two tiles of a document, the dashes repeat inside one
+    rows = [(k, f"{rnd.random()} {passage} {rnd.random()} {passage} {rnd.random()}{'-' * 70}{rnd.random()}") for k in range(300)]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows]).repartition(3)
+    assert collected(substring_dedup.cut_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut(rows)
+
+
 def test_suffix_arrays():
     rnd = random.Random(1)
     groups = [[bytes(rnd.choice(b"aab" if rnd.random() < 0.8 else b"abcd") for _ in range(rnd.randint(0, 14))) for _ in range(rnd.randint(1, 5))] for _ in range(400)]
