@@ -120,6 +120,14 @@ class Block:
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.mark[1:] != self.mark[:-1])
         self.first, self.tile = np.flatnonzero(new), np.cumsum(new) - 1
 
+    def names(self, buckets: int) -> np.ndarray:
+        """Names of the distinct shared tiles for other blocks: the hash bucket, and the place among this block's tiles of it."""
+        bucket = (self.anchor[self.first] % np.uint64(buckets)).astype(np.int64)
+        order, n = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+        place = np.empty(len(bucket), np.int64)
+        place[order] = np.arange(len(bucket)) - np.repeat(np.cumsum(n) - n, n)
+        return bucket << 32 | place
+
     def answered(self, replies: list) -> tuple[np.ndarray, np.ndarray]:
         """Per distinct shared tile: whether its suffix array needs its text from here, and the smallest document that has it."""
         send, least = np.zeros(len(self.first), bool), np.zeros(len(self.first), np.int64)
@@ -217,9 +225,11 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, buckets, codes, least): of each block's distinct shared tiles, whether it sends the text, and the smallest document.
+    """(block, bucket, buckets, codes, least, ties): of each block's distinct shared tiles, whether it sends the text, and the smallest document.
 
     A tile's text is needed if its anchor has several distinct tiles; the block with the tile's smallest document sends it.
+    Several blocks have that document if its doc_id is null or repeated: ties lists, for those that don't send, the tile's
+    place here, the block that sends it, and its place there.
     """
 
     def send(batches):
@@ -244,13 +254,32 @@ def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
         group, which = np.cumsum(anchor) - 1, np.cumsum(tile) - 1
         least, send = np.empty(len(h), np.int64), np.empty(len(h), bool)
         least[order] = i[order][tile][which] if len(h) else i
-        send[order] = tile & (np.bincount(group, weights=tile)[group] > 1) if len(h) else tile
+        needed = np.bincount(group, weights=tile)[group] > 1 if len(h) else tile
+        send[order] = tile & needed
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "buckets": buckets, "codes": [packed(send[a:b]) for a, b in parts], "least": [packed(least[a:b]) for a, b in parts]})
+        tied = np.flatnonzero(needed & ~tile & (i[order] == least[order]))
+        here, there = order[tied], order[tile][which[tied]]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ties = np.stack([here - cuts[owner[here]], rows["block"].to_numpy(np.int64)[owner[there]], there - cuts[owner[there]]], axis=1)
+        ties = ties[np.argsort(owner[here], kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[here], minlength=len(sizes)))])
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "buckets": buckets, "codes": [packed(send[a:b]) for a, b in parts], "least": [packed(least[a:b]) for a, b in parts], "ties": [packed(ties[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
     sent = known.mapInArrow(send, "block long, bucket int, h binary, m binary, i binary")
-    return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket int, buckets int, codes binary, least binary")
+    return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket int, buckets int, codes binary, least binary, ties binary")
+
+
+def tied_tiles(found: DataFrame) -> DataFrame:
+    """(from_block, from_tile, to_block, to_tile): which tile's mask holds for which tile of another block. Empty if doc_ids are unique."""
+
+    def unpacked(batches):
+        for r in rows_of(batches):
+            t, bucket = np.frombuffer(r["ties"], np.int64).reshape(-1, 3), r["bucket"] << 32
+            yield pa.RecordBatch.from_pydict({"from_block": t[:, 1], "from_tile": bucket | t[:, 2], "to_block": np.full(len(t), r["block"]), "to_tile": bucket | t[:, 0]})
+
+    replies = found.select("block", F.explode("tiles").alias("r")).select("block", F.col("r.bucket").alias("bucket"), F.col("r.ties").alias("ties"))
+    return replies.where("length(ties) > 0").mapInArrow(unpacked, "from_block long, from_tile long, to_block long, to_tile long")
 
 
 def text_of_tiles(known: DataFrame) -> DataFrame:
@@ -264,7 +293,7 @@ def text_of_tiles(known: DataFrame) -> DataFrame:
             k = np.flatnonzero(need)
             at, text = b.first[k], r["data"]
             texts = [text[s : s + n + WINDOW - 1] for s, n in zip(b.start[at].tolist(), b.count[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"h": b.anchor[at].view(np.int64), "doc": least[k], "block": np.full(len(k), r["block"]), "tile": k, "text": pa.array(texts, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"h": b.anchor[at].view(np.int64), "doc": least[k], "block": np.full(len(k), r["block"]), "tile": b.names(b.buckets(r["tiles"] or []))[k], "text": pa.array(texts, pa.binary())})
 
     return known.mapInArrow(send, "h long, doc long, block long, tile long, text binary")
 
@@ -367,7 +396,10 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     shared = written(by_block(shared_anchors(blocks, buckets), "shared"))
     found = written(by_block(distinct_tiles(beside(blocks, shared), buckets), "tiles"))
     texts = written(text_of_tiles(beside(blocks, shared, found)))
-    masks = by_block(repeated_windows(texts), "masks")
+    repeats = written(repeated_windows(texts))
+    ties = tied_tiles(found).hint("merge")
+    tied = ties.join(repeats, (F.col("from_block") == F.col("block")) & (F.col("from_tile") == F.col("tile"))).select(F.col("to_block").alias("block"), F.col("to_tile").alias("tile"), "mask")
+    masks = by_block(repeats.unionAll(tied), "masks")
 
     def cut(batches):
         for r in rows_of(batches):
@@ -375,8 +407,11 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             b.share(r["shared"] or [])
             _, least = b.answered(r["tiles"] or [])
             mask = np.zeros(len(b.first), np.uint64)
-            for m in r["masks"] or []:
-                mask[m["tile"]] = np.uint64(m["mask"] & 0xFFFFFFFFFFFFFFFF)
+            if r["masks"]:
+                names = b.names(b.buckets(r["tiles"] or []))
+                order = np.argsort(names)
+                at = order[np.searchsorted(names[order], [m["tile"] for m in r["masks"]])]
+                mask[at] = np.array([m["mask"] for m in r["masks"]], np.int64).view(np.uint64)
             late = b.ids[b.row] > least[b.tile]
             bits = np.where(late, np.uint64(0xFFFFFFFFFFFFFFFF), mask[b.tile])
             nth = np.arange(int(b.count.sum())) - np.repeat(np.cumsum(b.count) - b.count, b.count)

@@ -210,6 +210,18 @@ def test_cut_repeats_of_windows_that_a_document_repeats(spark, monkeypatch, part
     assert collected(substring_dedup.cut_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut(rows)
 
 
+def test_cut_repeats_of_null_and_repeated_ids_in_other_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 400)
+    rnd = random.Random(12)
+    passage, other = words(rnd, 14), words(rnd, 14)
+    # rows of one id share whole tiles; a smaller document has their windows inside other tiles
+    rows = [(3, f"{rnd.random()} {passage} {rnd.random()} {other} {rnd.random()}")]
+    rows += [(None, f"{rnd.random()} left {passage} right {rnd.random()}") for _ in range(12)]
+    rows += [(50, f"{rnd.random()} before {other} after {rnd.random()}") for _ in range(12)]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows]).repartition(5)
+    assert collected(substring_dedup.cut_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut(rows)
+
+
 def test_suffix_arrays():
     rnd = random.Random(1)
     groups = [[bytes(rnd.choice(b"aab" if rnd.random() < 0.8 else b"abcd") for _ in range(rnd.randint(0, 14))) for _ in range(rnd.randint(1, 5))] for _ in range(400)]
