@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .common import bounded_batches, byte_blocks, components, local_forest, runs, written
 
@@ -62,16 +61,17 @@ def row_fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, fp bigint) of every row, and the bigint columns also; null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
     def compute(batches):
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(batch, "b", 1 << 19):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(row_fingerprints(data, offsets).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(row_fingerprints(data, offsets).view(np.int64)), *[batch.column(c).slice(lo, hi - lo) for c in also]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b")).mapInArrow(compute, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"), *also).mapInArrow(compute, schema)
 
 
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS):
@@ -179,6 +179,15 @@ def links(unique: DataFrame) -> DataFrame:
     return sorted_cells.mapInArrow(compare, "a long, b long")
 
 
+def near_classes(prints: DataFrame) -> DataFrame:
+    """(fp, class, component_id, group_size) of every fingerprint of prints(doc_id, fp): its group, the group's smallest doc_id and rows."""
+    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    found = components(links(unique))
+    classes = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
+    ids = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.sum("rows").alias("group_size"))
+    return written(classes.select("fp", "class").join(ids, "class").select("fp", "class", "component_id", "group_size"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, group_size for every row of docs(doc_id, text).
 
@@ -187,21 +196,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     is one shingle. Null doc_id is passed over by the minimum. Repeated rows come back as often; an empty table is empty.
     """
     prints = written(fingerprints(docs))
-    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    found = components(links(unique))
-    classes = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
-    ids = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.sum("rows").alias("group_size"))
-    named = written(classes.select("fp", "class").join(ids, "class").select("fp", "component_id", "group_size"))
+    named = near_classes(prints)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
 def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that with the smallest doc_id; all columns stay. Rows with null doc_id are left alone."""
-    kept = written(near_groups(docs.where("doc_id is not null")).select(F.col("component_id").alias("_kept")).distinct())
+    """docs with one row of each group, that with the smallest doc_id; all columns stay. Rows with null doc_id are left alone.
+
+    Rows that repeat a doc_id are rows of their own groups; of those that tie, the smallest fingerprint and then the first row stays.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    key = names[docs.columns.index("doc_id")]
-    known = rows.join(kept, rows[key].cast("long") == kept["_kept"], "left_semi")
-    once = known.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where("_n = 1").drop("_n")
-    out = once.unionByName(rows.where(F.col(key).isNull()))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    at = dict(zip(docs.columns, names, strict=True))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(n) for c, n in at.items()]))
+    known = F.col(at["doc_id"]).isNotNull()
+    prints = written(fingerprints(rows.where(known).select("_row", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), "_row"))
+    named = near_classes(prints)
+    least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "fp", "_row")).alias("least"))
+    kept = written(least.join(named, "fp").groupBy("class").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row")))
+    out = rows.where(known).join(kept, "_row", "left_semi").unionByName(rows.where(~known))
+    return out.select(*[F.col(n).alias(c) for c, n in at.items()])

@@ -147,6 +147,16 @@ def test_links_find_every_close_pair(spark, monkeypatch, cell):
     assert len({(found.get(s, s), r) for (s,), r in zip(signed, roots, strict=True)}) == len(set(roots)) == len({found.get(s, s) for (s,) in signed})
 
 
+def test_keep_one_of_near_copies_with_repeated_ids(spark):
+    rnd = random.Random(14)
+    one, two, three = (words(rnd, 60) for _ in range(3))
+    # id 1 has two texts of its own; one is also a near copy of the group that id 0 stands for
+    rows = [(1, one, "en", "a"), (1, two, "en", "b"), (0, three, "en", "c"), (1, three, "en", "d"), (2, one, "en", "e"), (3, two, "en", "f")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one_of_near_copies(documents(spark, order).repartition(3))
+        assert collected(kept, "doc_id", "source") == [(0, "c"), (1, "a"), (1, "b")]
+
+
 def test_close_pairs_of_other_radii():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 4).astype(np.uint64)
