@@ -139,16 +139,16 @@ def whole(vector: Column) -> Column:
 def top_k(queries: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries(vec_id, v) against data(vec_id, v), v being array<double> of whole numbers.
 
-    Data fall by a hash of vec_id into shards of about SHARD vectors, queries into blocks of about QUERIES; every block
-    meets every shard in one task, which gives its k best a query, and a window ranks those. Equal vectors share no key,
-    so a common vector loads no task. Only vectors of equal length meet; rows with null id or vector take no part; a
-    query's own id is no candidate of it. Of repeated query ids the smallest vector asks. Scores are exact while they
-    stay below 2**53.
+    Data fall by a hash of vec_id and row number into shards of about SHARD vectors, queries into blocks of about QUERIES;
+    every block meets every shard in one task, which gives its k best a query row, and a window ranks those of a query
+    id. Neither equal vectors nor equal ids share a key, so a common one loads no task. Only vectors of equal length meet; rows with null id or vector take no part; a
+    query's own id is no candidate of it. Every row of a repeated query id asks, and its answers are ranked
+    together. Scores are exact while they stay below 2**53.
     """
-    queries = queries.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = queries.where("vec_id is not null and v is not null")
     data = data.where("vec_id is not null and v is not null")
     shards, blocks = max(1, -(-data.count() // SHARD)), max(1, -(-queries.count() // QUERIES))
-    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     left = queries.withColumn("block", place(blocks, 1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("dim", F.size("v"))
     right = data.withColumn("shard", place(shards, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("dim", F.size("v"))
 

@@ -383,6 +383,20 @@ def test_top_k(spark, monkeypatch, shard, queries):
     assert cover_tree.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "SHARD", 64)
+    monkeypatch.setattr(cover_tree, "QUERIES", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in [*range(120), *[50] * 60, 100, 100, 7]] + [(100, [2.0] * 8)] * 2
+    whole = [(i, np.floor(np.array(v, np.float32).astype(np.float64) * 256)) for i, v in rows]
+    want = []
+    for q in (0, 50, 100):
+        pairs = sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:5])]
+    got = cover_tree.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(1).normal(0, 1, (3000, 3)) * np.array([100, 10, 1])
     root, order = cover_tree.cover_tree(x)
