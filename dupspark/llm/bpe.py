@@ -1,4 +1,11 @@
-"""Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of the distinct words; decoding joins binary pieces."""
+"""Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of the distinct words; decoding joins binary pieces.
+
+Words are folded once where they are frequent and once a block where they are rare. A first pass counts in how many
+blocks each distinct word stands; the MOST words that most blocks have are folded and broadcast, so that later blocks
+need not fold them again. The second pass cuts each block into words, folds those that are neither tokens nor broadcast,
+and puts the ids in the words' places. Both go through the same fold, whatever the corpus holds: MOST bounds what the
+driver and a task keep, and a lost task is run again by itself.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +13,20 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches, byte_blocks, extended, span_hashes, written
+from .common import bounded_batches, byte_blocks, byte_column, plain_names, span_hashes, written
 
-#: At most so many distinct words are folded in Spark and broadcast, the most frequent ones: some 20 bytes a word, 80 MB
-#: in all. Rarer words, and words longer than LONG bytes, are merged by merged() where they occur.
-WORDS, LONG = 4_000_000, 48
+#: Bytes of a block of texts and of a page of one text, which is cut where a token ends anyway. A fold costs the square of a
+#: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
+BLOCK, PAGE, LONG = 4 << 20, 1 << 20, 512
+#: Words that are broadcast at most, some 35 bytes each.
+MOST = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -27,7 +36,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(1)
 def char_classes() -> np.ndarray:
     """Class of every code point as the splitting pattern sees it."""
     out = np.zeros(0x110000, np.uint8)
@@ -42,8 +50,56 @@ def char_classes() -> np.ndarray:
     return out
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and stops of the matches of 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ in UTF-8 rows.
+def repaired(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with every byte sequence that is no UTF-8 replaced by U+FFFD, as Python's decoder does; mostly the rows themselves."""
+    text = data.tobytes()
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    try:
+        text.decode("utf-8")
+        if not len(starts) or ((data[starts] & 0xC0) != 0x80).all():
+            return data, offsets
+    except UnicodeDecodeError:
+        pass
+    rows = [text[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+
+
+def pages(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Borders of stretches of some `most` bytes. Each starts where a row does, or at ASCII white space right after another ASCII
+    character: the pattern lets no match cross that place, and what is left of it doesn't bear on what is right of it."""
+    lo = 0
+    while lo < len(data):
+        hi = lo + most
+        while hi < len(data):
+            part = data[hi - 1 : hi + most]
+            blank = (part == 32) | ((part >= 9) & (part <= 13))
+            good = np.flatnonzero(blank[1:] & ~blank[:-1] & (part[:-1] > 32) & (part[:-1] < 127))
+            row = offsets[np.searchsorted(offsets, hi)]
+            best = min(hi + int(good[0]) if len(good) else len(data), int(row))
+            if best < hi + most:
+                hi = best
+                break
+            hi += most
+        hi = min(hi, len(data))
+        yield lo, hi
+        lo = hi
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and stops of the matches of 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ in UTF-8 rows."""
+    found = []
+    for lo, hi in pages(data, offsets, PAGE):
+        rows = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo
+        starts, stops = page_words(data[lo:hi], rows, classes)
+        found.append((starts + lo, stops + lo))
+    if not found:
+        empty = np.zeros(0, np.int64)
+        return empty, empty
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def page_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matches in one page; offsets are the rows' borders in it.
 
     A match is a run of one class; of a run of white space before something else the last character stands alone, or,
     if it is a blank, before what follows. A lone apostrophe that no blank precedes takes a contraction's letters.
@@ -55,9 +111,10 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty
-    kind = char_classes()[chars]
+    kind = classes[chars]
     row_start = np.zeros(n + 1, bool)
-    row_start[np.searchsorted(place, offsets)] = True  # also past the end
+    row_start[np.searchsorted(place, offsets)] = True
+    row_start[n] = True
     begin = np.ones(n + 1, bool)
     begin[1:n] = (kind[1:] != kind[:-1]) | row_start[1:n]
     token = begin.copy()
@@ -114,201 +171,281 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @dataclass
 class RankMap:
-    """Pairs of ids whose joint bytes are a token, as literal arrays: a pair's key and joint id are at one of two places.
+    """Pairs of ids whose joint bytes are a token, as literal arrays: the row of each left id is laid over one array of cells, displaced so that
+    no two rows take one cell. Pair (a, b) has the cell shift[a] + b; it is a pair if owner is a there, and then joint is its id.
 
-    A key is left << 17 | right, -1 where there is none. The places are linear hashes modulo a prime.
+    pairs holds the joint id of each two bytes, -1 for none.
     """
 
     byte_ids: list[int]
-    keys: list[np.ndarray]
-    joints: list[np.ndarray]
-    primes: tuple[int, int]
-
-    FACTORS = ((92821, 486187), (681899, 31337))
+    pairs: np.ndarray
+    shift: np.ndarray
+    owner: np.ndarray
+    joint: np.ndarray
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> RankMap:
-        entries = [(ranks[t[:k]], ranks[t[k:]], c) for t, c in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        primes = tuple(next(p for p in range(lo, 2 * lo) if all(p % d for d in range(2, int(p**0.5) + 1))) for lo in (int(1.3 * len(entries)) + 11, int(1.4 * len(entries)) + 101))
-        slots: list[dict[int, tuple]] = [{}, {}]
-        for entry in entries:
-            side = 0
-            for _ in range(500):
-                f, g = cls.FACTORS[side]
-                place = (entry[0] * f + entry[1] * g) % primes[side]
-                entry, slots[side][place] = slots[side].get(place), entry
-                if entry is None:
-                    break
-                side = 1 - side
-            else:
-                raise ValueError("no place for a pair")
-        keys, joints = [np.full(p, -1, np.int64) for p in primes], [np.zeros(p, np.int32) for p in primes]
-        for key, joint, slot in zip(keys, joints, slots, strict=True):
-            for place, (a, b, c) in slot.items():
-                key[place], joint[place] = a << 17 | b, c
-        return cls([ranks[bytes([b])] for b in range(256)], keys, joints, primes)
-
-    def fold(self, word: str) -> Column:
-        """Ids of a binary column's words: one merge a step, of the leftmost pair of lowest rank, until no pair has a rank."""
-        literal = lambda values, kind: f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
-        nibble = "instr('0123456789ABCDEF', substr(hex({w}), {i}, 1)) - 1"
-        byte = f"({nibble.format(w=word, i='2 * i + 1')}) * 16 + {nibble.format(w=word, i='2 * i + 2')}"
-        start = f"transform(sequence(0, octet_length({word}) - 1), i -> get({literal(self.byte_ids, 'bigint')}, {byte}))"
-        found = ""
-        for keys, joints, prime, (f, g) in zip(self.keys, self.joints, self.primes, self.FACTORS, strict=True):
-            place = f"cast((a * {f} + b * {g}) % {prime} as int)"
-            found += f" when get({literal(keys.tolist(), 'bigint')}, {place}) = a * 131072 + b then get({literal(joints.tolist(), 'bigint')}, {place})"
-        joint = f"zip_with(s.parts, slice(s.parts, 2, size(s.parts)), (a, b) -> case when b is null then null{found} end)"
-        cut = "concat(slice(s.parts, 1, p - 1), array(best), slice(s.parts, p + 2, size(s.parts)))"
-        at_best = f"element_at(transform(array(cast(array_position(ranks, best) as int)), p -> named_struct('parts', {cut}, 'live', true)), 1)"
-        step = f"element_at(transform(array({joint}), ranks -> element_at(transform(array(array_min(ranks)), best -> case when best is null then named_struct('parts', s.parts, 'live', false) else {at_best} end), 1)), 1)"
-        return F.expr(f"reduce(sequence(1, octet_length({word})), named_struct('parts', {start}, 'live', true), (s, i) -> case when s.live then {step} else s end, s -> transform(s.parts, x -> cast(x as int)))")
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for token, c in ranks.items():
+            for k in range(1, len(token)):
+                if token[:k] in ranks and token[k:] in ranks:
+                    rows.setdefault(ranks[token[:k]], []).append((ranks[token[k:]], c))
+        size = max(ranks.values()) + 1
+        cells = 4 * size + 4 * sum(map(len, rows.values())) + (1 << 16)
+        shift, owner, joint, used = np.zeros(size, np.int64), np.full(cells, -1, np.int64), np.zeros(cells, np.int64), np.zeros(cells, bool)
+        low, look = 0, 1 << 14
+        for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+            right, made = np.array(row).T
+            low += int(np.argmin(used[low:]))  # all cells before it are taken
+            at = low - int(right.min())
+            while (taken := np.logical_or.reduce([used[at + r : at + r + look] for r in right.tolist()])).all():
+                at += look
+            at += int(np.argmin(taken))
+            shift[a] = at
+            owner[right + at], joint[right + at], used[right + at] = a, made, True
+        two = np.array([ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)])
+        last = int(np.flatnonzero(used).max(initial=0)) + 1
+        return cls([ranks[bytes([b])] for b in range(256)], two, shift, owner[:last], joint[:last])
+
+    def fold(self, words: str) -> Column:
+        """Ids of each word of an array<binary> column: one merge a step, of the leftmost pair of lowest rank, until no pair has a rank.
+
+        Both ends of a merge get new ranks; the ranks of all other pairs stay as they are.
+        """
+        bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+        literal = lambda values: f"cast(split('{','.join(map(str, values))}', ',') as array<int>)"
+        tables = {"bytes": self.byte_ids, "pairs": self.pairs.tolist(), "shift": self.shift.tolist(), "owner": self.owner.tolist(), "joint": self.joint.tolist()}
+        # get() is null before the first and past the last part, and so is the rank
+        joint = lambda x, y: bound(f"get(m.shift, {x}) + {y}", "cell", f"case when get(m.owner, cell) = {x} then get(m.joint, cell) end")
+        start = "transform(sequence(1, octet_length(w) * 2, 2), i -> (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)"
+        pair = "zip_with(raw, slice(raw, 2, size(raw)), (a, b) -> nullif(get(m.pairs, a * 256 + b), -1))"
+        first = bound("hex(w)", "h", bound(start, "raw", f"named_struct('parts', transform(raw, x -> get(m.bytes, x)), 'ranks', {pair})"))
+        left = f"case when p > 1 then array({joint('get(s.parts, p - 2)', 'best')}) else slice(s.ranks, 1, 0) end"
+        ranks = f"concat(slice(s.ranks, 1, greatest(p - 2, 0)), {left}, array({joint('best', 'get(s.parts, p + 1)')}), slice(s.ranks, p + 2, size(s.ranks)))"
+        merge = f"named_struct('parts', concat(slice(s.parts, 1, p - 1), array(best), slice(s.parts, p + 2, size(s.parts))), 'ranks', {ranks})"
+        step = bound("array_min(s.ranks)", "best", f"case when best is null then s else {bound('cast(array_position(s.ranks, best) as int)', 'p', merge)} end")
+        fold = f"reduce(sequence(1, octet_length(w)), {first}, (s, i) -> {step}, s -> s.parts)"
+        literals = ", ".join(f"'{k}', {literal(v)}" for k, v in tables.items())
+        return F.expr(bound(f"named_struct({literals})", "m", f"transform({words}, w -> {fold})"))
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of one occurrence of each distinct word, each word's number among the distinct ones, and their hashes. Bytes decide, a hash only sorts."""
+    hashes = span_hashes(data, starts, stops)
+    _, sample, at = np.unique(hashes, return_index=True, return_inverse=True)
+    size, other = stops - starts, starts[sample][at]
+    same = bool((size == size[sample][at]).all())
+    for lo in range(0, len(starts) if same else 0, 1 << 17):
+        part = slice(lo, lo + (1 << 17))
+        n = size[part]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = same and bool((data[np.repeat(starts[part], n) + step] == data[np.repeat(other[part], n) + step]).all())
+    if same:
+        return sample, at, hashes[sample]
+    text, seen = data.tobytes(), {}  # two words of one hash
+    at = np.array([seen.setdefault(text[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+    sample = np.unique(at, return_index=True)[1]
+    return sample, at, hashes[sample]
+
+
+def places(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts[k], starts[k] + 1, ... sizes[k] of them, for every k."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 @dataclass
-class Encoder:
-    """What tasks need: the rank file's tokens, and the folded words as sorted hashes, each with its place and length in a pool of ids."""
+class Pool:
+    """Words of at most LONG bytes and their ids, in the order of the words' hashes."""
 
-    ranks: dict[bytes, int]
     hashes: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
     lead: np.ndarray
     count: np.ndarray
-    pool: np.ndarray
+    ids: np.ndarray
 
-    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, and the n + 1 offsets of the rows in them."""
-        starts, stops = split_words(data, offsets)
-        hashes, sample, at = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    @classmethod
+    def of(cls, parts: list[tuple]) -> Pool:
+        """parts: (word sizes, joined words, numbers of ids, joined ids)."""
+        size, text, count, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends, stops = np.cumsum(count, dtype=np.int64), np.cumsum(size, dtype=np.int64)
+        hashes = span_hashes(text, stops - size, stops)
+        order = np.argsort(hashes, kind="stable")
+        return cls(hashes[order], (stops - size)[order].astype(np.int32), size[order], text, (ends - count)[order].astype(np.int32), count[order], ids)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 if it isn't here. Bytes decide."""
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = self.hashes[place] == hashes
-        count, lead = self.count[place].astype(np.int64), self.lead[place].astype(np.int64)
-        rare = np.flatnonzero(~known)
-        own = [merged(data[starts[k] : stops[k]].tobytes(), self.ranks) for k in sample[rare].tolist()]
-        count[rare] = [len(x) for x in own]
-        new = np.zeros(len(hashes), bool)
-        new[rare] = True
-        lead[rare] = np.cumsum(count[rare]) - count[rare]
-        many = count[at]
-        total = np.concatenate([[0], np.cumsum(many)])
-        index = np.repeat(lead[at] - total[:-1], many) + np.arange(total[-1])
-        if not len(rare):
-            return self.pool[index], total[np.searchsorted(starts, offsets)]
-        extra = np.array([i for x in own for i in x], np.int64)
-        late = np.repeat(new[at], many)
-        out = np.empty(total[-1], np.int64)
-        out[~late], out[late] = self.pool[index[~late]], extra[index[late]]
-        return out, total[np.searchsorted(starts, offsets)]
-
-
-def words_of(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word binary, n) of the distinct words that are no token themselves, up to LONG bytes."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+        k = np.flatnonzero((self.hashes[place] == hashes) & (self.size[place] == stops - starts))
+        n = (stops - starts)[k]
+        equal = self.text[places(n, self.start[place[k]].astype(np.int64))] == data[places(n, starts[k])]
+        wrong = np.add.reduceat(~equal, np.cumsum(n) - n) if len(k) else n
+        out = np.full(len(hashes), -1)
+        out[k[wrong == 0]] = place[k[wrong == 0]]
+        return out
+
+
+def block_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, pool: Pool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Starts of a block's words, the number of each, the pool's place of each number (-1: none), and the words without one, in order."""
+    starts, stops = split_words(data, offsets, classes)
+    sample, at, hashes = numbered(data, starts, stops)
+    place = pool.find(data, starts[sample], stops[sample], hashes)
+    new = sample[place < 0]
+    text = data.tobytes()
+    return starts, at, place, [text[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+
+
+def tokens_alone(ranks: dict[bytes, int]) -> tuple:
+    tokens = [t for t in ranks if len(t) <= LONG]
+    return np.array([len(t) for t in tokens], np.uint16), np.frombuffer(b"".join(tokens), np.uint8), np.ones(len(tokens), np.uint16), np.array([ranks[t] for t in tokens], np.int32)
+
+
+def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: RankMap, most: int) -> Pool:
+    """The tokens, and at most `most` of the other words in rows(_b binary): those that several blocks have, of a count that few enough words reach."""
+    tokens = tokens_alone(ranks)
+    shared = rows.sparkSession.sparkContext.broadcast((vars(Pool.of([tokens])), char_classes()))
 
     def distinct(batches):
+        pool, classes = Pool(**shared.value[0]), shared.value[1]
         for batch in batches:
-            for _, _, data, offsets in byte_blocks(batch, "b", 1 << 20):
-                starts, stops = split_words(data, offsets)
-                short = stops - starts <= LONG
-                starts, stops = starts[short], stops[short]
-                _, sample, n = np.unique(span_hashes(data, starts, stops), return_index=True, return_counts=True)
-                text = data.tobytes()
-                words = [text[a:b] for a, b in zip(starts[sample].tolist(), stops[sample].tolist(), strict=True)]
-                new = np.array([w not in shared.value for w in words], bool)
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, ok in zip(words, new.tolist(), strict=True) if ok], pa.binary()), pa.array(n[new].astype(np.int64))], ["word", "n"])
-
-    found = docs.select(F.col("text").cast("binary").alias("b")).mapInArrow(distinct, "word binary, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encoder(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> Encoder:
-    """Folds the distinct words of docs, at most `most` of them: those of a count that few enough words reach."""
-    words = written(words_of(docs, ranks))
-    steps = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(100_000).collect()
+            for _, _, data, offsets in byte_blocks(batch, "_b", BLOCK):
+                words = block_words(*repaired(data, offsets), classes, pool)[3]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w in words if len(w) <= LONG], pa.binary())], ["word"])
+
+    found = written(rows.select("_b").mapInArrow(distinct, "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
     room, least = most, None
-    for r in steps:
+    for r in found.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(100_000).collect():
         if r.words > room:
             break
         room, least = room - r.words, r.n
-    packed, wide = [], np.uint16 if max(ranks.values()) < 1 << 16 else np.int32
+    parts = [tokens]
     if least is not None:
-        folded = words.where(F.col("n") >= least).select("word", RankMap.of(ranks).fold("word").alias("ids"))
 
         def pack(batches):
             for batch in batches:
-                data, offsets = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8), batch.column(0)
-                lengths = np.array([len(w) for w in offsets.to_pylist()], np.int64)
-                ends = np.cumsum(lengths)
-                ids = batch.column(1)
-                count = np.asarray(ids.value_lengths())
-                flat = np.asarray(ids.flatten()).astype(wide)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (span_hashes(data, ends - lengths, ends), count.astype(np.uint8), flat)], ["h", "c", "i"])
-
-        # a partition at a time, so the driver holds the packed arrays and little else
-        packed = list(written(folded.mapInArrow(pack, "h binary, c binary, i binary")).toLocalIterator())
-    tokens = list(ranks)
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    own = span_hashes(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
-    pool = np.concatenate([np.array([ranks[t] for t in tokens], wide), *(np.frombuffer(r.i, wide) for r in packed)])
-    count = np.concatenate([np.ones(len(own), np.uint8), *(np.frombuffer(r.c, np.uint8) for r in packed)])
-    hashes = np.concatenate([own, *(np.frombuffer(r.h, np.uint64) for r in packed)])
-    del packed
-    lead = np.cumsum(count, dtype=np.int32) - count
-    order = np.argsort(hashes).astype(np.int32)
-    return Encoder(ranks, hashes[order], lead[order], count[order], pool)
+                words, ids = batch.column(0).to_pylist(), batch.column(1)
+                columns = np.array([len(w) for w in words], np.uint16), np.frombuffer(b"".join(words), np.uint8), np.asarray(ids.value_lengths()).astype(np.uint16), np.asarray(ids.flatten()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["s", "t", "c", "i"])
 
+        folded = found.where(F.col("n") >= least).select("word", F.get(fold.fold("array(word)"), 0).alias("ids"))
+        for r in written(folded.mapInArrow(pack, "s binary, t binary, c binary, i binary")).toLocalIterator():
+            parts.append((np.frombuffer(r.s, np.uint16), np.frombuffer(r.t, np.uint8), np.frombuffer(r.c, np.uint16), np.frombuffer(r.i, np.int32)))
+    return Pool.of(parts)
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids") -> DataFrame:
-    """docs beside an array<int> column of ids; null text counts as empty."""
-    shared, keep = docs.sparkSession.sparkContext.broadcast(encoder(docs.select(F.col(text).alias("text")), ranks)), docs.columns
 
-    def run(batches):
+def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str], columns: list[T.StructField], finish: Callable) -> DataFrame:
+    """The columns to keep of docs (with names other than _b, _w, _words, _long, _ids) beside what finish makes of the ids.
+
+    finish(ids, first, tokens by id) gives the arrays of `columns` for rows whose ids stand in ids[first[k]:first[k + 1]].
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    fold = RankMap.of(ranks)
+    pool = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), ranks, fold, MOST)
+    shared = spark.sparkContext.broadcast((ranks, vars(pool), char_classes()))
+    del pool
+
+    def cut(batches):
+        pool, classes = Pool(**shared.value[1]), shared.value[2]
         for batch in batches:
-            for lo, hi, data, offsets in byte_blocks(batch, "_b", 1 << 20):
+            for lo, hi, data, offsets in byte_blocks(batch, "_b", BLOCK):
+                data, offsets = repaired(data, offsets)
+                starts, at, place, words = block_words(data, offsets, classes, pool)
+                short = np.array([len(w) <= LONG for w in words], bool)
+                # a number tells where the ids are: the pool's place, or the place in the block's short or long words
+                code = place << 2
+                code[place < 0] = np.where(short, (np.cumsum(short) - 1) << 2 | 1, (np.cumsum(~short) - 1) << 2 | 2)
+                numbers = code.astype(np.int32)[at].tobytes()
+                ends = np.searchsorted(starts, offsets) * 4
+                own = [numbers[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                rest = [None] * (hi - lo - 1)
+                lists = [pa.array([[w for w in words if (len(w) <= LONG) == kind], *rest], pa.list_(pa.binary())) for kind in (True, False)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), pa.array(own, pa.binary()), *lists], [*keep, "_w", "_words", "_long"])
+
+    def placed(batches):
+        ranks, pool = shared.value[0], Pool(**shared.value[1])
+        tokens = [b""] * (max(ranks.values(), default=0) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        found = [(pool.lead, pool.count, pool.ids)]
+        for batch in batches:
+            long, folded = batch.column(len(keep) + 1), batch.column(len(keep) + 2)
+            heads = np.flatnonzero(np.asarray(long.is_valid())).tolist()
+            borders = sorted({0, *heads})
+            for lo, hi in zip(borders, [*borders[1:], batch.num_rows], strict=True):
+                if lo in heads:
+                    ids, own = folded[lo].values, [merged(w, ranks) for w in long[lo].as_py()]
+                    count = np.asarray(ids.value_lengths()).astype(np.int64), np.array([len(x) for x in own], np.int64)
+                    flat = np.asarray(ids.flatten()).astype(np.int32), np.array([i for x in own for i in x], np.int32)
+                    found = [found[0], *((np.cumsum(n) - n, n, x) for n, x in zip(count, flat, strict=True))]
                 part = batch.slice(lo, hi - lo)
-                ids, first = shared.value.encode_block(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], [*keep, out])
+                data, offsets = byte_column(part.column(len(keep)))
+                code = data.view(np.int32)
+                kinds = [np.flatnonzero(code & 3 == k) for k in range(len(found))]
+                many = np.zeros(len(code), np.int64)
+                for mine, (_, count, _) in zip(kinds, found, strict=True):
+                    many[mine] = count[code[mine] >> 2]
+                total = np.concatenate([[0], np.cumsum(many)])
+                out = np.empty(total[-1], np.int32)
+                for mine, (lead, _, flat) in zip(kinds, found, strict=True):
+                    out[places(many[mine], total[mine])] = flat[places(many[mine], lead[code[mine] >> 2].astype(np.int64))]
+                made = finish(out, total[offsets // 4], tokens)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], [*keep, *(c.name for c in columns)])
+
+    kept = docs.select(*keep).schema.fields
+    words = T.ArrayType(T.BinaryType())
+    inner = T.StructType([*kept, T.StructField("_w", T.BinaryType()), T.StructField("_words", words), T.StructField("_long", words)])
+    pieces = docs.select(*keep, F.col(text).cast("binary").alias("_b")).mapInArrow(cut, inner)
+    return pieces.select(*keep, "_w", "_long", fold.fold("_words").alias("_ids")).mapInArrow(placed, T.StructType([*kept, *columns]))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids") -> DataFrame:
+    """docs beside an array<int> column of ids; null text counts as empty, bytes that are no UTF-8 as U+FFFD. A column of that name is replaced."""
+
+    def lists(ids, first, tokens):
+        return [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
-    return docs.withColumn("_b", F.col(text).cast("binary")).mapInArrow(run, extended(docs, out, T.ArrayType(T.IntegerType())))
+    rows, at = plain_names(docs)
+    got = coded(rows, ranks, at[text], list(at.values()), [T.StructField("_ids", T.ArrayType(T.IntegerType()))], lists)
+    return got.select(*[F.col(n).alias(c) for c, n in at.items() if c != out], F.col("_ids").alias(out))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """rows beside the binary pieces of their ids, concatenated; null ids give null, an unknown id is an error."""
-    shared, keep = rows.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()}), rows.columns
+    """rows beside the binary pieces of their ids, concatenated; null ids give null, an unknown id is an error. A column of that name is replaced."""
+    shared = rows.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
+    plain, at = plain_names(rows)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+            lists = batch.column(batch.schema.get_field_index(at[ids])).to_pylist()
             pieces = [None if x is None else b"".join(map(shared.value.__getitem__, x)) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.binary())], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.binary())], [*batch.schema.names, "_bytes"])
 
-    return rows.mapInArrow(run, extended(rows, out, T.BinaryType()))
+    got = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("_bytes", T.BinaryType())]))
+    return got.select(*[F.col(n).alias(c) for c, n in at.items() if c != out], F.col("_bytes").alias(out))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text): ids are encoded, then decoded again.
 
-    Null text counts as empty: no ids, and the digests of nothing. Repeated rows and null ids come back as they are; an
-    empty table is empty; other columns are not read.
+    Null text counts as empty: no ids, and the digests of nothing. Bytes that are no UTF-8 count as U+FFFD. Texts may be
+    of any length that a row may have. Repeated rows and null ids come back as they are; an empty table is empty; other
+    columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(encoder(rows, ranks))
 
-    def run(batches):
-        names = pieces = None
-        for batch in batches:
-            if names is None:
-                size = max(shared.value.ranks.values(), default=0) + 1
-                names, pieces = [str(i).encode() for i in range(size)], [b""] * size
-                for token, i in shared.value.ranks.items():
-                    pieces[i] = token
-            for lo, hi, data, offsets in byte_blocks(batch, "b", 1 << 20):
-                ids, first = shared.value.encode_block(data, offsets)
-                count, sums = np.diff(first), ([], [])
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    own = ids[a:b].tolist()
-                    sums[0].append(hashlib.sha256(b",".join(map(names.__getitem__, own))).hexdigest())
-                    sums[1].append(hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count.astype(np.int64)), pa.array(sums[0], pa.string()), pa.array(sums[1], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.select("doc_id", F.col("text").cast("binary").alias("b")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def sums(ids, first, tokens):
+        found = ([], [])
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            told, whole = hashlib.sha256(), hashlib.sha256()
+            for lo in range(a, b, 1 << 16):
+                own = ids[lo : min(b, lo + (1 << 16))].tolist()
+                told.update((b"," if lo > a else b"") + ",".join(map(str, own)).encode())
+                whole.update(b"".join(map(tokens.__getitem__, own)))
+            found[0].append(told.hexdigest())
+            found[1].append(whole.hexdigest())
+        return [pa.array(np.diff(first)), *(pa.array(x, pa.string()) for x in found)]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    columns = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return coded(rows, ranks, "text", ["doc_id"], columns, sums)

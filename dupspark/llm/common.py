@@ -28,6 +28,12 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns _c0, _c1, ... and the new name of each: names that an operator adds can't clash with them."""
+    at = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]), at
+
+
 def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """df's schema and one more column; the schema that df keeps stays as it is."""
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])

@@ -123,13 +123,13 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text", keep: list[str] |
     score is the label's probability after softmax of those means. Null texts and texts without a letter get 'und', 0.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(net))
     keep = docs.columns if keep is None else keep
     sent = [*keep, *([] if text in keep else [text])]
     rows = docs.select(*sent, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
 
     def score(batches):
-        net = shared.value
+        net = ByteNet(**shared.value)
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(batch, text, 1 << 20):
                 part = batch.slice(lo, hi - lo)

@@ -117,16 +117,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mos
 
 
 def apply_scores(docs: DataFrame, net, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns to keep beside score; net needs only scores(data, offsets). Null texts count as empty."""
+    """The columns to keep beside score; net is a dataclass with scores(data, offsets). Null texts count as empty."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    kind, shared = type(net), docs.sparkSession.sparkContext.broadcast(vars(net))
     kept = docs.select(*keep)
 
     def score(batches):
+        net = kind(**shared.value)
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(batch, "_bytes"):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.array(shared.value.scores(data, offsets))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.array(net.scores(data, offsets))], [*keep, "score"])
 
     return docs.select(*keep, F.col(text).cast("binary").alias("_bytes")).mapInArrow(score, extended(kept, "score", T.DoubleType()))
 

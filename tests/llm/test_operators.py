@@ -253,17 +253,58 @@ def tokenizer():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-@pytest.mark.parametrize("most", [0, 3, 4_000_000])
-def test_bpe(spark, most, monkeypatch):
+def token_digests(rows):
     coder = tokenizer()
-    monkeypatch.setattr(bpe.encoder, "__defaults__", (most,))
-    docs = documents(spark, [*[(i, t, None, None) for i, t in enumerate(odd_texts())], (90, "x" * 5000 + " " + "ab1" * 400, None, None), (91, "don't STOP thinatan\r\n\r\n  zukeitpf 　x", None, None)])
-    want = [(r.doc_id, len(ids := coder.encode_ordinary(r.text or "")), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect()]
-    assert collected(bpe.digests(docs, RANKS), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
-    if most:
-        back = bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()
-        assert all(bytes(r.bytes) == (r.text or "").encode() and r.ids == coder.encode_ordinary(r.text or "") for r in back)
-    assert bpe.digests(empty(spark), RANKS).count() == 0
+    out = []
+    for i, t in rows:
+        ids = coder.encode_ordinary(t or "")
+        out.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most, block, page", [(0, 4 << 20, 1 << 20), (3, 300, 40), (1 << 19, 2000, 1 << 20)])
+def test_bpe(spark, most, block, page, monkeypatch):
+    for name, value in (("MOST", most), ("BLOCK", block), ("PAGE", page), ("LONG", 100)):
+        monkeypatch.setattr(bpe, name, value)
+    docs = documents(spark, [*[(i, t, None, None) for i, t in enumerate(odd_texts())], (90, "x" * 5000 + " " + "ab1" * 400, None, None), (91, "don't STOP thinatan\r\n\r\n  zukeitpf 　x", None, None)] * 2)
+    docs = docs.withColumns({"_b": F.lit("own"), "_w": F.lit(1), "ids": F.lit("old"), "bytes": F.lit("old")})
+    assert collected(bpe.digests(docs, RANKS), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == token_digests([(r.doc_id, r.text) for r in docs.collect()])
+    coder = tokenizer()
+    back = bpe.decode(bpe.encode(docs, RANKS), RANKS)
+    assert sorted(back.columns) == sorted(docs.columns)
+    assert all(bytes(r.bytes) == (r.text or "").encode() and r.ids == coder.encode_ordinary(r.text or "") and (r._b, r._w) == ("own", 1) for r in back.collect())
+    assert bpe.digests(empty(spark), RANKS).count() == 0 and bpe.encode(empty(spark), RANKS).count() == 0
+
+
+def test_bpe_of_very_long_texts_and_bytes_that_are_no_text(spark):
+    rnd = random.Random(8)
+    one = " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 5))) for _ in range(2_500_000))
+    assert len(one.encode()) > 10 << 20
+    rows = [(1, one), (2, "z" * 300_000), (3, "é" * 200_000 + " " * 200_000)]
+    assert collected(bpe.digests(documents(spark, [(i, t, None, None) for i, t in rows]), RANKS), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == token_digests(rows)
+    raw = [(1, b"ok \xff\xfe bad"), (2, b"cut \xc3"), (3, b"\xa9 begins"), (4, "fine é".encode())]
+    odd = spark.createDataFrame(raw, "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    want = token_digests([(i, b.decode("utf-8", "replace")) for i, b in raw])
+    assert collected(bpe.digests(odd, RANKS), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, stops: np.zeros(len(starts), np.uint64))
+    text = b"one two six one two ab"
+    starts, stops = np.array([0, 4, 8, 12, 16, 20]), np.array([3, 7, 11, 15, 19, 22])
+    sample, at, _ = bpe.numbered(np.frombuffer(text, np.uint8), starts, stops)
+    assert [text[starts[sample][k] : stops[sample][k]] for k in at] == [text[a:b] for a, b in zip(starts, stops, strict=True)] and len(sample) == 4
+
+
+def test_rank_map_holds_every_pair():
+    table, seen = bpe.RankMap.of(RANKS), 0
+    for token, joint in list(RANKS.items())[::7]:
+        for k in range(1, len(token)):
+            if token[:k] in RANKS and token[k:] in RANKS:
+                a, b = RANKS[token[:k]], RANKS[token[k:]]
+                assert table.owner[table.shift[a] + b] == a and table.joint[table.shift[a] + b] == joint
+                seen += 1
+    assert seen > 1000
 
 
 def test_split_and_merge_without_spark():
@@ -273,7 +314,7 @@ def test_split_and_merge_without_spark():
     texts = ["".join(rnd.choice("''''sstremvld  \n\t aéZ9½!?.日😀 ") for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
     data = [t.encode() for t in texts]
     buffer = np.frombuffer(b"".join(data), np.uint8)
-    starts, stops = bpe.split_words(buffer, np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    starts, stops = bpe.split_words(buffer, np.concatenate([[0], np.cumsum([len(d) for d in data])]), bpe.char_classes())
     found = [m for t in texts for m in regex.findall(public_tokenizers.PATTERN, t)]
     assert [buffer[a:b].tobytes() for a, b in zip(starts, stops, strict=True)] == [m.encode() for m in found]
     coder = tokenizer()
