@@ -24,9 +24,9 @@ from .common import bounded_batches, byte_blocks, byte_column, plain_names, span
 
 #: Bytes of a block of texts and of a page of one text, which is cut where a token ends anyway. A fold costs the square of a
 #: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
-BLOCK, PAGE, LONG = 4 << 20, 1 << 20, 512
-#: Words that are broadcast at most, some 35 bytes each.
-MOST = 1 << 19
+BLOCK, PAGE, LONG = 2 << 20, 1 << 19, 255
+#: Words that are broadcast at most, some 30 bytes each.
+MOST = 1 << 20
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -253,26 +253,23 @@ def places(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-@dataclass
 class Pool:
-    """Words of at most LONG bytes and their ids, in the order of the words' hashes."""
+    """Words of at most LONG bytes and their ids, in the order of the words' hashes: sizes, joined words, numbers of ids, joined ids."""
 
-    hashes: np.ndarray
-    start: np.ndarray
-    size: np.ndarray
-    text: np.ndarray
-    lead: np.ndarray
-    count: np.ndarray
-    ids: np.ndarray
+    def __init__(self, sizes: np.ndarray, text: np.ndarray, counts: np.ndarray | None = None, ids: np.ndarray | None = None):
+        self.size, self.text, self.start = sizes, text, np.cumsum(sizes, dtype=np.int32) - sizes
+        self.counts, self.ids = counts, ids
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.hashes = span_hashes(text, ends - sizes, ends)
 
     @classmethod
     def of(cls, parts: list[tuple]) -> Pool:
-        """parts: (word sizes, joined words, numbers of ids, joined ids)."""
-        size, text, count, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ends, stops = np.cumsum(count, dtype=np.int64), np.cumsum(size, dtype=np.int64)
-        hashes = span_hashes(text, stops - size, stops)
-        order = np.argsort(hashes, kind="stable")
-        return cls(hashes[order], (stops - size)[order].astype(np.int32), size[order], text, (ends - count)[order].astype(np.int32), count[order], ids)
+        """parts: (sizes, joined words, numbers of ids, joined ids), words in any order."""
+        got = cls(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        order = np.argsort(got.hashes, kind="stable")
+        lead = np.cumsum(got.counts, dtype=np.int64) - got.counts
+        text, ids = (x[places(n[order].astype(np.int64), at[order])] for x, n, at in ((got.text, got.size, got.start.astype(np.int64)), (got.ids, got.counts, lead)))
+        return cls(got.size[order], text, got.counts[order], ids)
 
     def find(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, -1 if it isn't here. Bytes decide."""
@@ -298,16 +295,17 @@ def block_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, pool
 
 def tokens_alone(ranks: dict[bytes, int]) -> tuple:
     tokens = [t for t in ranks if len(t) <= LONG]
-    return np.array([len(t) for t in tokens], np.uint16), np.frombuffer(b"".join(tokens), np.uint8), np.ones(len(tokens), np.uint16), np.array([ranks[t] for t in tokens], np.int32)
+    return np.array([len(t) for t in tokens], np.uint8), np.frombuffer(b"".join(tokens), np.uint8), np.ones(len(tokens), np.uint8), np.array([ranks[t] for t in tokens], np.int32)
 
 
 def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: RankMap, most: int) -> Pool:
     """The tokens, and at most `most` of the other words in rows(_b binary): those that several blocks have, of a count that few enough words reach."""
     tokens = tokens_alone(ranks)
-    shared = rows.sparkSession.sparkContext.broadcast((vars(Pool.of([tokens])), char_classes()))
+    own = Pool.of([tokens])
+    shared = rows.sparkSession.sparkContext.broadcast(((own.size, own.text), char_classes()))
 
     def distinct(batches):
-        pool, classes = Pool(**shared.value[0]), shared.value[1]
+        pool, classes = Pool(*shared.value[0]), shared.value[1]
         for batch in batches:
             for _, _, data, offsets in byte_blocks(batch, "_b", BLOCK):
                 words = block_words(*repaired(data, offsets), classes, pool)[3]
@@ -325,12 +323,12 @@ def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: RankMap, most
         def pack(batches):
             for batch in batches:
                 words, ids = batch.column(0).to_pylist(), batch.column(1)
-                columns = np.array([len(w) for w in words], np.uint16), np.frombuffer(b"".join(words), np.uint8), np.asarray(ids.value_lengths()).astype(np.uint16), np.asarray(ids.flatten()).astype(np.int32)
+                columns = np.array([len(w) for w in words], np.uint8), np.frombuffer(b"".join(words), np.uint8), np.asarray(ids.value_lengths()).astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["s", "t", "c", "i"])
 
         folded = found.where(F.col("n") >= least).select("word", F.get(fold.fold("array(word)"), 0).alias("ids"))
         for r in written(folded.mapInArrow(pack, "s binary, t binary, c binary, i binary")).toLocalIterator():
-            parts.append((np.frombuffer(r.s, np.uint16), np.frombuffer(r.t, np.uint8), np.frombuffer(r.c, np.uint16), np.frombuffer(r.i, np.int32)))
+            parts.append((*(np.frombuffer(x, np.uint8) for x in (r.s, r.t, r.c)), np.frombuffer(r.i, np.int32)))
     return Pool.of(parts)
 
 
@@ -343,11 +341,12 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     bounded_batches(spark)
     fold = RankMap.of(ranks)
     pool = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), ranks, fold, MOST)
-    shared = spark.sparkContext.broadcast((ranks, vars(pool), char_classes()))
+    narrow = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
+    known, answers = (spark.sparkContext.broadcast(x) for x in (((pool.size, pool.text), char_classes()), (ranks, pool.counts, pool.ids.astype(narrow))))
     del pool
 
     def cut(batches):
-        pool, classes = Pool(**shared.value[1]), shared.value[2]
+        pool, classes = Pool(*known.value[0]), known.value[1]
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(batch, "_b", BLOCK):
                 data, offsets = repaired(data, offsets)
@@ -364,11 +363,11 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), pa.array(own, pa.binary()), *lists], [*keep, "_w", "_words", "_long"])
 
     def placed(batches):
-        ranks, pool = shared.value[0], Pool(**shared.value[1])
+        ranks, counts, ids = answers.value
         tokens = [b""] * (max(ranks.values(), default=0) + 1)
         for token, i in ranks.items():
             tokens[i] = token
-        found = [(pool.lead, pool.count, pool.ids)]
+        found = [(np.cumsum(counts, dtype=np.int32) - counts, counts, ids)]
         for batch in batches:
             long, folded = batch.column(len(keep) + 1), batch.column(len(keep) + 2)
             heads = np.flatnonzero(np.asarray(long.is_valid())).tolist()
