@@ -268,8 +268,12 @@ class Pool:
         got = cls(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         order = np.argsort(got.hashes, kind="stable")
         lead = np.cumsum(got.counts, dtype=np.int64) - got.counts
-        text, ids = (x[places(n[order].astype(np.int64), at[order])] for x, n, at in ((got.text, got.size, got.start.astype(np.int64)), (got.ids, got.counts, lead)))
-        return cls(got.size[order], text, got.counts[order], ids)
+        text, ids = ([], [])
+        for lo in range(0, len(order), 1 << 15):  # the places of all bytes at once would take many times their size
+            k = order[lo : lo + (1 << 15)]
+            text.append(got.text[places(got.size[k].astype(np.int64), got.start[k].astype(np.int64))])
+            ids.append(got.ids[places(got.counts[k].astype(np.int64), lead[k])])
+        return cls(got.size[order], np.concatenate(text), got.counts[order], np.concatenate(ids))
 
     def find(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, -1 if it isn't here. Bytes decide."""
@@ -298,8 +302,11 @@ def tokens_alone(ranks: dict[bytes, int]) -> tuple:
     return np.array([len(t) for t in tokens], np.uint8), np.frombuffer(b"".join(tokens), np.uint8), np.ones(len(tokens), np.uint8), np.array([ranks[t] for t in tokens], np.int32)
 
 
-def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: RankMap, most: int) -> Pool:
-    """The tokens, and at most `most` of the other words in rows(_b binary): those that several blocks have, of a count that few enough words reach."""
+def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: Column, most: int) -> Pool:
+    """The tokens, and at most `most` of the other words in rows(_b binary): those that several blocks have, of a count that few enough words reach.
+
+    fold gives the ids of the words in a column _words.
+    """
     tokens = tokens_alone(ranks)
     own = Pool.of([tokens])
     shared = rows.sparkSession.sparkContext.broadcast(((own.size, own.text), char_classes()))
@@ -326,7 +333,7 @@ def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: RankMap, most
                 columns = np.array([len(w) for w in words], np.uint8), np.frombuffer(b"".join(words), np.uint8), np.asarray(ids.value_lengths()).astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["s", "t", "c", "i"])
 
-        folded = found.where(F.col("n") >= least).select("word", F.get(fold.fold("array(word)"), 0).alias("ids"))
+        folded = found.where(F.col("n") >= least).select("word", F.array("word").alias("_words")).select("word", F.get(fold, 0).alias("ids"))
         for r in written(folded.mapInArrow(pack, "s binary, t binary, c binary, i binary")).toLocalIterator():
             parts.append((*(np.frombuffer(x, np.uint8) for x in (r.s, r.t, r.c)), np.frombuffer(r.i, np.int32)))
     return Pool.of(parts)
@@ -339,7 +346,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    fold = RankMap.of(ranks)
+    fold = RankMap.of(ranks).fold("_words")
     pool = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), ranks, fold, MOST)
     narrow = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
     known, answers = (spark.sparkContext.broadcast(x) for x in (((pool.size, pool.text), char_classes()), (ranks, pool.counts, pool.ids.astype(narrow))))
@@ -396,7 +403,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     words = T.ArrayType(T.BinaryType())
     inner = T.StructType([*kept, T.StructField("_w", T.BinaryType()), T.StructField("_words", words), T.StructField("_long", words)])
     pieces = docs.select(*keep, F.col(text).cast("binary").alias("_b")).mapInArrow(cut, inner)
-    return pieces.select(*keep, "_w", "_long", fold.fold("_words").alias("_ids")).mapInArrow(placed, T.StructType([*kept, *columns]))
+    return pieces.select(*keep, "_w", "_long", fold.alias("_ids")).mapInArrow(placed, T.StructType([*kept, *columns]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids") -> DataFrame:
