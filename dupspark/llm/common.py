@@ -110,8 +110,8 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, page: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each of the ascending, disjoint spans: its bytes weighted by powers of BASE from the span's start, mixed.
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, page: int = 1 << 20, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each of the spans, of which both starts and stops ascend: its bytes weighted by powers of base from the span's start, mixed.
 
     Prefix sums of weighted bytes make every span cost the same, however long it is; about a page of bytes is summed at a time.
     """
@@ -124,8 +124,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, page: i
         first, last = starts[lo:hi] - begin, stops[lo:hi] - begin
         sums = np.zeros(len(part) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part)), out=sums[1:])
-            h = (sums[last] - sums[first]) * powers(len(part) + 1, pow(BASE, -1, 1 << 64))[first]
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part), base), out=sums[1:])
+            h = (sums[last] - sums[first]) * powers(len(part) + 1, pow(base, -1, 1 << 64))[first]
             h ^= h >> np.uint64(29)
             h *= np.uint64(MIX)
             h ^= h >> np.uint64(32)

@@ -1,9 +1,10 @@
 """Removal of repeated 50-byte passages by suffix arrays.
 
 Windows of 50 bytes that are equal have the same smallest 24-byte gram, so a text falls into tiles: runs of windows
-with one smallest gram, the tile's anchor. Three passes over a bucketed table of text blocks find, by hash, the anchors
-that several documents have, then the distinct tiles of those, and send each distinct tile once to a suffix array of
-its anchor's tiles (suffix_groups), where equal windows are neighbours. A last pass cuts the bytes.
+with one smallest gram, the tile's anchor. The texts become a bucketed table of blocks beside their tiles. One pass over it
+finds the anchors that several documents have, a second the distinct tiles of those, told apart by 128 bits; a third
+sends each distinct tile once to a suffix array of its anchor's tiles (suffix_groups), where equal windows are
+neighbours and their bytes are compared. A last pass cuts the bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, MIX, bounded_batches, byte_blocks, runs, work_folder, written
+from .common import BASE, MIX, bounded_batches, byte_blocks, runs, span_hashes, work_folder, written
 from .suffix_groups import lay_out, suffix_arrays
 
 WINDOW, GRAM = 50, 24
@@ -51,25 +52,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def tiles(data: np.ndarray, offsets: np.ndarray, page: int = 1 << 20) -> tuple[np.ndarray, ...]:
-    """Of all windows: the first window of each tile, its number of windows, row, anchor and fingerprint (both uint64).
+def tiles(data: np.ndarray, offsets: np.ndarray, page: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Of each tile, in order: its number of windows, and the place of its anchor after its first window's start (both uint8).
 
     A page of windows is looked at at a time. A tile ends at a row's or a page's end, or after TILE windows.
     """
-    found = []
+    found = [(np.zeros(0, np.uint8), np.zeros(0, np.uint8))]
     for lo in range(0, max(0, len(data) - WINDOW + 1), page):
         part = data[lo : lo + page + WINDOW - 1]
         n = len(part) - WINDOW + 1
-        low, width, most = mixed(gram_hashes(part, GRAM)), 1, WINDOW - GRAM + 1
+        gram, width, most = mixed(gram_hashes(part, GRAM)), 1, WINDOW - GRAM + 1
+        low = gram
         while 2 * width <= most:
             low, width = np.minimum(low[:-width], low[width:]), 2 * width
         if width < most:
             low = np.minimum(low[: width - most], low[most - width :])
-        whole = gram_hashes(part, WINDOW)
-        row = np.searchsorted(offsets, np.arange(lo, lo + n), side="right") - 1
-        inside = np.arange(lo, lo + n) + WINDOW <= offsets[row + 1]
+        inside = np.zeros(n, bool)
+        border = np.zeros(n, bool)
+        ends = offsets - lo
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if b - WINDOW + 1 > 0 and a < n and b - a >= WINDOW:
+                inside[max(a, 0) : b - WINDOW + 1] = True
+                border[max(a, 0)] = True
         begin = inside.copy()
-        begin[1:] &= ~inside[:-1] | (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+        begin[1:] &= ~inside[:-1] | (low[1:] != low[:-1]) | border[1:]
         start = np.flatnonzero(begin)
         seen = np.concatenate([[0], np.cumsum(inside)])
         count = seen[np.r_[start[1:], n]] - seen[start]
@@ -77,12 +83,8 @@ def tiles(data: np.ndarray, offsets: np.ndarray, page: int = 1 << 20) -> tuple[n
         nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = np.repeat(start, pieces) + nth * TILE
         count = np.minimum(np.repeat(count, pieces) - nth * TILE, TILE)
-        with np.errstate(over="ignore"):
-            mark = mixed(whole[start] * np.uint64(3) + mixed(whole[start + count - 1] + count.astype(np.uint64)))
-        found.append((start + lo, count, row[start], low[start], mark))
-    if not found:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        lead = np.concatenate([np.argmin(gram[at[:, None] + np.arange(most)], axis=1) for at in np.array_split(start, len(start) // 16384 + 1)])
+        found.append((count.astype(np.uint8), lead.astype(np.uint8)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -91,11 +93,24 @@ def packed(x: np.ndarray) -> bytes:
 
 
 class Block:
-    """A block of texts and, as far as the replies are there, what is known of its tiles. Each pass computes them anew."""
-
-    def __init__(self, ids: bytes, ends: bytes, data: bytes):
-        self.ids, self.offsets, self.data = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8)
-        self.start, self.count, self.row, self.anchor, self.mark = tiles(self.data, self.offsets)
+    """A block of texts and, as far as the replies are there, what is known of its tiles."""
+
+    COLUMNS = ("ids", "none", "ends", "data", "counts", "leads")
+
+    def __init__(self, row: dict):
+        kinds = (np.int64, bool, np.int64, np.uint8, np.uint8, np.uint8)
+        self.ids, self.none, self.offsets, self.data, count, lead = (np.frombuffer(row[c], k) for c, k in zip(self.COLUMNS, kinds, strict=True))
+        windows = np.maximum(np.diff(self.offsets) - WINDOW + 1, 0)
+        upto = np.concatenate([[0], np.cumsum(windows)])
+        self.count = count.astype(np.int64)
+        nth = np.cumsum(self.count) - self.count
+        self.row = np.searchsorted(upto, nth, side="right") - 1
+        self.start = self.offsets[self.row] + nth - upto[self.row]
+        at, h = self.start + lead, np.zeros(len(lead), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(GRAM):
+                h = h * np.uint64(BASE) + self.data[at + j] + np.uint64(1)
+        self.anchor = mixed(h)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors, those of two or more documents here, the place of each tile's anchor among them."""
@@ -107,17 +122,20 @@ class Block:
         return distinct, least < most, at
 
     def share(self, replies: list) -> None:
-        """Keeps the tiles whose anchor several documents have. Sorts: by anchor, fingerprint, document."""
+        """Keeps the tiles whose anchor several documents have. Sorts: by anchor, 128-bit mark, document."""
         distinct, _, at = self.anchors()
         bucket = (distinct % np.uint64(self.buckets(replies))).astype(np.int64)
         shared = np.zeros(len(distinct), bool)
         for r in replies:
             shared[bucket == r["bucket"]] = np.frombuffer(r["codes"], bool)
         keep = np.flatnonzero(shared[at])
-        keep = keep[np.lexsort((self.ids[self.row[keep]], self.mark[keep], self.anchor[keep]))]
-        self.start, self.count, self.row, self.anchor, self.mark = (x[keep] for x in (self.start, self.count, self.row, self.anchor, self.mark))
+        stops = self.start[keep] + self.count[keep] + WINDOW - 1
+        mark = np.stack([span_hashes(self.data, self.start[keep], stops, base=base) for base in (BASE, MIX)], axis=1)
+        sort = np.lexsort((self.ids[self.row[keep]], mark[:, 1], mark[:, 0], self.anchor[keep]))
+        keep, self.mark = keep[sort], mark[sort]
+        self.start, self.count, self.row, self.anchor = (x[keep] for x in (self.start, self.count, self.row, self.anchor))
         new = np.ones(len(keep), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.mark[1:] != self.mark[:-1])
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.mark[1:] != self.mark[:-1]).any(axis=1)
         self.first, self.tile = np.flatnonzero(new), np.cumsum(new) - 1
 
     def names(self, buckets: int) -> np.ndarray:
@@ -143,7 +161,7 @@ class Block:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """The texts as a table of blocks (block, ids, ends, data), bucketed by block, so that later joins leave it in place.
+    """The texts as a table of blocks (block and Block.COLUMNS), bucketed by block, so that later joins leave it in place.
 
     With fewer buckets than shuffle partitions Spark would rather shuffle both sides of those joins, texts included.
     """
@@ -153,30 +171,32 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         part, n = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
 
         def flush():
             nonlocal n, held
-            ids, lengths = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([packed(ids)]), pa.array([packed(np.concatenate([[0], np.cumsum(lengths)]))]), pa.array([b"".join(h[2] for h in held)], pa.binary())], ["block", "ids", "ends", "data"])
+            ids, none, lengths = (np.concatenate([h[k] for h in held]) for k in range(3))
+            data, ends = b"".join(h[3] for h in held), np.concatenate([[0], np.cumsum(lengths)])
+            counts, leads = tiles(np.frombuffer(data, np.uint8), ends)
+            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), *(pa.array([x], pa.binary()) for x in (packed(ids), packed(none), packed(ends), data, packed(counts), packed(leads)))], ["block", *Block.COLUMNS])
             n, held = n + 1, []
             return out
 
         size = 0
         for batch in batches:
-            ids = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
+            ids, none = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False), np.asarray(batch.column(0).is_null())
             for lo, hi, data, offsets in byte_blocks(batch, "b", BLOCK):
                 if held and size + len(data) > BLOCK:
                     yield flush()
                     size = 0
-                held.append((ids[lo:hi], np.diff(offsets), data.tobytes()))
+                held.append((ids[lo:hi], none[lo:hi], np.diff(offsets), data.tobytes()))
                 size += len(data)
         if held:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
     table = f"text_blocks_{uuid.uuid4().hex}"
-    cuts = rows.mapInArrow(cut, "block long, ids binary, ends binary, data binary")
+    cuts = rows.mapInArrow(cut, "block long, " + ", ".join(f"{c} binary" for c in Block.COLUMNS))
     cuts.write.option("path", work_folder(spark)).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(table)
     return spark.table(table)
 
@@ -204,7 +224,7 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches):
         for r in rows_of(batches):
-            distinct, several, _ = Block(r["ids"], r["ends"], r["data"]).anchors()
+            distinct, several, _ = Block(r).anchors()
             bucket = (distinct % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -220,7 +240,7 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "buckets": buckets, "codes": [packed(shared[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    sent = blocks.select("block", "ids", "ends", "data").mapInArrow(send, "block long, bucket int, h binary, s binary")
+    sent = blocks.mapInArrow(send, "block long, bucket int, h binary, s binary")
     return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket int, buckets int, codes binary")
 
 
@@ -234,7 +254,7 @@ def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches):
         for r in rows_of(batches):
-            b = Block(r["ids"], r["ends"], r["data"])
+            b = Block(r)
             b.share(r["shared"] or [])
             bucket = (b.anchor[b.first] % np.uint64(buckets)).astype(np.int64)
             ids = b.ids[b.row[b.first]]
@@ -246,11 +266,12 @@ def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
         rows = rows.sort_values("block")
         sizes = rows["h"].map(len).to_numpy() // 8
         h, m, i = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("h", np.uint64), ("m", np.uint64), ("i", np.int64)))
-        order = np.lexsort((i, m, h))
+        m = m.reshape(-1, 2)
+        order = np.lexsort((i, m[:, 1], m[:, 0], h))
         anchor = np.ones(len(h), bool)
         anchor[1:] = h[order][1:] != h[order][:-1]
         tile = anchor.copy()
-        tile[1:] |= m[order][1:] != m[order][:-1]
+        tile[1:] |= (m[order][1:] != m[order][:-1]).any(axis=1)
         group, which = np.cumsum(anchor) - 1, np.cumsum(tile) - 1
         least, send = np.empty(len(h), np.int64), np.empty(len(h), bool)
         least[order] = i[order][tile][which] if len(h) else i
@@ -287,7 +308,7 @@ def text_of_tiles(known: DataFrame) -> DataFrame:
 
     def send(batches):
         for r in rows_of(batches):
-            b = Block(r["ids"], r["ends"], r["data"])
+            b = Block(r)
             b.share(r["shared"] or [])
             need, least = b.answered(r["tiles"] or [])
             k = np.flatnonzero(need)
@@ -301,16 +322,15 @@ def text_of_tiles(known: DataFrame) -> DataFrame:
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(block, tile, mask): the windows of sent tiles that a smaller document has too, bit by bit.
 
-    An anchor's tiles stand in suffix arrays of about PART tiles each. Windows that are equal are neighbours there, and
-    all but those of the smallest document are repeats. If an anchor has several arrays, each sends what is left, a row
-    for each window and tile of its smallest document there, to a second comparison, across arrays.
+    An anchor's tiles stand in suffix arrays of at most 2 * PART tiles each. Windows that are equal are neighbours there,
+    and all but those of the smallest document are repeats. Rows are dealt by ranges of anchor and tile, so an anchor that
+    very many tiles have is spread over tasks. If an anchor has several arrays, or may have others in the neighbouring
+    range, each array sends what is left, a row for each window and tile of its smallest document there, to a second
+    comparison, across arrays.
     """
-    sizes = texts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PART).select("h", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    dealt = texts.join(sizes, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc", "block", "tile"), F.col("parts")).cast("int"))
-    dealt = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
+    dealt = texts.withColumn("salt", F.xxhash64("doc", "block", "tile")).repartitionByRange("h", "salt").sortWithinPartitions("h")
 
-    def arrays(h, part, parts, doc, block, tile, flat, offsets):
+    def arrays(h, part, several, doc, block, tile, flat, offsets):
         new = np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]
         owner = np.cumsum(new) - 1
         lengths = np.diff(offsets)
@@ -323,11 +343,13 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         windows = lengths - WINDOW + 1
         at = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
         piece[at] = np.repeat(np.arange(len(lengths)), windows)
-        small = np.where(inside, keys & 0xFF, 0).astype(np.uint8)
-        whole = np.append(gram_hashes(small, WINDOW), np.zeros(WINDOW - 1, np.uint64))[: len(keys)]
+        small = np.append(np.where(inside, keys & 0xFF, 0), np.zeros(WINDOW, np.int64)).astype(np.uint8)
         s = order[piece[order] >= 0]
         p = piece[s]
-        differs = np.r_[True, (whole[s][1:] != whole[s][:-1]) | (owner[p][1:] != owner[p][:-1])]
+        differs = np.r_[True, owner[p][1:] != owner[p][:-1]]
+        for j in (*range(0, WINDOW - 8, 8), WINDOW - 8):  # neighbours, eight bytes at a time
+            eight = np.ndarray(len(keys), np.uint64, small, j, (1,))[s]
+            differs[1:] |= eight[1:] != eight[:-1]
         group = np.cumsum(differs) - 1
         least = np.minimum.reduceat(doc[p], np.flatnonzero(differs))
         bit = np.uint64(1) << (s - start[p]).astype(np.uint64)
@@ -335,39 +357,45 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         again = doc[p] > least[group]
         np.bitwise_or.at(masks, p[again], bit[again])
         k = np.flatnonzero(masks)
-        yield pa.RecordBatch.from_pydict({"block": block[k], "tile": tile[k], "mask": masks[k].view(np.int64), "h": pa.nulls(len(k), pa.int64()), "w": pa.nulls(len(k), pa.int64()), "doc": doc[k]})
-        lone = np.flatnonzero(~again & (parts[p] > 1))
+        yield pa.RecordBatch.from_pydict({"block": block[k], "tile": tile[k], "mask": masks[k].view(np.int64), "h": pa.nulls(len(k), pa.int64()), "w": pa.nulls(len(k), pa.binary()), "doc": doc[k]})
+        lone = np.flatnonzero(~again & several[p])
         if len(lone):
             # groups are in order already; a tile that holds a window more than once sends it once, with all its bits
             lone = lone[np.lexsort((p[lone], group[lone]))]
             begin = np.flatnonzero(np.r_[True, (group[lone][1:] != group[lone][:-1]) | (p[lone][1:] != p[lone][:-1])])
             bits, lone = np.bitwise_or.reduceat(bit[lone], begin), lone[begin]
-            yield pa.RecordBatch.from_pydict({"block": block[p[lone]], "tile": tile[p[lone]], "mask": bits.view(np.int64), "h": h[p[lone]], "w": whole[s[lone]].view(np.int64), "doc": doc[p[lone]]})
+            yield pa.RecordBatch.from_pydict({"block": block[p[lone]], "tile": tile[p[lone]], "mask": bits.view(np.int64), "h": h[p[lone]], "w": pa.array([window.tobytes() for window in small[s[lone][:, None] + np.arange(WINDOW)]], pa.binary()), "doc": doc[p[lone]]})
 
     def compare(batches):
-        held, size = [], 0
+        held, size, cut = [], 0, None  # cut: the anchor whose tiles may stand in other arrays, too
         for batch in batches:
+            if cut is None and batch.num_rows:
+                cut = batch.column(0)[0].as_py()
             held.append(batch)
             size += batch.nbytes
             if size > 4 << 20:
                 table = pa.Table.from_batches(held).combine_chunks()
-                h, part = table["h"].to_numpy(), table["part"].to_numpy()
-                change = np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1]))
-                if len(change):
-                    yield from run(table.slice(0, int(change[-1]) + 1))
-                    held = table.slice(int(change[-1]) + 1).combine_chunks().to_batches()
-                    size = sum(b.nbytes for b in held)
+                h = table["h"].to_numpy()
+                change = np.flatnonzero(h[1:] != h[:-1])
+                end = int(change[-1]) + 1 if len(change) else len(h)
+                yield from run(table.slice(0, end), (cut,) if len(change) else (cut, int(h[-1])))
+                held, cut = table.slice(end).combine_chunks().to_batches(), cut if len(change) else int(h[-1])
+                size = sum(b.nbytes for b in held)
         if held:
-            yield from run(pa.Table.from_batches(held).combine_chunks())
+            table = pa.Table.from_batches(held).combine_chunks()
+            if len(table):
+                yield from run(table, (cut, table["h"][len(table) - 1].as_py()))
 
-    def run(table):
-        if not len(table):
-            return
-        h, part, parts, doc, block, tile = (table[c].to_numpy() for c in ("h", "part", "parts", "doc", "block", "tile"))
+    def run(table, open_ones):
+        h, doc, block, tile = (table[c].to_numpy() for c in ("h", "doc", "block", "tile"))
         sizes = np.array([len(t) for t in table["text"].to_pylist()], np.int64)
         flat = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8)
-        new = np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]
-        owner = np.cumsum(new) - 1
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        all_of = np.diff(np.r_[begin, len(h)])
+        nth = np.arange(len(h)) - np.repeat(begin, all_of)
+        part = np.where(np.repeat(all_of > 2 * PART, all_of), nth // PART, 0)
+        several = np.repeat(all_of > 2 * PART, all_of) | np.isin(h, open_ones)
+        owner = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]) - 1
         each = np.bincount(owner)[owner]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         # collections of about one size go in step
@@ -375,9 +403,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             k = np.flatnonzero((each >= lo) & (each <= hi))
             if len(k):
                 chars = np.repeat(offsets[k] - (np.cumsum(sizes[k]) - sizes[k]), sizes[k]) + np.arange(sizes[k].sum())
-                yield from arrays(h[k], part[k], parts[k], doc[k], block[k], tile[k], flat[chars], np.concatenate([[0], np.cumsum(sizes[k])]))
+                yield from arrays(h[k], part[k], several[k], doc[k], block[k], tile[k], flat[chars], np.concatenate([[0], np.cumsum(sizes[k])]))
 
-    found = written(dealt.select("h", "part", "parts", "doc", "block", "tile", "text").mapInArrow(compare, "block long, tile long, mask long, h long, w long, doc long"))
+    found = written(dealt.select("h", "doc", "block", "tile", "text").mapInArrow(compare, "block long, tile long, mask long, h long, w binary, doc long"))
     across = found.where("h is not null").groupBy("h", "w").agg(F.min("doc").alias("least"))
     late = found.where("h is not null").join(across, ["h", "w"]).where("doc > least").select("block", "tile", "mask")
     return found.where("h is null").select("block", "tile", "mask").unionAll(late).groupBy("block", "tile").agg(F.bit_or("mask").alias("mask"))
@@ -388,7 +416,7 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     A byte goes if a 50-byte string of its document that covers it also starts in a document with a smaller doc_id;
     nothing matches across documents, and what goes is judged on the input. Null text counts as empty; texts below 50
-    bytes stay whole. Rows with equal doc_id don't cut each other; a null doc_id counts as larger than all. An empty
+    bytes stay whole. Rows with equal doc_id don't cut each other; a null doc_id counts as the largest, 2 ** 63 - 1. An empty
     table gives no rows; other columns are not read.
     """
     blocks = blocks_of(docs)
@@ -403,7 +431,7 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def cut(batches):
         for r in rows_of(batches):
-            b = Block(r["ids"], r["ends"], r["data"])
+            b = Block(r)
             b.share(r["shared"] or [])
             _, least = b.answered(r["tiles"] or [])
             mask = np.zeros(len(b.first), np.uint64)
@@ -426,9 +454,9 @@ def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             spans = np.bincount(owner, minlength=rows)
             text, ends = b.data[~gone].tobytes(), b.offsets - np.concatenate([[0], np.cumsum(gone)])[b.offsets]
             kept = [text[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            ids = pa.array(b.ids, mask=b.ids == NONE)
+            ids = pa.array(b.ids, mask=b.none)
             columns = [ids, pa.array(np.diff(b.offsets)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_text else []), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return beside(blocks, shared, found, masks).select("ids", "ends", "data", "shared", "tiles", "masks").mapInArrow(cut, schema)
+    return beside(blocks, shared, found, masks).select(*Block.COLUMNS, "shared", "tiles", "masks").mapInArrow(cut, schema)
