@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
-from .common import work_folder, written
+from .common import plain_names, work_folder, written
+
+#: Groups of more than HOT rows, or of more than one in BROADCAST rows of a table, are joined by broadcast: fewer than BROADCAST of some 60 bytes.
+HOT, BROADCAST = 256, 1 << 18
 
 
 def text_digest(text: Column) -> Column:
@@ -18,78 +22,118 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, group_size), bucketed and sorted by digest, that outlives a run.
+    """Digests in a folder, (digest, keep_id, keep_row, n, batch, first), bucketed and sorted by digest, that outlive the session.
 
-    Each append adds one sorted file a bucket; lookups and the anti-join of new data read it without a shuffle.
-    buckets should grow with the corpus: about one for each 10 million distinct texts.
+    A batch adds a row for each of its digests; `first` tells the batch that brought the digest, whose row stays, and n
+    counts the batch's rows of it. The folder says by itself how many buckets it has, so a later session finds it by its
+    path; nothing there is ever overwritten. buckets should grow with the corpus: about one for each 10 million texts.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, path: str | None = None, buckets: int = 48):
-        self.spark, self.buckets = spark, buckets
-        self.table = table or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or work_folder(spark)
+    SCHEMA = "digest BINARY, keep_id BIGINT, keep_row BIGINT, n BIGINT, batch STRING, first BOOLEAN"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 48):
+        self.spark, self.path = spark, (path or work_folder(spark)).rstrip("/")
+        self.table = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
+        about = f"{self.path}.about"
+        try:
+            self.buckets = spark.read.schema("buckets int").parquet(about).first().buckets
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self.buckets = buckets
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(about)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({self.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> DataFrame:
-        """Adds the groups (digest, keep_id, group_size) whose digest the index lacks, by sort-merge anti-join."""
-        if self.spark.catalog.tableExists(self.table):
-            groups = groups.join(self.rows().hint("merge"), "digest", "left_anti")
-        fresh = groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
-        fresh.write.mode("append").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Adds a batch's groups (digest, keep_id, keep_row, n). The anti-join by sort-merge finds the new digests; of the others only
+        n counts. A batch whose name is there already, such as that of a job that runs again, isn't added a second time."""
+        if not self.rows().where(F.col("batch") == batch).isEmpty():
+            return
+        known = self.rows().where("first").select("digest").hint("merge")
+        fresh, again = groups.join(known, "digest", "left_anti").withColumn("first", F.lit(True)), groups.join(known, "digest", "left_semi").withColumn("first", F.lit(False))
+        rows = fresh.unionByName(again).select("digest", "keep_id", "keep_row", "n", F.lit(batch).alias("batch"), "first").repartition(self.buckets, "digest")
+        rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
-        return self.rows()
-
-
-def groups_of(digests: DataFrame) -> DataFrame:
-    """One row a digest: the largest doc_id and the number of rows. Combined before the shuffle, so a hot text is one row a task."""
-    return digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-
 
-def with_groups(rows: DataFrame, index: DataFrame, total: int, hot_share: float = 1 / 256) -> DataFrame:
-    """rows (with digest and doc_id) beside keep_id, group_size and kept.
+    def groups(self) -> DataFrame:
+        """(digest, keep_id, keep_row, batch, group_size) of every text: who stays, and the rows of all batches. The buckets hold a digest's rows together already."""
+        own = lambda c: F.max(F.when(F.col("first"), F.col(c))).alias(c)
+        return self.rows().groupBy("digest").agg(own("keep_id"), own("keep_row"), own("batch"), F.sum("n").alias("group_size"))
 
-    Texts that hold more than hot_share of all rows number below 1 / hot_share, so their groups are broadcast and their
-    rows stay where they are; all others meet the index by sort-merge join. Of rows that share both text and the
-    largest doc_id, one stays.
-    """
-    hot = index.where(F.col("group_size") > max(1, int(total * hot_share)))
-    marks = F.broadcast(hot.select("digest", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size")))
-    marked = rows.join(marks, "digest", "left")
+    def close(self) -> None:
+        """Takes the table's name out of the catalog; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def judged(df: DataFrame) -> DataFrame:
-        first = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))) == 1
-        return df.withColumn("kept", first & F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
-    many = judged(marked.where("_size is not null").withColumnsRenamed({"_keep": "keep_id", "_size": "group_size"}))
-    rest = judged(marked.where("_size is null").drop("_keep", "_size").join(index.hint("merge"), "digest"))
-    return many.unionByName(rest.select(many.columns))
-
-
-def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def groups_of(digests: DataFrame) -> DataFrame:
+    """One row a digest: the largest doc_id, the first row that has it, the number of rows. Combined before the shuffle, so a hot text is one row a task."""
+    last = F.max(F.struct("doc_id", (-F.col("row")).alias("row")))
+    return digests.groupBy("digest").agg(last.alias("last"), F.count("*").alias("n")).select("digest", F.col("last.doc_id").alias("keep_id"), (-F.col("last.row")).alias("keep_row"), "n")
+
+
+def fill(index: DigestIndex, digests: DataFrame, batches: int) -> list[str]:
+    """Appends digests(row, doc_id, digest) in batches of descending ids, null last, so that the batch that brings a text has its largest id. Returns their names."""
+    run = uuid.uuid4().hex
+    ends = digests.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    names = [f"{run}-{k}" for k in range(batches)]
+    low, high = ends.lo or 0, ends.hi or 0
+    floors = [low + (high - low) * (batches - 1 - k) // batches for k in range(batches - 1)]
+    number = F.lit(batches - 1)
+    for k in reversed(range(batches - 1)):
+        number = F.when(F.col("doc_id") > floors[k], k).otherwise(number)
+    for k, name in enumerate(names):
+        index.append(groups_of(digests.where(number == k)), name)
+    return names
+
+
+def beside_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """rows(digest, ...) beside the columns of groups. Large groups are few: they are broadcast and their rows stay where they are; all others meet by sort-merge join."""
+    large = F.col("group_size") > max(HOT, total // BROADCAST)
+    names = [c for c in groups.columns if c != "digest"]
+    marked = rows.join(F.broadcast(groups.where(large).select("digest", F.struct(*names).alias("_g"))), "digest", "left")
+    many = marked.where("_g is not null").select(*rows.columns, "_g.*")
+    rest = marked.where("_g is null").drop("_g").join(groups.where(~large).hint("merge"), "digest").select(*rows.columns, *names)
+    return many.unionByName(rest)
+
+
+def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text).
 
     Texts are equal if identical after lower-casing A-Z; the largest doc_id stays. Null text is an empty text. Rows
-    with null doc_id count in their group and stay only if no row there has an id. An empty table gives no rows; other
-    columns of docs are not read.
+    with null doc_id count in their group and stay only if no row there has an id; of rows that repeat both text and the
+    largest id, one stays. With an index of earlier runs, texts that it has stay there, and group_size counts their rows
+    too. The rows enter the index in batches, those of larger ids first. An empty table gives no rows; other columns of
+    docs are not read.
     """
     spark = docs.sparkSession
-    digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")))
-    index = index or DigestIndex(spark)
-    kept = index.append(groups_of(digests))
-    out = with_groups(digests, kept, digests.count())
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """docs without the rows whose text stays elsewhere, all columns kept; rules as in exact_groups."""
+    digests = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")))
+    own = index or DigestIndex(spark)
+    names = fill(own, digests, batches)
+    kept = F.col("batch").isin(names) & (F.col("row") == F.col("keep_row"))
+    out = beside_groups(digests, own.groups(), digests.count()).withColumn("kept", kept)
+    out = written(out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")))
+    if index is None:
+        own.close()
+    return out
+
+
+def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """docs without the rows whose text stays elsewhere, all columns kept; rules as in exact_groups, nulls, repeated rows and empty tables too."""
     spark = docs.sparkSession
-    names = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*names, F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
-    digests = written(rows.select("doc_id", "digest"))
-    kept = (index or DigestIndex(spark)).append(groups_of(digests))
-    return with_groups(rows, kept, digests.count()).where("kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    plain, at = plain_names(docs)
+    rows = plain.select("*", F.col(at["doc_id"]).cast("long").alias("doc_id"), text_digest(F.col(at["text"])).alias("digest"))
+    digests = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest"))
+    own = index or DigestIndex(spark)
+    names = fill(own, digests, batches)
+    staying = own.groups().where(F.col("batch").isin(names)).select("digest", "keep_id", "group_size")
+    out = beside_groups(rows, staying, digests.count()).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
+    out = written(out.select(*[F.col(n).alias(c) for c, n in at.items()]))
+    if index is None:
+        own.close()
+    return out
 
 
 EXACT_SQL = """

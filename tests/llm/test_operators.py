@@ -75,17 +75,67 @@ def test_exact_groups(spark):
     assert kept.columns == docs.columns and sorted(lower(r.text) for r in kept.collect()) == sorted(by)
 
 
-def test_index_outlives_a_batch(spark):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    first, second = (documents(spark, [(i, t, None, None) for i, t in rows]) for rows in ([(1, "a"), (2, "A"), (3, "b")], [(9, "B"), (10, "c")]))
-    assert collected(exact_dedup.exact_groups(first, index), "doc_id", "kept") == [(1, False), (2, True), (3, True)]
-    assert collected(exact_dedup.exact_groups(second, index), "doc_id", "keep_id", "kept") == [(10, 10, True), (9, 3, False)]
-    assert index.rows().count() == 3
-
-
-def test_exact_dedup_is_native(spark):
-    plan = exact_dedup.exact_groups(documents(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and not re.search("Python|Pandas|Arrow", plan)
+def test_index_outlives_a_batch(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    first, second = (documents(spark, [(i, t, None, None) for i, t in rows]) for rows in ([(1, "a"), (2, "A"), (3, "b")], [(9, "B"), (10, "c"), (10, "c"), (11, "a")]))
+    assert collected(exact_dedup.exact_groups(first, index), "doc_id", "group_size", "kept") == [(1, 2, False), (2, 2, True), (3, 1, True)]
+    assert collected(exact_dedup.exact_groups(second, index), "doc_id", "keep_id", "group_size", "kept") == [(10, 10, 2, False), (10, 10, 2, True), (11, 2, 3, False), (9, 3, 2, False)]
+    assert index.groups().count() == 3
+    index.append(index.groups().selectExpr("digest", "keep_id", "keep_row", "group_size AS n").limit(0), "again")
+    before = index.rows().count()
+    index.append(exact_dedup.groups_of(spark.createDataFrame([(0, 77, b"x")], "row long, doc_id long, digest binary")), index.rows().first().batch)
+    assert index.rows().count() == before  # a batch of that name is there
+
+
+def test_index_outlives_the_session(tmp_path):
+    """Two sessions one after the other, each in a process of its own with an in-memory catalog."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__
+from pyspark.sql import SparkSession
+from dupspark.llm import exact_dedup
+top = sys.argv[2]
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", top + "/shared").config("spark.sql.warehouse.dir", top + "/" + sys.argv[3]).getOrCreate()
+index = exact_dedup.DigestIndex(spark, top + "/index", buckets=int(sys.argv[4]))
+docs = spark.createDataFrame([(int(x.split(":")[0]), x.split(":")[1]) for x in sys.argv[5:]], "doc_id long, text string")
+for r in exact_dedup.exact_groups(docs, index).orderBy("doc_id").collect():
+    print("row", r.doc_id, r.keep_id, r.group_size, r.kept)
+print("row", index.buckets, index.groups().count())
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+    def session(*words):
+        run = subprocess.run([sys.executable, "-c", code, repo, str(tmp_path), *words], capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0, run.stderr[-3000:]
+        return [x[4:] for x in run.stdout.splitlines() if x.startswith("row")]
+
+    assert session("w1", "4", "1:a", "2:b", "3:c") == ["1 1 1 True", "2 2 1 True", "3 3 1 True", "4 3"]
+    assert session("w2", "8", "7:A", "8:d") == ["7 1 2 False", "8 8 1 True", "4 4"]
+
+
+def test_exact_dedup_is_native(spark, monkeypatch):
+    plans = []
+    keep = common.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    exact_dedup.exact_groups(documents(spark))
+    exact_dedup.drop_exact_copies(documents(spark).selectExpr("*"))
+    assert any("SortMergeJoin" in p for p in plans) and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+
+
+@pytest.mark.parametrize("hot", [1, 256])
+def test_large_groups_are_whole(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    rows = [(k % 40, "same" if k % 3 else f"t{k}", None, None) for k in range(120)] + [(None, "same", None, None), (None, "lone", None, None)] * 2 + [((1 << 63) - 1, "top", None, None), (-(1 << 63), "top", None, None)]
+    docs = documents(spark, rows)
+    got = exact_dedup.exact_groups(docs, batches=3).collect()
+    assert len(got) == len(rows) and {r.group_size for r in got if r.keep_id == 39 and r.doc_id is None} == {82} and sum(r.kept for r in got) == 43
+    kept = exact_dedup.drop_exact_copies(docs, batches=3)
+    assert kept.count() == 43 and kept.columns == docs.columns
 
 
 # SimHash
