@@ -12,43 +12,60 @@ from .common import written
 #: The weights of the sources in code-point order, repeating; all targets together are SHARE of all words, one at most CAP of its source.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block, blocks of an output shard, draws of one cell of the range join, hash bins of a source.
-BLOCK, SHARD, CELL, BINS = 256, 4096, 1024, 4096
+#: Words of a block, blocks of an output shard, blocks of a hash bin of a source at most or so.
+BLOCK, SHARD, BIN = 256, 4096, 1 << 16
+#: The tree's nodes hold a quota a source, on the driver too; more sources than this are refused.
+SOURCES = 1 << 17
 #: Subtrees that the driver leaves to the executors.
 SUBTREES = 256
 
 
+def numbered(one: DataFrame) -> DataFrame:
+    """one beside nth, its place by source, null last: places inside the parts of a range partitioning, and the sizes of the parts before."""
+    order = F.col("source").asc_nulls_last()
+    parts = written(one.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    sizes = [(r.part, r.n) for r in parts.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
+    before = F.lit(0).cast("long")
+    for k, (part, n) in enumerate(sizes[1:]):
+        before = F.when(F.col("part") >= part, sum(x for _, x in sizes[: k + 1])).otherwise(before)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("nth", (inside + before).cast("int")).drop("part")
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, nth, source_size, target) from rows of (source, size); null is a source of its own, the last.
 
-    Resharing the excess by weight until no target is above its cap ends at a level L with target = min(cap * size,
-    L * weight). By ascending cap / weight, a source is capped if the words left by those before it, shared by the
-    weight from it on, reach its cap. The windows here run over one row a source.
+    What is above a cap is reshared by weight, round after round, until no target is: each round sums up the sources that
+    are not full and gives them one level, target = level * weight. Full ones only become more, so the rounds end.
     """
-    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.orderBy(F.col("source").asc_nulls_last())
-    one = one.withColumn("nth", F.row_number().over(every) - 1)
-    one = one.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("nth") % len(weights)))
-    one = one.withColumn("most", F.col("source_size") * float(cap))
-    up = Window.orderBy(F.col("most") / F.col("w"), "nth")
-    whole = Window.partitionBy()
-    one = one.withColumn("total", F.sum("source_size").over(whole) * float(share))
-    one = one.withColumn("before", F.sum("most").over(up) - F.col("most")).withColumn("after", F.sum("w").over(whole) - F.sum("w").over(up) + F.col("w"))
-    one = one.withColumn("full", (F.col("total") - F.col("before")) / F.col("after") >= F.col("most") / F.col("w"))
-    left = F.first("total").over(whole) - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(whole)
-    weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(whole)
-    one = one.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(left * F.col("w") / weight))
-    return one.select("source", F.col("nth").cast("int").alias("nth"), F.col("source_size").cast("long").alias("source_size"), "target")
+    one = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    one = one.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("nth") % len(weights))).withColumn("most", F.col("source_size") * float(cap))
+    one = written(one)
+    level, full = -1.0, -1
+    while True:
+        now = F.col("most") <= F.lit(level) * F.col("w")
+        r = one.agg(F.sum("source_size").alias("all"), F.sum(F.when(now, F.col("most")).otherwise(0.0)).alias("given"), F.sum(F.when(now, 0.0).otherwise(F.col("w"))).alias("weight"), F.count_if(now).alias("full")).first()
+        if r.full == full or not r["all"] or not r.weight:
+            break
+        level, full = max(level, (float(share) * r["all"] - r.given) / r.weight), r.full
+    target = F.least(F.col("most"), F.lit(level) * F.col("w")) if level >= 0 else F.lit(0.0)
+    return one.select("source", "nth", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Good ones among n drawn of good + bad. Beyond numpy's range: the normal law with the same mean and variance, rounded."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if good + bad else 0
+    """Good ones among n drawn of good + bad. Beyond numpy's range the probabilities around the mode, as far as a double tells
+    them from zero, are summed up from their ratios, and a uniform number picks one."""
     total = good + bad
-    mean = n * (good / total)
-    deviation = (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, deviation)), max(0, n - bad)), min(good, n)))
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n)) if total else 0
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = int(40 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5) + 64
+    k = np.arange(max(low, mode - reach), min(high, mode + reach), dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return max(low, mode - reach) + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
 
 
 def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -76,6 +93,8 @@ def descend(lo: int, hi: int, shards: int, total: int, counts: np.ndarray, start
 def shard_ranges(spark, quotas: list[tuple[int, int]], seed: int) -> DataFrame:
     """(nth, shard, start, count): which run of a source's draws goes to which shard. quotas: (nth, number of draws) of each source."""
     nths, counts = np.array([q[0] for q in quotas], np.int64), np.array([q[1] for q in quotas], np.int64)
+    if not quotas:
+        return spark.range(0).selectExpr("cast(id as int) AS nth", "id AS shard", "id AS start", "id AS count")
     total = int(counts.sum())
     shards = max(1, -(-total // SHARD))
     tops = [(lo, hi, c.tolist(), s.tolist()) for lo, hi, c, s in descend(0, shards, shards, total, counts, np.zeros_like(counts), seed, max(1, -(-shards // SUBTREES)))]
@@ -92,36 +111,37 @@ def shard_ranges(spark, quotas: list[tuple[int, int]], seed: int) -> DataFrame:
 
 
 def mix(sizes: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The mix of rows (row, doc_id, source, size), and the targets of the sources.
+    """The mix of rows (row, doc_id, source, size, mark), and the targets of the sources.
 
-    Returns draws (row, doc_id, nth, block, turn, words, shard, key): one a block and turn that the mix takes; a shard
-    read by ascending key is shuffled. A source whose target is above its size gives whole turns, then part of one: the
-    blocks that come first in a hashed order, up to the target. All of it depends on seed, doc_id and size alone.
+    Returns the written shards (shard, key, row, doc_id, nth, block, turn, words), each a run of rows sorted by key, which
+    is a random number: so a shard is shuffled. A source's blocks are permuted by a hash; its quota is the number of draws
+    from that order, turn after turn, whose words come nearest to the target. The tree splits the quotas of all sources
+    among the shards, each shard takes its runs of draws, and no two take the same. All of it depends on seed, doc_id,
+    size and mark alone; rows that agree in these can't be told apart.
     """
     spark = sizes.sparkSession
     goals = written(targets(sizes))
-    blocks = sizes.where("size > 0").join(goals.select("source", "nth"), sizes["source"].eqNullSafe(goals["source"])).select("row", "doc_id", "nth", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
-    blocks = blocks.withColumn("words", F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).cast("long")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "block")).withColumn("bin", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(BINS)).cast("int"))
-    blocks = written(blocks.drop("size"))
+    blocks = sizes.where("size > 0").join(goals.select("source", "nth"), sizes["source"].eqNullSafe(goals["source"])).select("row", "doc_id", "mark", "nth", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
+    blocks = written(blocks.withColumn("words", F.least(F.lit(BLOCK), F.col("size") - F.col("block") * BLOCK).cast("long")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "mark", "block")).drop("size"))
+    count = max(1, -(-blocks.count() // BIN))
+    blocks = blocks.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(count)).cast("int"))
     bins = blocks.groupBy("nth", "bin").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     upto = Window.partitionBy("nth").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("nth", "bin", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(upto), F.lit(0)).alias("w0"))
-    inner = Window.partitionBy("nth", "bin").orderBy("h", "doc_id", "block", "row")
+    inner = Window.partitionBy("nth", "bin").orderBy("h", "doc_id", "mark", "block", "row")
     ranked = blocks.withColumn("r", F.row_number().over(inner) - 1).withColumn("c", F.sum("words").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     ranked = ranked.join(bins, ["nth", "bin"]).withColumn("rank", F.col("n0") + F.col("r")).withColumn("past", F.col("w0") + F.col("c"))
-    turns = goals.select("nth", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).cast("int").alias("full"), "source_size", "target")
-    ranked = ranked.join(turns, "nth").withColumn("copies", F.col("full") + (F.col("past") + F.col("words") / 2 <= F.col("target") - F.col("full") * F.col("source_size")).cast("int"))
-    ranked = written(ranked.where("copies > 0").select("row", "doc_id", "nth", "block", "words", "rank", "copies", "full"))
-    number = blocks.groupBy("nth").agg(F.count("*").alias("blocks"))
-    quotas = [(r.nth, r.q) for r in ranked.groupBy("nth").agg(F.sum("copies").alias("q")).orderBy("nth").collect()]
-    ranges = shard_ranges(spark, quotas, seed) if quotas else spark.createDataFrame([], "nth int, shard long, start long, count long")
-    cells = ranges.select("nth", "shard", "start", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("start") + F.col("count") - 1) / CELL))).alias("cell"))
-    cells = cells.groupBy("nth", "cell").agg(F.array_sort(F.collect_list(F.struct("start", "shard"))).alias("runs"))
-    draws = ranked.join(number, "nth").select("row", "doc_id", "nth", "block", "words", "rank", "blocks", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("turn"))
-    draws = draws.withColumn("at", F.col("turn") * F.col("blocks") + F.col("rank")).withColumn("cell", F.floor(F.col("at") / CELL))
-    shard = F.element_at(F.filter("runs", lambda x: x["start"] <= F.col("at")), -1)["shard"]
-    draws = draws.join(cells, ["nth", "cell"]).select("row", "doc_id", "nth", "block", "turn", "words", shard.alias("shard"), F.xxhash64(F.lit(seed + 2), "nth", "at").alias("key"))
-    return draws, goals
+    ranked = written(ranked.select("row", "doc_id", "nth", "block", "words", "rank", "past"))
+    turns = goals.where("source_size > 0").select("nth", F.floor(F.col("target") / F.col("source_size")).alias("whole"), F.pmod(F.col("target"), F.col("source_size")).alias("rest"))
+    part = F.count_if(F.col("past") + F.col("words") / 2 <= F.col("rest"))
+    quotas = written(ranked.join(turns, "nth").groupBy("nth").agg(F.count("*").alias("blocks"), (F.max("whole") * F.count("*") + part).alias("quota")).where("quota > 0"))
+    if quotas.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    drawn = shard_ranges(spark, [(r.nth, r.quota) for r in quotas.orderBy("nth").collect()], seed)
+    drawn = drawn.join(quotas.select("nth", "blocks"), "nth").select("shard", "nth", "blocks", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("at"))
+    drawn = drawn.select("shard", "nth", F.floor(F.col("at") / F.col("blocks")).alias("turn"), F.pmod("at", "blocks").alias("rank"), F.xxhash64(F.lit(seed + 2), "nth", "at").alias("key"))
+    shards = drawn.join(ranked, ["nth", "rank"]).select("shard", "key", "row", "doc_id", "nth", "block", "turn", "words")
+    return written(shards.repartition("shard").sortWithinPartitions("shard", "key")), goals
 
 
 def size_of(text: Column) -> Column:
@@ -129,28 +149,30 @@ def size_of(text: Column) -> Column:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs(doc_id, text, source).
+    """doc_id, size, source_size, target, taken of every row of docs(doc_id, text, source): taken sums up the words of its blocks in the shards.
 
-    Null text has size 0; null source is a source. Rows that repeat a doc_id are taken for different documents. An
-    empty table gives no rows, and if no text has a word all is 0.
+    Null text has size 0; null source is a source. Rows that repeat a doc_id are taken for different documents; which of
+    them is which is told by their texts, so runs agree however rows are partitioned. An empty table gives no rows, and if
+    no text has a word all is 0.
     """
-    sizes = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")))
-    draws, goals = mix(sizes)
-    taken = draws.groupBy("row").agg(F.sum("words").alias("taken"))
+    sizes = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")))
+    shards, goals = mix(sizes)
+    taken = shards.groupBy("row").agg(F.sum("words").alias("taken"))
     out = sizes.join(goals, sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"]).join(taken, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: for each document and turn that takes any of its blocks, a row with the text of those blocks.
+    """The mix as documents: for each document and turn that the shards have blocks of, a row with the text of those blocks.
 
     A block keeps its words and the white space before them. Columns of docs stay; n_chars, if there, is counted anew.
-    A document without words has nothing to take and goes.
+    A document without words (null and empty texts too) has nothing to take and goes; repeated rows are documents of their
+    own; an empty table is empty.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c: n for c, n in zip(docs.columns, names, strict=True)}
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(n) for c, n in at.items()]))
-    sizes = written(rows.select("row", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["source"]).alias("source"), size_of(F.col(at["text"])).alias("size")))
+    sizes = written(rows.select("row", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["source"]).alias("source"), size_of(F.col(at["text"])).alias("size"), F.xxhash64(at["text"]).alias("mark")))
     draws, _ = mix(sizes)
     takes = draws.groupBy("row", "turn").agg(F.sort_array(F.collect_list("block")).alias("blocks"), F.sum("words").alias("words"))
     takes = takes.join(sizes.select("row", "size"), "row")

@@ -416,21 +416,22 @@ def fill(sizes):
 def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     monkeypatch.setattr(mixing, "SHARD", 32)
-    monkeypatch.setattr(mixing, "CELL", 8)
+    monkeypatch.setattr(mixing, "BIN", 20)
     rnd = random.Random(6)
-    rows = [(k, words(rnd, rnd.randint(0, 120)), None, rnd.choice(["hot"] * 6 + ["b", "a", "Z", None])) for k in range(150)] + [(150, None, None, "none"), (300, "again twice", None, "a"), (300, "again twice", None, "a")]
+    rows = [(k, words(rnd, rnd.randint(0, 120)), None, rnd.choice(["hot"] * 6 + ["b", "a", "Z", None])) for k in range(150)] + [(150, None, None, "none"), (300, "again twice", None, "a"), (300, "again twice", None, "a"), *[(300, words(rnd, 20 * k), None, "hot") for k in range(9)]]
     docs = documents(spark, rows)
     sizes = {}
     for _, t, _, s in rows:
         sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     goal = fill(sizes)
     got = mixing.mixed(docs).collect()
-    assert collected(mixing.mixed(docs.repartition(5).sortWithinPartitions("doc_id")).where("doc_id <> 300"), "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got if r.doc_id != 300), key=repr)
-    source = {i: s for i, _, _, s in rows}
-    taken = {}
+    assert collected(mixing.mixed(docs.repartition(5).sortWithinPartitions("doc_id")), "doc_id", "size", "taken") == sorted(((r.doc_id, r.size, r.taken) for r in got), key=repr)
+    taken, by_size = {}, {n: s for s, n in sizes.items()}
+    assert len(by_size) == len(sizes)
     for r in got:
-        assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(goal[source[r.doc_id]]) and 0 <= r.taken <= 2 * r.size
-        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+        s = by_size[r.source_size]
+        assert r.target == pytest.approx(goal[s]) and 0 <= r.taken <= 2 * r.size
+        taken[s] = taken.get(s, 0) + r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - goal[s]) <= 16 for s in goal)
     assert mixing.mixed(empty(spark)).count() == 0 and [r.taken for r in mixing.mixed(documents(spark, [(1, " ", None, None)])).collect()] == [0]
     texts = mixing.mixed_documents(docs)
@@ -443,8 +444,25 @@ def test_splitting_tree_is_a_partition():
     leaves = list(mixing.descend(0, 7, 7, int(counts.sum()), counts, np.zeros(4, np.int64), 3, 1))
     assert [lo for lo, *_ in leaves] == list(range(7)) and (sum(x[2] for x in leaves) == counts).all()
     assert {int(x[2].sum()) for x in leaves} <= {191, 192} and all((a[3] + a[2] == b[3]).all() for a, b in zip(leaves, leaves[1:], strict=False))
-    big = mixing.hypergeometric(np.random.default_rng(1), 3_000_000_000, 1_000_000_000, 1_000_000)
-    assert abs(big - 750_000) < 5_000
+    rng = np.random.default_rng(1)
+    big = np.array([mixing.hypergeometric(rng, 3_000_000_000, 1_000_000_000, 1_000_000) for _ in range(400)])
+    assert abs(big.mean() - 750_000) < 5 * 433 / 20 and 0.85 < big.std() / 433 < 1.15
+    few = np.array([mixing.hypergeometric(rng, 2_000_000_000, 2, 3_000_000_000 // 2) for _ in range(300)])
+    assert set(few.tolist()) <= {1_499_999_998, 1_499_999_999, 1_500_000_000} and 0.5 < (1_500_000_000 - few).mean() / 1.5 < 1.5
+    assert mixing.hypergeometric(rng, 0, 2_000_000_000, 5) == 0
+
+
+def test_shards_are_shuffled_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "SHARD", 50)
+    sizes = spark.createDataFrame([(i, i, "ab"[i % 2], 8, i) for i in range(300)], "row long, doc_id long, source string, size long, mark long")
+    shards, _ = mixing.mix(sizes)
+    rows = shards.collect()
+    count = {k: sum(r.shard == k for r in rows) for k in {r.shard for r in rows}}
+    assert len(rows) == len({(r.row, r.block, r.turn) for r in rows}) == 900 and sorted(count) == list(range(18)) and set(count.values()) == {50}
+    for k in count:
+        keys = [(r.key, r.nth) for r in rows if r.shard == k]
+        assert keys == sorted(keys) and {n for _, n in keys} == {0, 1} and [n for _, n in keys] != sorted(n for _, n in keys)
 
 
 # top-k
