@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A file as a scan lists it; content is read only where a plan asks for it.
-FILES = "path string, relpath string, subpath string, size bigint, mtime timestamp, ctime timestamp, uid int, gid int, mode int, ftype string, named boolean"
+#: A file as a scan lists it, with what the ignore files say of it; content is read only where a plan asks for it.
+FILES = "path string, relpath string, subpath string, size bigint, mtime timestamp, ctime timestamp, uid int, gid int, mode int, ftype string, named boolean, verdict string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

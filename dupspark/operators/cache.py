@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .kv import Locked, SnapshotTable
+from .kv import SnapshotTable
 
 SCHEMA = "path string, mtime timestamp, ctime timestamp, size bigint, h string"
 
@@ -20,13 +20,12 @@ class HashCache:
 
     @contextmanager
     def opened(self):
-        """Holds the cache for this process; a second opening raises until it is closed."""
-        if not self.table.files.create("open.lock", ""):
-            raise Locked(self.table.files.root)
+        """Holds the cache for this process; a second opening raises Locked until it is closed."""
+        mine = self.table.files.claim("open.lock", self.table.lease)
         try:
             yield self
         finally:
-            self.table.files.delete("open.lock")
+            self.table.files.release("open.lock", mine)
 
     def lookup(self, files: DataFrame) -> DataFrame:
         """files(path) beside the cached columns, null where the cache has nothing."""

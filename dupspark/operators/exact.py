@@ -37,13 +37,19 @@ def groups(files: DataFrame, verify: bool = False) -> DataFrame:
     return files.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("first_path")).where("n > 1").drop("content")
 
 
-def members(files: DataFrame, rank: bool = True) -> DataFrame:
+def members(files: DataFrame, rank: bool = True, verify: bool = False) -> DataFrame:
     """Rows of the sets of equal files, numbered inside their set: prioritized ones first, then by path.
 
     The sets' keys come from a pre-aggregated count, so a file without a copy leaves before the ranking's sort, and
-    content is no part of what is shuffled.
+    content is no part of what is shuffled. verify: sets are of equal bytes; contents are shuffled, and where two have
+    one hash, the sets but the one with the smallest path have that path behind theirs.
     """
     keyed = files.drop("content")
+    if verify:
+        one = files.groupBy("size", "h", "content").agg(F.min("path").alias("_p"), F.count("*").alias("_k"))
+        named = one.join(one.groupBy("size", "h").agg(F.min("_p").alias("_least")), ["size", "h"])
+        named = named.select("size", "h", "content", F.when(F.col("_p") == F.col("_least"), F.col("h")).otherwise(F.concat("h", F.lit(" "), "_p")).alias("_h"))
+        keyed = files.join(named, ["size", "h", "content"]).drop("content", "h").withColumnRenamed("_h", "h")
     several = keyed.groupBy("size", "h").agg(F.count("*").alias("n")).where("n > 1")
     out = keyed.join(several, ["size", "h"])
     if rank:
@@ -59,6 +65,11 @@ def verified_pairs(files: DataFrame, key: str = "id") -> DataFrame:
     return a.join(b, ["size", "h"]).where("a < b and ca = cb").select("a", "b", "size", "h")
 
 
+def size_changes(files: DataFrame) -> DataFrame:
+    """(size, before): each distinct size beside the next larger one. The window runs over one row a size, in one task."""
+    return size_histogram(files).select("size").withColumn("before", F.lag("size").over(Window.partitionBy().orderBy(F.desc("size"))))
+
+
 def reclaimable(sets: DataFrame) -> DataFrame:
     """Extension: the bytes that one copy of each set would save."""
     return sets.agg(F.sum(F.col("size") * (F.col("n") - 1)).alias("bytes"), F.count("*").alias("sets"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -61,6 +64,37 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def claim(self, name: str, lease: float) -> str:
+        """Takes a lock and returns its text. A lock is void if its process on this host is gone or its lease ended; else Locked."""
+        mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "until": time.time() + lease, "id": uuid.uuid4().hex})
+        if self.create(name, mine):
+            return mine
+        try:
+            theirs = json.loads(self.read(name))
+            void = theirs["until"] < time.time() or theirs["host"] == socket.gethostname() and not alive(theirs["pid"])
+        except (ValueError, KeyError):  # being written just now, or left half written: its age decides
+            void = self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000 + lease < time.time()
+        if void:
+            self.delete(name)
+            if self.create(name, mine):
+                return mine
+        raise Locked(self.root)
+
+    def release(self, name: str, mine: str) -> None:
+        """Gives a lock back unless another has taken it over."""
+        if self.fs.exists(self.path(name)) and self.read(name) == mine:
+            self.delete(name)
+
+
+def alive(pid: int) -> bool:
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except PermissionError:
+        pass
+    return True
+
 
 class SnapshotTable:
     """Rows keyed by one column; readers pin a version, one writer at a time publishes the next.
@@ -70,18 +104,20 @@ class SnapshotTable:
     the table. Nothing in a published folder ever changes.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType | str, key: str = "k", partitions: int | None = None):
-        self.spark, self.key, self.files, self.partitions = spark, key, Files(spark, root), partitions
+    def __init__(self, spark: SparkSession, root: str, schema: StructType | str, key: str = "k", partitions: int | None = None, lease: float = 86400.0):
+        self.spark, self.key, self.files, self.partitions, self.lease = spark, key, Files(spark, root), partitions, lease
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def versions(self) -> list[int]:
         return [int(n[:-5]) for n in self.files.names("manifests") if n.endswith(".json") and not n.startswith(".") and self.valid(int(n[:-5]))]
 
     def valid(self, version: int) -> bool:
+        text = self.files.read(f"manifests/{version:012d}.json")
         try:
-            return json.loads(self.files.read(f"manifests/{version:012d}.json"))["version"] == version and "_SUCCESS" in self.files.names(f"data/{version:012d}")
-        except Exception:  # a manifest that can't be read isn't valid
+            named = json.loads(text)["version"] == version
+        except (ValueError, KeyError):  # a torn manifest
             return False
+        return named and "_SUCCESS" in self.files.names(f"data/{version:012d}")
 
     def live(self) -> int:
         """The newest valid version, 0 for a table without one."""
@@ -115,14 +151,13 @@ class SnapshotTable:
     @contextmanager
     def writer(self):
         """A write batch. It is published when the block ends well and left unpublished when it fails."""
-        if not self.files.create("writer.lock", ""):
-            raise Locked(self.files.root)
+        mine = self.files.claim("writer.lock", self.lease)
         try:
             batch = Batch(self)
             yield batch
             batch.commit()
         finally:
-            self.files.delete("writer.lock")
+            self.files.release("writer.lock", mine)
 
     def retain(self, keep: int = 1) -> list[int]:
         """Deletes versions that are below both the newest `keep` and the oldest reader; returns them."""
@@ -143,6 +178,8 @@ class Batch:
     def checked(self, changes: DataFrame) -> DataFrame:
         if [(f.name, f.dataType) for f in changes.schema] != [(f.name, f.dataType) for f in self.table.schema]:
             raise ValueError(f"schema {changes.schema.simpleString()} is not {self.table.schema.simpleString()}")
+        if not changes.where(F.col(self.table.key).isNull()).isEmpty():
+            raise ValueError("a key is null")
         return changes
 
     def insert(self, changes: DataFrame) -> None:
@@ -161,7 +198,7 @@ class Batch:
         self.rows, self.changed = self.rows.join(one, key, "left_anti").unionByName(one), True
 
     def delete(self, keys: DataFrame) -> DataFrame:
-        """Takes the keys away; returns those that weren't there."""
+        """Takes the keys away; returns those that weren't there, a null one among them."""
         key = self.table.key
         keys = keys.select(key).distinct()
         missing = keys.join(self.rows, key, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +15,7 @@ from ..functions.vectors import level
 from ..operators import exact, filters, ordered, rules, similar
 from ..operators.cache import HashCache
 from ..operators.kv import SnapshotTable
+from ..sources import archives
 from ..workspace import shared_folder
 from . import report
 
@@ -205,10 +208,7 @@ def topk_per_source(spark, sf_dir):
 
 @query(f"WITH {FILES}, d AS (SELECT size, lag(size) OVER (ORDER BY size DESC) AS before FROM (SELECT DISTINCT size FROM files)) SELECT size, before FROM d")
 def size_changes(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    sizes = exact.size_histogram(catalog.documents(spark, sf_dir)).select("size")
-    return sizes.withColumn("before", F.lag("size").over(Window.orderBy(F.desc("size"))))
+    return exact.size_changes(catalog.documents(spark, sf_dir))
 
 
 @query("SELECT 'documents' AS root, text AS content FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'benchmark', text FROM benchmark")
@@ -300,25 +300,53 @@ def kv_upsert(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def kv_delete(spark, sf_dir):
-    return catalog.table(spark, sf_dir, "documents").select("doc_id").join(catalog.table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    """Documents fill a snapshot table; a batch takes the labelled ones away."""
+    table = id_table(spark, catalog.table(spark, sf_dir, "documents"))
+    with table.writer() as batch:
+        batch.delete(catalog.table(spark, sf_dir, "labels").select("doc_id"))
+    return table.read()
+
+
+def id_table(spark, rows):
+    table = SnapshotTable(spark, shared_folder(spark), "doc_id bigint", "doc_id")
+    with table.writer() as batch:
+        batch.insert(rows.select("doc_id"))
+    return table
 
 
 @query("SELECT l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
 def kv_delete_missing(spark, sf_dir):
-    even = catalog.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
-    return catalog.table(spark, sf_dir, "labels").select("doc_id").join(even, "doc_id", "left_anti")
+    """The keys that a delete doesn't find."""
+    table = id_table(spark, catalog.table(spark, sf_dir, "documents").where("doc_id % 2 = 0"))
+    with table.writer() as batch:
+        return batch.delete(catalog.table(spark, sf_dir, "labels").select("doc_id"))
 
 
 @query("SELECT d.doc_id, l.quality AS cached FROM documents d LEFT JOIN labels l USING (doc_id)")
 def cache_lookup(spark, sf_dir):
-    known = catalog.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("cached"))
-    return catalog.table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left")
+    """The labels fill a hash cache; every document is looked up in it."""
+    cache = filled_cache(spark, catalog.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("h")))
+    files = catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"))
+    return cache.lookup(files).select(F.col("path").cast("bigint").alias("doc_id"), F.col("cached_h").cast("int").alias("cached"))
+
+
+def filled_cache(spark, rows):
+    cache, never = HashCache(spark, shared_folder(spark)), F.lit(0).cast("timestamp")
+    with cache.opened():
+        cache.upsert(rows.select(F.col("doc_id").cast("string").alias("path"), never.alias("mtime"), never.alias("ctime"), F.lit(0).cast("bigint").alias("size"), "h"))
+    return cache
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def cache_sweep(spark, sf_dir):
-    visited = catalog.table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return catalog.table(spark, sf_dir, "documents").select("doc_id", "source").join(visited, "doc_id", "left_semi")
+    """Documents fill a hash cache; the labelled ones are marked twice, and the sweep drops the others."""
+    cache = filled_cache(spark, catalog.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("h")))
+    seen = catalog.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))
+    with cache.opened():
+        cache.mark(seen)
+        cache.mark(seen.where("path > '5'"))
+        cache.sweep()
+    return cache.table.read().select(F.col("path").cast("bigint").alias("doc_id"), F.col("h").alias("source"))
 
 
 @query(f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY k, event_id % 2 ORDER BY ts DESC, event_id DESC) AS n FROM log),
@@ -357,20 +385,42 @@ def cache_rescan(spark, sf_dir):
     return cache.fresh(seen.select("path", "mtime", "ctime", "size")).select("path", "size", "h")
 
 
-@query("SELECT coalesce(min(user_id), 0) AS oldest FROM events WHERE event_type = 'view' AND user_id > 0")
+def customer_versions(spark, sf_dir, pinned=None, keep=1):
+    """A snapshot table that takes a third of the customers a version; a reader pins version `pinned` while older ones are dropped."""
+    table = SnapshotTable(spark, shared_folder(spark), "k bigint, v double")
+    customers = catalog.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("k"), F.col("c_acctbal").cast("double").alias("v"))
+    with contextlib.ExitStack() as readers:
+        for n in range(3):
+            with table.writer() as batch:
+                batch.insert(customers.where(F.col("k") % 3 == n))
+            if n + 1 == pinned:
+                readers.enter_context(table.reader())
+        oldest = table.oldest_reader()
+        table.retain(keep)
+    return table, oldest
+
+
+@query("SELECT CAST(2 AS BIGINT) AS oldest, CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 < 2")
 def oldest_reader(spark, sf_dir):
-    return catalog.table(spark, sf_dir, "events").where("event_type = 'view' and user_id > 0").agg(F.coalesce(F.min("user_id"), F.lit(0).cast("bigint")).alias("oldest"))
+    """The version of the oldest reader, and its rows, which a later write doesn't change and the retention leaves alone."""
+    table, oldest = customer_versions(spark, sf_dir, pinned=2)
+    return table.read(oldest).select(F.lit(oldest).cast("bigint").alias("oldest"), "k", "v")
 
 
-@query("SELECT o_custkey AS owner, max(o_orderkey) AS live, count(*) - 1 AS retired FROM orders GROUP BY o_custkey")
+@query("SELECT CAST(v AS BIGINT) AS version, count(*) AS n FROM customer, (VALUES (2), (3)) AS t(v) WHERE c_custkey % 3 < v GROUP BY v")
 def retained_versions(spark, sf_dir):
-    return catalog.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.max("o_orderkey").alias("live"), (F.count("*") - 1).alias("retired"))
+    """Rows of the versions that are left when the newest two are kept."""
+    table, _ = customer_versions(spark, sf_dir, keep=2)
+    counts = [table.read(v).agg(F.lit(v).cast("bigint").alias("version"), F.count("*").alias("n")) for v in table.versions()]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query("""WITH c AS (SELECT conv_id || CASE WHEN turn IS NULL THEN '' ELSE ':' || turn END AS shown, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS h FROM conversations)
 SELECT size, h, count(*) AS n, min(shown) AS first_shown FROM c GROUP BY size, h""")
 def archive_members(spark, sf_dir):
-    files = exact.with_hash(catalog.conversations(spark, sf_dir)).withColumn("shown", report.shown_path())
+    """Every conversation is packed into a zip archive, a member a turn, and read again as archive members."""
+    inside = archives.expand(archives.packed(catalog.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text"))
+    files = exact.with_hash(inside.where("error is null")).withColumn("shown", report.shown_path())
     return files.groupBy("size", "h").agg(F.count("*").alias("n"), F.min("shown").alias("first_shown"))
 
 
@@ -382,7 +432,7 @@ def reclaimable_bytes(spark, sf_dir):
 @query("SELECT encode(p_name) AS k, p_partkey AS id FROM part WHERE encode(p_name) >= encode('f') AND encode(p_name) < encode('m')")
 def byte_order_range(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "part").select(F.col("p_name").cast("binary").alias("k"), F.col("p_partkey").alias("id"))
-    return rows.where((F.col("k") >= F.lit("f").cast("binary")) & (F.col("k") < F.lit("m").cast("binary")))
+    return ordered.key_range(rows, bytearray(b"f"), bytearray(b"m"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

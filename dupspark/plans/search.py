@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.hashing import digest, xxh128
 from ..operators import exact, filters, rules, similar
 from ..options import ARCHIVES, Options
 from ..sources import archives, files, images
@@ -22,39 +23,44 @@ HELP = """dupspark [options] path ...
 """
 
 
-def ignore_contexts(spark: SparkSession, o: Options) -> list[rules.Context]:
-    """The built-in rules at every root, then each .gitignore below a root, from the top down."""
-    contexts = [rules.Context("", tuple(rules.parse_rules(rules.DEFAULTS)))]
-    found = files.scan(spark, o.roots, o.recurse, o.follow_links, hidden=True, deny=o.deny)
-    for r in sorted(found.where(F.col("relpath").rlike(r"(^|/)\.gitignore\z")).select("path", "relpath").distinct().toLocalIterator(), key=lambda r: r.relpath.count("/")):
-        with open(r.path, errors="replace") as lines:
-            contexts.append(rules.Context(os.path.dirname(r.relpath), tuple(rules.parse_rules(lines))))
-    return contexts
-
-
 def listed(spark: SparkSession, o: Options) -> DataFrame:
     """The files that pass every predicate, with prioritized. No file at all is an error, as is a missing root."""
-    found = files.scan(spark, o.roots, o.recurse, o.follow_links, o.hidden, o.deny, absolute=o.json or o.images)
+    found = files.scan(spark, o.roots, o.recurse, o.follow_links, o.hidden, o.deny, absolute=o.json or o.images, ignore=True)
     found = found.where(filters.permitted(F.col("uid"), F.col("gid"), F.col("mode"), os.getuid(), os.getgroups()))
-    passed = filters.scan_filter(found, o).where(rules.survives(F.col("relpath"), ignore_contexts(spark, o)) | F.col("named"))
+    passed = filters.scan_filter(found, o).where((F.col("verdict") != rules.IGNORED) | F.col("named")).drop("verdict")
     return passed.dropDuplicates(["path"]) if o.dedupe_paths else passed
 
 
+def unreadable(spark: SparkSession, o: Options) -> DataFrame:
+    """(path, error) of the folders that couldn't be listed."""
+    found = files.scan(spark, o.roots, o.recurse, o.follow_links, o.hidden, o.deny, absolute=o.json or o.images, ignore=True, ftype="unreadable")
+    return found.select("path", F.lit("the folder can't be read").alias("error"))
+
+
 def duplicates(spark: SparkSession, o: Options) -> tuple[DataFrame, DataFrame]:
-    """(members, errors): the ranked members of the sets, and files that couldn't be read."""
+    """(members, errors): the ranked members of the sets, and files and folders that couldn't be read."""
     found = listed(spark, o)
     if found.isEmpty():
         raise ValueError("please submit at least one file")
+    kind = "xxh128" if o.json else o.hash_kind
+    spread = lambda df: df.repartition(o.threads) if o.threads else df  # noqa: E731  so many tasks read files at a time
     if o.archives:
         packed = found.where(F.col("path").rlike(rules.java_regex(ARCHIVES, True)))
-        inside = archives.expand(files.with_content(packed).where("content is not null"))
-        about = packed.select("path", "mtime", "prioritized")
-        inner = inside.join(about, "path").select("path", "subpath", "size", "mtime", "prioritized", "error", F.md5("content").alias("h"))
-        plain = files.with_file_hash(found, o.hash_kind).select("path", "subpath", "size", "mtime", "prioritized", "error", "h")
-        hashed = plain.unionByName(inner)
+        inside = archives.expand(files.with_content(spread(packed)).where("content is not null"))
+        own = xxh128(F.col("content")) if kind == "xxh128" else digest(F.col("content"), kind)
+        inner = inside.join(packed.select("path", "mtime", "prioritized"), "path").withColumn("h", own)
+        plain = files.with_file_hash(spread(found), kind)
+        if o.verify:
+            plain, inner = files.with_content(plain.where("error is null").drop("error")).unionByName(plain.where("error is not null").withColumn("content", F.lit(None).cast("binary"))), inner
+        columns = ["path", "subpath", "size", "mtime", "prioritized", "error", "h", *(["content"] if o.verify else [])]
+        hashed = plain.select(columns).unionByName(inner.select(columns))
     else:
-        hashed = files.with_file_hash(exact.size_candidates(found), "xxh128" if o.json else o.hash_kind)
-    return exact.members(hashed.where("error is null").drop("error")), hashed.where("error is not null").select("path", "error")
+        hashed = files.with_file_hash(spread(exact.size_candidates(found)), kind)
+        if o.verify:
+            several = hashed.where("error is null").groupBy("size", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+            hashed = files.with_content(hashed.where("error is null").join(several, ["size", "h"], "left_semi").drop("error")).unionByName(hashed.where("error is not null").withColumn("content", F.lit(None).cast("binary")))
+    good, errors = hashed.where("error is null").drop("error"), hashed.where("error is not null").select("path", "error")
+    return exact.members(good, verify=o.verify), errors.unionByName(unreadable(spark, o))
 
 
 def similar_images(spark: SparkSession, o: Options) -> DataFrame:
@@ -74,7 +80,8 @@ def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
         out.write(f"dupspark {VERSION}\n" if asked[0] in ("-V", "--version") else HELP)
         return 0
     o = Options.parse(argv)
-    spark = spark or SparkSession.builder.appName("dupspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("dupspark").config("spark.sql.session.timeZone", "UTC")
+    spark = spark or (builder.config("spark.default.parallelism", str(o.threads)) if o.threads else builder).getOrCreate()
     if o.images:
         for r in similar_images(spark, o).orderBy("pivot").toLocalIterator():
             out.write(o.separator.join([r.pivot, *r.others]) + "\n\n")

@@ -8,7 +8,9 @@ import io
 import lzma
 import tarfile
 import zipfile
+import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,24 +41,39 @@ def members_of(path: str, content: bytes):
 
 
 def expand(archives: DataFrame) -> DataFrame:
-    """(path, subpath, size, content, error) of archives(path, content): a row a member, or one with the error."""
+    """(path, subpath, size, content, error) of archives(path, content): a row a member, and one with the error where reading ends early."""
+
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["path", "subpath", "size", "content", "error"])
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    rows = [(path, name, len(data), data, None) for name, data in members_of(path, content)]
-                except (ValueError, OSError, EOFError, lzma.LZMAError, tarfile.TarError, zipfile.BadZipFile) as e:
-                    rows = [(path, None, None, None, f"{type(e).__name__}: {e}")]
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "subpath", "size", "content", "error"])
+                try:  # a member at a time; those before an error stay
+                    for name, data in members_of(path, content):
+                        yield row(path, name, len(data), data, None)
+                except (ValueError, OSError, EOFError, RuntimeError, zlib.error, lzma.LZMAError, tarfile.TarError, zipfile.BadZipFile) as e:
+                    yield row(path, None, None, None, f"{type(e).__name__}: {e}")
 
     return archives.select("path", "content").mapInArrow(run, "path string, subpath string, size long, content binary, error string")
 
 
+def packed(rows: DataFrame, path: str, name: str, content: str) -> DataFrame:
+    """(path, content): a zip archive of each path's rows, members ordered by name; null content is an empty member. An archive is built in one task."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        stream = io.BytesIO()
+        with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, c in sorted(zip(part["name"], part["content"], strict=True)):
+                z.writestr(zipfile.ZipInfo(n), c)
+        return pd.DataFrame({"path": part["path"].iloc[:1], "content": [stream.getvalue()]})
+
+    named = rows.select(F.col(path).cast("string").alias("path"), F.coalesce(F.col(name).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content"))
+    return named.groupBy("path").applyInPandas(run, "path string, content binary")
+
+
 def read_archives(spark: SparkSession, *paths: str) -> DataFrame:
     """Members of the archives at paths, told by their names."""
     files = spark.read.format("binaryFile").load(list(paths)).where(F.col("path").rlike(java_regex(ARCHIVES, True)))

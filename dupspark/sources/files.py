@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import stat
 from datetime import datetime, timezone
 
@@ -12,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..catalog import FILES
+from ..operators import rules
 
 
 def kind_of(mode: int) -> str:
     return "file" if stat.S_ISREG(mode) else "dir" if stat.S_ISDIR(mode) else "link" if stat.S_ISLNK(mode) else "other"
 
 
+def compiled(own: list[rules.Rule]) -> list[tuple[re.Pattern, bool, bool]]:
+    """The rules for Python's engine, which writes the end of the text another way."""
+    return [(re.compile(re.sub(r"\\z(\)?)\Z", r"\\Z\1", r.regex)), r.negated, r.only_directories) for r in own]
+
+
 class Part(InputPartition):
     """A subtree, or the files that lie directly in a root."""
 
@@ -32,6 +39,7 @@ class FileTreeReader(DataSourceReader):
         self.follow = options.get("followsymlinks", "false") == "true"
         self.hidden = options.get("hidden", "false") == "true"
         self.deny = set(json.loads(options.get("deny", "[]")))
+        self.ignore, self.strict = options.get("ignore", "false") == "true", options.get("strict", "false") == "true"
 
     def partitions(self):
         """One partition a root's own files and one for each directory in it, so subtrees are listed in parallel."""
@@ -41,41 +49,83 @@ class FileTreeReader(DataSourceReader):
             if stat.S_ISDIR(info.st_mode):
                 parts.append(Part(root, root, False))
                 if self.recurse:
-                    parts += [Part(root, os.path.join(root, e.name), True) for e in sorted(os.scandir(root), key=lambda e: e.name) if self.enters(e)]
+                    parts += [Part(root, os.path.join(root, e.name), True) for e in self.entries(root) or [] if self.enters(e)]
             else:
                 parts.append(Part(root, root, False, True))
         return parts
 
+    @staticmethod
+    def entries(folder: str) -> list[os.DirEntry] | None:
+        """What lies in a folder, by name; None if it can't be read."""
+        try:
+            return sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError:
+            return None
+
+    def contexts(self, folder: str, above: list) -> list:
+        """The rules that hold in a folder: those of the folders above it up to the root, then its own ignore file's."""
+        if not self.ignore:
+            return above
+        try:
+            with open(os.path.join(folder, ".gitignore"), errors="replace") as lines:
+                return [*above, (folder, compiled(rules.parse_rules(lines)))]
+        except OSError:
+            return above
+
+    def verdict(self, path: str, is_dir: bool, contexts: list) -> str:
+        """As rules.verdict(): the last matching rule of the deepest context, or if strict of the topmost."""
+        said = rules.NONE
+        for base, own in reversed(contexts) if self.strict else contexts:
+            below = path[len(base.rstrip("/")) :].lstrip("/")
+            for regex, negated, only_directories in own:
+                if (is_dir or not only_directories) and regex.search(below):
+                    said = rules.WHITELISTED if negated else rules.IGNORED
+        return said
+
     def enters(self, entry) -> bool:
         named_off = entry.name in self.deny or (not self.hidden and entry.name.startswith("."))
         return not named_off and entry.is_dir(follow_symlinks=self.follow)
 
-    def row(self, part: Part, path: str, info: os.stat_result):
+    def row(self, part: Part, path: str, info: os.stat_result, verdict: str = rules.NONE, kind: str | None = None):
         at = lambda t: datetime.fromtimestamp(t, timezone.utc)
         below = os.path.basename(path) if part.named else os.path.relpath(path, part.root)
-        return (path, below, None, info.st_size, at(info.st_mtime), at(info.st_ctime), info.st_uid, info.st_gid, stat.S_IMODE(info.st_mode), kind_of(info.st_mode), part.named)
+        return (path, below, None, info.st_size, at(info.st_mtime), at(info.st_ctime), info.st_uid, info.st_gid, stat.S_IMODE(info.st_mode), kind or kind_of(info.st_mode), part.named, verdict)
 
     def read(self, part: Part):
         if part.named:
             info = os.stat(part.start) if self.follow else os.lstat(part.start)
             yield self.row(part, part.start, info)
             return
-        todo = [(part.start, frozenset())]
+        rooted = [(part.root, compiled(rules.parse_rules(rules.DEFAULTS)))] if self.ignore else []
+        if part.deep:
+            rooted = self.contexts(part.root, rooted)
+            if self.verdict(part.start, True, rooted) == rules.IGNORED:
+                return
+        todo = [(part.start, frozenset(), rooted)]
         while todo:
-            folder, above = todo.pop()
-            own = os.stat(folder)
+            folder, above, contexts = todo.pop()
+            try:
+                own = os.stat(folder)
+            except OSError:
+                continue  # gone since it was listed
             if (own.st_dev, own.st_ino) in above:
                 continue  # a link that leads back up
             above = above | {(own.st_dev, own.st_ino)}
-            for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+            entries = self.entries(folder)
+            if entries is None:
+                yield self.row(part, folder, own, kind="unreadable")
+                continue
+            contexts = self.contexts(folder, contexts)
+            for entry in entries:
                 if part.deep and self.enters(entry):
-                    todo.append((entry.path, above))
+                    if self.verdict(entry.path, True, contexts) != rules.IGNORED:  # else the whole subtree stays unread
+                        todo.append((entry.path, above, contexts))
                 elif not entry.is_dir(follow_symlinks=self.follow):
                     try:
                         info = entry.stat(follow_symlinks=self.follow)
                     except FileNotFoundError:  # a link to nothing
                         continue
-                    yield self.row(part, entry.path, info)
+                    yield self.row(part, entry.path, info, self.verdict(entry.path, False, contexts))
 
 
 class FileTree(DataSource):
@@ -90,13 +140,19 @@ class FileTree(DataSource):
         return FileTreeReader(self.options)
 
 
-def scan(spark: SparkSession, roots, recurse: bool = True, follow: bool = False, hidden: bool = False, deny=(".", ".."), absolute: bool = False) -> DataFrame:
-    """Every file below the roots once for each root that holds it: regular files, and links' targets if followed."""
+def scan(spark: SparkSession, roots, recurse: bool = True, follow: bool = False, hidden: bool = False, deny=(".", ".."), absolute: bool = False, ignore: bool = False, strict: bool = False, ftype: str = "file") -> DataFrame:
+    """Every file below the roots once for each root that holds it: regular files, and links' targets if followed.
+
+    ignore: the built-in rules hold at every root and each .gitignore in and below its folder, for no other root; the
+    verdict column tells what they say of a file, and folders that they ignore aren't entered. ftype 'unreadable' gives the
+    folders that couldn't be listed.
+    """
     spark.dataSource.register(FileTree)
     tops = [os.path.abspath(r) if absolute else r for r in roots]
     reader = spark.read.format("filetree").option("roots", json.dumps(tops)).option("recurse", str(recurse).lower())
-    files = reader.option("followSymlinks", str(follow).lower()).option("hidden", str(hidden).lower()).option("deny", json.dumps(list(deny))).load()
-    return files.where("ftype = 'file'")
+    files = reader.option("followSymlinks", str(follow).lower()).option("hidden", str(hidden).lower()).option("deny", json.dumps(list(deny)))
+    files = files.option("ignore", str(ignore).lower()).option("strict", str(strict).lower()).load()
+    return files.where(F.col("ftype") == ftype)
 
 
 def with_content(files: DataFrame) -> DataFrame:

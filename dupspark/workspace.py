@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below the local temp folder only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/spark-work"
+    """A new folder below spark.checkpoint.dir; below the local temp folder only where that is unset and the master is local, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.gettempdir() + "/spark-work"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"

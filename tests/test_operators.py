@@ -98,6 +98,7 @@ def test_ordered(spark):
     assert near[b"key0000"].prev_key is None and bytes(near[b"key0500"].next_key) == b"key0501" and near[b"key0999"].next_key is None
     probes = spark.createDataFrame([(b"key0500a",), (b"a",), (b"z",)], "k binary")
     for bucket in (None, F.substring(F.col("k"), 1, 4)):
+        assert "NestedLoop" not in ordered.seek_many(rows, probes, bucket=bucket)._jdf.queryExecution().executedPlan().toString()
         assert {bytes(r.probe): r.k and bytes(r.k) for r in ordered.seek_many(rows, probes, bucket=bucket).collect()} == {b"key0500a": b"key0501", b"a": b"key0000", b"z": None}
 
 

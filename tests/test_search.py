@@ -145,3 +145,76 @@ def test_images(spark, tmp_path):
     png(tmp_path / "c.png", lambda x, y: ((x // 8 + y // 8) % 2 * 255,) * 3)
     text = run(spark, "-I", tmp_path)
     assert "a.png" in text and "b.png" in text and "c.png" not in text
+
+
+def test_ignore_files_hold_below_their_own_folder_alone(spark, tmp_path):
+    write(tmp_path, A__s__x_dat=b"same", B__s__x_dat=b"same", B__s__y_dat=b"same", A__s__deep__z_dat=b"same")
+    (tmp_path / "A" / "s" / ".gitignore").write_text("x_dat\n!kept/\n")
+    text = run(spark, tmp_path / "A", tmp_path / "B")
+    assert "B/s/x_dat" in text and "B/s/y_dat" in text and "A/s/deep/z_dat" in text and "A/s/x_dat" not in text
+
+
+def test_ignored_folders_are_not_entered(tmp_path):
+    write(tmp_path, node_modules__a=b"1", sub__build__b=b"1", sub__keep__c=b"1", sub__keep__build__d=b"1", top__node_modules__e=b"1")
+    (tmp_path / "sub" / "keep" / ".gitignore").write_text("!build/\n")
+    reader = files.FileTreeReader({"roots": json.dumps([str(tmp_path)]), "ignore": "true"})
+    entered, plain = [], reader.entries
+    reader.entries = lambda folder: entered.append(os.path.relpath(folder, tmp_path)) or plain(folder)
+    rows = [r for part in reader.partitions() for r in reader.read(part)]
+    assert sorted(r[1] for r in rows if ".git" not in r[1]) == ["sub/keep/build/d", "sub/keep/c"]
+    assert not {"node_modules", "sub/build", "top/node_modules"} & set(entered)
+
+
+def test_unreadable_folder_is_a_row_and_no_failure(tmp_path, monkeypatch):
+    write(tmp_path, good__a=b"1", bad__b=b"1")
+    reader, plain = files.FileTreeReader({"roots": json.dumps([str(tmp_path)])}), os.scandir
+
+    def scandir(folder):
+        if str(folder).endswith("bad"):
+            raise PermissionError(folder)
+        return plain(folder)
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    rows = [r for part in reader.partitions() for r in reader.read(part)]
+    assert sorted((r[1], r[9]) for r in rows) == [("bad", "unreadable"), ("good/a", "file")]
+
+
+def test_json_of_archive_members_has_the_hash_that_it_names(spark, tmp_path):
+    import xxhash
+
+    write(tmp_path, d=b"same" * 10)
+    with tarfile.open(tmp_path / "x.tar", "w") as t:
+        info = tarfile.TarInfo("m")
+        info.size = 40
+        t.addfile(info, io.BytesIO(b"same" * 10))
+    found = json.loads(run(spark, "-J", "-t", tmp_path))
+    assert len(found) == 1 and found[0]["hash_xxh128"] == xxhash.xxh3_128_hexdigest(b"same" * 10)
+    assert sorted(d["archive_subpath"] or "" for d in found[0]["duplicates"]) == ["", "m"]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_verify_parts_contents_of_one_hash(spark, tmp_path, monkeypatch, packed):
+    write(tmp_path, a=b"one", b=b"one", c=b"two", d=b"two", e=b"six")
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(search.files, "with_file_hash", lambda df, kind: df.withColumns({"h": F.lit("equal"), "error": F.lit(None).cast("string")}))
+    options = ["-t", "-j", "2"] if packed else ["-j", "2"]
+    plain, _ = search.duplicates(spark, Options.parse([*options, str(tmp_path)]))
+    assert {r.n for r in plain.collect()} == {5}
+    members, errors = search.duplicates(spark, Options.parse([*options, "--verify", str(tmp_path)]))
+    got = sorted((os.path.basename(r.path), r.n, r["rank"]) for r in members.collect())
+    assert got == [("a", 2, 1), ("b", 2, 2), ("c", 2, 1), ("d", 2, 2)] and errors.count() == 0
+
+
+def test_members_before_a_broken_one_stay(spark):
+    stream = io.BytesIO()
+    with tarfile.open(fileobj=stream, mode="w") as t:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = 2000
+            t.addfile(info, io.BytesIO(b"x" * 2000))
+    short = stream.getvalue()[: 512 + 2048 + 512 + 700]
+    rows = archives.expand(spark.createDataFrame([("t.tar", short)], "path string, content binary")).collect()
+    assert rows[0].subpath == "a" and rows[0].size == 2000 and rows[-1].error is not None
+    back = archives.expand(archives.packed(spark.createDataFrame([(1, None, "x"), (1, 2, None)], "c long, t long, x string"), "c", "t", "x"))
+    assert sorted((r.path, r.subpath, r.size) for r in back.collect()) == [("1", "2", 0), ("1", "null", 1)]

@@ -109,3 +109,46 @@ def test_stream_of_writes(spark, tmp_path):
     log = spark.readStream.schema("k string, v int, t int").parquet(str(tmp_path / "in"))
     upsert_stream(log, table, ["t"], str(tmp_path / "ck")).awaitTermination(120)
     assert {r.k: r.v for r in table.read().collect()} == {"a": 2, "b": 5}
+
+
+def test_null_keys_are_refused(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), "k string, v long")
+    rows = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v long")
+    for change in ("insert", "upsert"):
+        with pytest.raises(ValueError, match="null"), table.writer() as batch:
+            getattr(batch, change)(rows)
+    with table.writer() as batch:
+        batch.upsert(rows.where("k is not null"))
+    with table.writer() as batch:
+        assert [r.k for r in batch.delete(rows.select("k")).collect()] == [None]
+    assert table.read().count() == 0
+
+
+def test_locks_of_dead_or_late_owners_are_void(spark, tmp_path):
+    import json
+    import os
+    import socket
+    import subprocess
+    import sys
+    import time
+
+    table = SnapshotTable(spark, str(tmp_path / "t"), "k string, v long")
+    gone = subprocess.Popen([sys.executable, "-c", ""])
+    gone.wait()
+    rows = spark.createDataFrame([("a", 1)], "k string, v long")
+    hour = time.time() + 3600
+    for lock, free in (({"host": socket.gethostname(), "pid": gone.pid, "until": hour}, True), ({"host": "elsewhere", "pid": 1, "until": 1}, True), ({"host": "elsewhere", "pid": 1, "until": hour}, False), ({"host": socket.gethostname(), "pid": os.getpid(), "until": hour}, False)):
+        table.files.create("writer.lock", json.dumps(lock))
+        if free:
+            with table.writer() as batch:
+                batch.upsert(rows)
+            assert table.files.names("") and "writer.lock" not in table.files.names("")
+        else:
+            with pytest.raises(Locked), table.writer():
+                pass
+            table.files.delete("writer.lock")
+    with table.writer() as batch:
+        batch.upsert(rows)
+        table.files.delete("writer.lock")
+        table.files.create("writer.lock", "another's")  # taken over: it isn't ours to delete
+    assert table.files.read("writer.lock") == "another's"
