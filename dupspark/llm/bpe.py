@@ -26,7 +26,7 @@ from .common import bounded_batches, byte_blocks, byte_column, plain_names, span
 #: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
 BLOCK, PAGE, LONG = 2 << 20, 1 << 19, 255
 #: Words that are broadcast at most, some 30 bytes each.
-MOST = 1 << 20
+MOST = 3 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
@@ -262,21 +262,10 @@ class Pool:
         ends = np.cumsum(sizes, dtype=np.int64)
         self.hashes = span_hashes(text, ends - sizes, ends)
 
-    @classmethod
-    def of(cls, parts: list[tuple]) -> Pool:
-        """parts: (sizes, joined words, numbers of ids, joined ids), words in any order."""
-        got = cls(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        order = np.argsort(got.hashes, kind="stable")
-        lead = np.cumsum(got.counts, dtype=np.int64) - got.counts
-        text, ids = ([], [])
-        for lo in range(0, len(order), 1 << 15):  # the places of all bytes at once would take many times their size
-            k = order[lo : lo + (1 << 15)]
-            text.append(got.text[places(got.size[k].astype(np.int64), got.start[k].astype(np.int64))])
-            ids.append(got.ids[places(got.counts[k].astype(np.int64), lead[k])])
-        return cls(got.size[order], np.concatenate(text), got.counts[order], np.concatenate(ids))
-
     def find(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, -1 if it isn't here. Bytes decide."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         k = np.flatnonzero((self.hashes[place] == hashes) & (self.size[place] == stops - starts))
         n = (stops - starts)[k]
@@ -287,29 +276,32 @@ class Pool:
         return out
 
 
-def block_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, pool: Pool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Starts of a block's words, the number of each, the pool's place of each number (-1: none), and the words without one, in order."""
+def block_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, *pools: Pool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[bytes]]:
+    """Starts of a block's words, the number of each, each pool's place of each number (-1: none), and the words that no pool has, in order."""
     starts, stops = split_words(data, offsets, classes)
     sample, at, hashes = numbered(data, starts, stops)
-    place = pool.find(data, starts[sample], stops[sample], hashes)
-    new = sample[place < 0]
+    found = [pool.find(data, starts[sample], stops[sample], hashes) for pool in pools]
+    new = sample[np.max(found, axis=0) < 0]
     text = data.tobytes()
-    return starts, at, place, [text[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+    return starts, at, found, [text[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
 
 
-def tokens_alone(ranks: dict[bytes, int]) -> tuple:
+def token_pool(ranks: dict[bytes, int]) -> tuple:
+    """The arguments of the tokens' pool."""
     tokens = [t for t in ranks if len(t) <= LONG]
-    return np.array([len(t) for t in tokens], np.uint8), np.frombuffer(b"".join(tokens), np.uint8), np.ones(len(tokens), np.uint8), np.array([ranks[t] for t in tokens], np.int32)
+    size = np.array([len(t) for t in tokens], np.uint8)
+    ends = np.cumsum(size, dtype=np.int64)
+    order = np.argsort(span_hashes(np.frombuffer(b"".join(tokens), np.uint8), ends - size, ends), kind="stable").tolist()
+    return size[order], np.frombuffer(b"".join(tokens[k] for k in order), np.uint8), np.ones(len(tokens), np.uint8), np.array([ranks[tokens[k]] for k in order], np.int32)
 
 
-def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: Column, most: int) -> Pool:
-    """The tokens, and at most `most` of the other words in rows(_b binary): those that several blocks have, of a count that few enough words reach.
+def frequent_words(rows: DataFrame, tokens: tuple, fold: Column, most: int) -> tuple:
+    """The arguments of a pool of at most `most` words in rows(_b binary) that are no tokens: those that several blocks have, of a
+    count that few enough words reach. fold gives the ids of the words in a column _words.
 
-    fold gives the ids of the words in a column _words.
+    Executors fold, sort and pack the words; the driver only puts the packs one after another.
     """
-    tokens = tokens_alone(ranks)
-    own = Pool.of([tokens])
-    shared = rows.sparkSession.sparkContext.broadcast(((own.size, own.text), char_classes()))
+    shared = rows.sparkSession.sparkContext.broadcast((tokens[:2], char_classes()))
 
     def distinct(batches):
         pool, classes = Pool(*shared.value[0]), shared.value[1]
@@ -324,19 +316,30 @@ def frequent_words(rows: DataFrame, ranks: dict[bytes, int], fold: Column, most:
         if r.words > room:
             break
         room, least = room - r.words, r.n
-    parts = [tokens]
+    parts = [(np.zeros(0, np.uint8),) * 3 + (np.zeros(0, np.uint16),)]
     if least is not None:
 
+        def hashed(batches):
+            for batch in batches:
+                data, offsets = byte_column(batch.column(0))
+                h = span_hashes(data, offsets[:-1], offsets[1:]) ^ np.uint64(1 << 63)  # Spark's order of signed numbers is that of the hashes
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64))], ["word", "h"])
+
         def pack(batches):
             for batch in batches:
                 words, ids = batch.column(0).to_pylist(), batch.column(1)
-                columns = np.array([len(w) for w in words], np.uint8), np.frombuffer(b"".join(words), np.uint8), np.asarray(ids.value_lengths()).astype(np.uint8), np.asarray(ids.flatten()).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["s", "t", "c", "i"])
+                columns = np.array([len(w) for w in words], np.uint8), np.frombuffer(b"".join(words), np.uint8), np.asarray(ids.value_lengths()).astype(np.uint8), np.asarray(ids.flatten()).astype(narrow)
+                low = batch.column(2)[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([low]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["h", "s", "t", "c", "i"])
 
-        folded = found.where(F.col("n") >= least).select("word", F.array("word").alias("_words")).select("word", F.get(fold, 0).alias("ids"))
-        for r in written(folded.mapInArrow(pack, "s binary, t binary, c binary, i binary")).toLocalIterator():
-            parts.append((*(np.frombuffer(x, np.uint8) for x in (r.s, r.t, r.c)), np.frombuffer(r.i, np.int32)))
-    return Pool.of(parts)
+        narrow = np.uint16 if tokens[3].max(initial=0) < 1 << 16 else np.int32
+        chosen = found.where(F.col("n") >= least).select("word").mapInArrow(hashed, "word binary, h long")
+        chosen = written(chosen.repartitionByRange("h").sortWithinPartitions("h"))
+        folded = chosen.select("word", F.array("word").alias("_words"), "h").select("word", F.get(fold, 0).alias("ids"), "h")
+        packs = written(folded.mapInArrow(pack, "h long, s binary, t binary, c binary, i binary"))
+        for r in packs.orderBy("h").toLocalIterator():
+            parts.append((*(np.frombuffer(x, np.uint8) for x in (r.s, r.t, r.c)), np.frombuffer(r.i, narrow)))
+    return tuple(np.concatenate(x) for x in zip(*parts[1:] or parts, strict=True))
 
 
 def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str], columns: list[T.StructField], finish: Callable) -> DataFrame:
@@ -347,21 +350,21 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     spark = docs.sparkSession
     bounded_batches(spark)
     fold = RankMap.of(ranks).fold("_words")
-    pool = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), ranks, fold, MOST)
-    narrow = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
-    known, answers = (spark.sparkContext.broadcast(x) for x in (((pool.size, pool.text), char_classes()), (ranks, pool.counts, pool.ids.astype(narrow))))
-    del pool
+    tokens = token_pool(ranks)
+    words = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), tokens, fold, MOST)
+    known, answers = (spark.sparkContext.broadcast(x) for x in ((words[:2], tokens[:2], char_classes()), (ranks, words[2:], tokens[3])))
+    del words
 
     def cut(batches):
-        pool, classes = Pool(*known.value[0]), known.value[1]
+        pools, classes = [Pool(*x) for x in known.value[:2]], known.value[2]
         for batch in batches:
             for lo, hi, data, offsets in byte_blocks(batch, "_b", BLOCK):
                 data, offsets = repaired(data, offsets)
-                starts, at, place, words = block_words(data, offsets, classes, pool)
+                starts, at, (place, token), words = block_words(data, offsets, classes, *pools)
                 short = np.array([len(w) <= LONG for w in words], bool)
-                # a number tells where the ids are: the pool's place, or the place in the block's short or long words
-                code = place << 2
-                code[place < 0] = np.where(short, (np.cumsum(short) - 1) << 2 | 1, (np.cumsum(~short) - 1) << 2 | 2)
+                # a number tells where the ids are: a pool's place, or the place in the block's short or long words
+                code = np.where(token < 0, place << 2, token << 2 | 3)
+                code[(place < 0) & (token < 0)] = np.where(short, (np.cumsum(short) - 1) << 2 | 1, (np.cumsum(~short) - 1) << 2 | 2)
                 numbers = code.astype(np.int32)[at].tobytes()
                 ends = np.searchsorted(starts, offsets) * 4
                 own = [numbers[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -370,11 +373,11 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), pa.array(own, pa.binary()), *lists], [*keep, "_w", "_words", "_long"])
 
     def placed(batches):
-        ranks, counts, ids = answers.value
+        ranks, (counts, ids), alone = answers.value
+        found = [(np.cumsum(counts, dtype=np.int32) - counts, counts, ids), None, None, (np.arange(len(alone)), np.ones(len(alone), np.uint8), alone)]
         tokens = [b""] * (max(ranks.values(), default=0) + 1)
         for token, i in ranks.items():
             tokens[i] = token
-        found = [(np.cumsum(counts, dtype=np.int32) - counts, counts, ids)]
         for batch in batches:
             long, folded = batch.column(len(keep) + 1), batch.column(len(keep) + 2)
             heads = np.flatnonzero(np.asarray(long.is_valid())).tolist()
@@ -384,7 +387,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
                     ids, own = folded[lo].values, [merged(w, ranks) for w in long[lo].as_py()]
                     count = np.asarray(ids.value_lengths()).astype(np.int64), np.array([len(x) for x in own], np.int64)
                     flat = np.asarray(ids.flatten()).astype(np.int32), np.array([i for x in own for i in x], np.int32)
-                    found = [found[0], *((np.cumsum(n) - n, n, x) for n, x in zip(count, flat, strict=True))]
+                    found[1:3] = [(np.cumsum(n) - n, n, x) for n, x in zip(count, flat, strict=True)]
                 part = batch.slice(lo, hi - lo)
                 data, offsets = byte_column(part.column(len(keep)))
                 code = data.view(np.int32)

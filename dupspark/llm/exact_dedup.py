@@ -89,13 +89,15 @@ def fill(index: DigestIndex, digests: DataFrame, batches: int) -> list[str]:
     return names
 
 
-def beside_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """rows(digest, ...) beside the columns of groups. Large groups are few: they are broadcast and their rows stay where they are; all others meet by sort-merge join."""
+def beside_groups(rows: DataFrame, groups: DataFrame, total: int, staying: bool = False) -> DataFrame:
+    """rows(digest, ...) beside the columns of groups; if staying, only one row a digest, of those with its keep_id. Large groups are few: they are broadcast and their rows stay where they are; all others meet by sort-merge join."""
     large = F.col("group_size") > max(HOT, total // BROADCAST)
     names = [c for c in groups.columns if c != "digest"]
     marked = rows.join(F.broadcast(groups.where(large).select("digest", F.struct(*names).alias("_g"))), "digest", "left")
     many = marked.where("_g is not null").select(*rows.columns, "_g.*")
     rest = marked.where("_g is null").drop("_g").join(groups.where(~large).hint("merge"), "digest").select(*rows.columns, *names)
+    if staying:  # each by itself: rows that have been joined by digest stand together already
+        many, rest = (x.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]) for x in (many, rest))
     return many.unionByName(rest)
 
 
@@ -112,12 +114,12 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int
     digests = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")))
     own = index or DigestIndex(spark)
     names = fill(own, digests, batches)
-    kept = F.col("batch").isin(names) & (F.col("row") == F.col("keep_row"))
-    out = beside_groups(digests, own.groups(), digests.count()).withColumn("kept", kept)
-    out = written(out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")))
+    groups = written(own.groups())
     if index is None:
         own.close()
-    return out
+    kept = F.col("batch").isin(names) & (F.col("row") == F.col("keep_row"))
+    out = beside_groups(digests, groups, digests.count()).withColumn("kept", kept)
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
@@ -128,12 +130,11 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batches
     digests = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest"))
     own = index or DigestIndex(spark)
     names = fill(own, digests, batches)
-    staying = own.groups().where(F.col("batch").isin(names)).select("digest", "keep_id", "group_size")
-    out = beside_groups(rows, staying, digests.count()).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
-    out = written(out.select(*[F.col(n).alias(c) for c, n in at.items()]))
+    groups = written(own.groups().where(F.col("batch").isin(names)).select("digest", "keep_id", "group_size"))
     if index is None:
         own.close()
-    return out
+    out = beside_groups(rows, groups, digests.count(), staying=True)
+    return out.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
 EXACT_SQL = """

@@ -53,8 +53,8 @@ def padded_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return cells, first
 
 
-def train(texts: list[bytes], labels: list[str], windows_per_text: int = 6, rounds: int = 12, seed: int = 7) -> ByteNet:
-    """Adam on windows drawn evenly from the texts; labels weigh equally. No text gives a net with the one label 'und'."""
+def train(windows: list[bytes], labels: list[str], rounds: int = 12, seed: int = 7) -> ByteNet:
+    """Adam on windows of at most WINDOW bytes; labels weigh equally. No window gives a net with the one label 'und'."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels)) or ["und"]
     width = len(WIDTHS) * FILTERS
@@ -62,15 +62,11 @@ def train(texts: list[bytes], labels: list[str], windows_per_text: int = 6, roun
         names, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros((len(WIDTHS), FILTERS), np.float32),
         rng.normal(0, 0.3, (width, len(names))).astype(np.float32), np.zeros(len(names), np.float32),
     )
-    xs, ys = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text, np.uint8)
-        cells = padded_windows(data, np.array([0, len(data)]))[0].reshape(-1, WINDOW)
-        xs += list(cells[np.unique(np.linspace(0, len(cells) - 1, windows_per_text).astype(int))])
-        ys += [names.index(label)] * (len(xs) - len(ys))
     if len(names) < 2:
         return net
-    x, y = np.stack(xs), np.array(ys)
+    x, y = np.zeros((len(windows), WINDOW), np.uint8), np.array([names.index(label) for label in labels])
+    for row, window in zip(x, windows, strict=True):
+        row[: len(window)] = np.frombuffer(window, np.uint8)
     each = 1 / np.bincount(y, minlength=len(names))
     params = [*net.taps, net.bias, net.weights, net.offset]
     m, v, t, size = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, 128
@@ -110,11 +106,18 @@ def train(texts: list[bytes], labels: list[str], windows_per_text: int = 6, roun
     return net
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_label: int = 400) -> ByteNet:
-    """Trains on at most per_label texts of each non-null label, chosen by a hash of the key, with a bounded number of windows each."""
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("label"), F.substring(F.col(text).cast("binary"), 1, 16384).alias("text"))
-    rows = bounded_sample(known, "label", "k", per_label).orderBy("label", "k").collect()
-    return train([bytes(r.text) for r in rows], [r.label for r in rows])
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_label: int = 400, windows: int = 6, most_labels: int = 256) -> ByteNet:
+    """Trains on at most per_label texts of each non-null label, chosen by a hash of the key, and of each text on at most
+    `windows` windows, spread evenly over the whole of it. Only these windows come to the driver. Of more than most_labels
+    labels the most frequent are learned."""
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("label"), F.col(text).cast("binary").alias("b"))
+    labels = known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).select("label")
+    rows = bounded_sample(known.join(F.broadcast(labels), "label", "left_semi"), "label", "k", per_label)
+    count = F.ceil(F.length("b") / WINDOW)
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.floor(i * (count - 1) / (windows - 1)).cast("int")))
+    cut = rows.select("label", "k", F.posexplode(F.transform(places, lambda i: F.substring(F.col("b"), i * WINDOW + 1, F.lit(WINDOW)))).alias("nth", "window"))
+    found = cut.orderBy("label", "k", "nth", "window").collect()
+    return train([bytes(r.window) for r in found], [r.label for r in found])
 
 
 def predict(docs: DataFrame, net: ByteNet, text: str = "text", keep: list[str] | None = None) -> DataFrame:

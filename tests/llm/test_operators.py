@@ -122,8 +122,8 @@ def test_exact_dedup_is_native(spark, monkeypatch):
     plans = []
     keep = common.written
     monkeypatch.setattr(exact_dedup, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
-    exact_dedup.exact_groups(documents(spark))
-    exact_dedup.drop_exact_copies(documents(spark).selectExpr("*"))
+    for df in (exact_dedup.exact_groups(documents(spark)), exact_dedup.drop_exact_copies(documents(spark))):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
