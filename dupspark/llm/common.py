@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset and the master is local, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.gettempdir() + "/spark-work"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -97,35 +99,33 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 #: Odd multipliers of the polynomial and multiplicative hashes below; any odd numbers would do.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2**64, kept from call to call."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 16), base, np.uint64))]).astype(np.uint64)
-        _POWERS[base] = have
-    return have[:n]
+    """base ** 0, 1, ... base ** (n - 1) modulo 2**64."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, page: int = 1 << 20, base: int = BASE) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, page: int = 1 << 18, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of each of the spans, of which both starts and stops ascend: its bytes weighted by powers of base from the span's start, mixed.
 
     Prefix sums of weighted bytes make every span cost the same, however long it is; about a page of bytes is summed at a time.
     """
     out = np.empty(len(starts), np.uint64)
+    up = down = np.zeros(0, np.uint64)
     lo = 0
     while lo < len(starts):
         begin = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(stops, begin + page, side="right")))
         part = data[begin : stops[hi - 1]]
         first, last = starts[lo:hi] - begin, stops[lo:hi] - begin
+        if len(up) <= len(part):
+            up, down = powers(len(part) + 1, base), powers(len(part) + 1, pow(base, -1, 1 << 64))
         sums = np.zeros(len(part) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part), base), out=sums[1:])
-            h = (sums[last] - sums[first]) * powers(len(part) + 1, pow(base, -1, 1 << 64))[first]
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            h = (sums[last] - sums[first]) * down[first]
             h ^= h >> np.uint64(29)
             h *= np.uint64(MIX)
             h ^= h >> np.uint64(32)

@@ -89,16 +89,17 @@ def fill(index: DigestIndex, digests: DataFrame, batches: int) -> list[str]:
     return names
 
 
-def beside_groups(rows: DataFrame, groups: DataFrame, total: int, staying: bool = False) -> DataFrame:
-    """rows(digest, ...) beside the columns of groups; if staying, only one row a digest, of those with its keep_id. Large groups are few: they are broadcast and their rows stay where they are; all others meet by sort-merge join."""
+def beside_groups(rows: DataFrame, groups: DataFrame, total: int, staying: bool = False, twice: bool = False) -> DataFrame:
+    """rows(digest, ...) beside the columns of groups; if staying, only the rows with the group's keep_id, and one of them if there may be two. Large groups are few: they are broadcast and their rows stay where they are; all others meet by sort-merge join."""
     large = F.col("group_size") > max(HOT, total // BROADCAST)
     names = [c for c in groups.columns if c != "digest"]
     marked = rows.join(F.broadcast(groups.where(large).select("digest", F.struct(*names).alias("_g"))), "digest", "left")
     many = marked.where("_g is not null").select(*rows.columns, "_g.*")
     rest = marked.where("_g is null").drop("_g").join(groups.where(~large).hint("merge"), "digest").select(*rows.columns, *names)
-    if staying:  # each by itself: rows that have been joined by digest stand together already
-        many, rest = (x.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]) for x in (many, rest))
-    return many.unionByName(rest)
+    out = many.unionByName(rest)
+    if staying:
+        out = out.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return out.dropDuplicates(["digest"]) if twice else out
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
@@ -133,7 +134,8 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex | None = None, batches
     groups = written(own.groups().where(F.col("batch").isin(names)).select("digest", "keep_id", "group_size"))
     if index is None:
         own.close()
-    out = beside_groups(rows, groups, digests.count(), staying=True)
+    twice = not digests.groupBy("digest", "doc_id").count().where("count > 1").isEmpty()  # else texts need no second shuffle
+    out = beside_groups(rows, groups, digests.count(), True, twice)
     return out.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -100,14 +100,15 @@ def shard_ranges(spark, quotas: list[tuple[int, int]], seed: int) -> DataFrame:
     tops = [(lo, hi, c.tolist(), s.tolist()) for lo, hi, c, s in descend(0, shards, shards, total, counts, np.zeros_like(counts), seed, max(1, -(-shards // SUBTREES)))]
     names = nths.tolist()
 
-    def leaves(parts):
-        for part in parts:
-            for lo, hi, c, s in part.itertuples(index=False):
-                found = list(descend(lo, hi, shards, total, np.array(c, np.int64), np.array(s, np.int64), seed, 1))
-                yield pd.DataFrame({"nth": names * len(found), "shard": np.repeat([x[0] for x in found], len(names)), "start": np.concatenate([x[3] for x in found]), "count": np.concatenate([x[2] for x in found])})
+    def leaves(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = list(descend(r["lo"], r["hi"], shards, total, np.array(r["counts"], np.int64), np.array(r["starts"], np.int64), seed, 1))
+                columns = np.array(names * len(found), np.int32), np.repeat([x[0] for x in found], len(names)), np.concatenate([x[3] for x in found]), np.concatenate([x[2] for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["nth", "shard", "start", "count"])
 
     nodes = spark.createDataFrame(tops, "lo long, hi long, counts array<long>, starts array<long>").repartition(min(len(tops), spark.sparkContext.defaultParallelism))
-    return nodes.mapInPandas(leaves, "nth int, shard long, start long, count long").where("count > 0")
+    return nodes.mapInArrow(leaves, "nth int, shard long, start long, count long").where("count > 0")
 
 
 def mix(sizes: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
