@@ -24,7 +24,7 @@ from .common import bounded_batches, byte_blocks, byte_column, plain_names, span
 
 #: Bytes of a block of texts and of a page of one text, which is cut where a token ends anyway. A fold costs the square of a
 #: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
-BLOCK, PAGE, LONG = 2 << 20, 1 << 19, 255
+BLOCK, PAGE, LONG = 1 << 20, 1 << 18, 255
 #: Words that are broadcast at most, some 30 bytes each.
 MOST = 3 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -235,8 +235,8 @@ def numbered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
     _, sample, at = np.unique(hashes, return_index=True, return_inverse=True)
     size, other = stops - starts, starts[sample][at]
     same = bool((size == size[sample][at]).all())
-    for lo in range(0, len(starts) if same else 0, 1 << 17):
-        part = slice(lo, lo + (1 << 17))
+    for lo in range(0, len(starts) if same else 0, 1 << 14):
+        part = slice(lo, lo + (1 << 14))
         n = size[part]
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         same = same and bool((data[np.repeat(starts[part], n) + step] == data[np.repeat(other[part], n) + step]).all())
