@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches, byte_blocks, byte_column, plain_names, span_hashes, written
+from .common import bounded_batches, byte_blocks, byte_column, plain_names, released, span_hashes, written
 
 #: Bytes of a block of texts and of a page of one text, which is cut where a token ends anyway. A fold costs the square of a
 #: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
@@ -310,7 +310,7 @@ def frequent_words(rows: DataFrame, tokens: tuple, fold: Column, most: int) -> t
                 words = block_words(*repaired(data, offsets), classes, pool)[3]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w in words if len(w) <= LONG], pa.binary())], ["word"])
 
-    found = written(rows.select("_b").mapInArrow(distinct, "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    found = written(rows.select("_b").mapInArrow(released(distinct), "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
     room, least = most, None
     for r in found.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(100_000).collect():
         if r.words > room:
@@ -333,10 +333,10 @@ def frequent_words(rows: DataFrame, tokens: tuple, fold: Column, most: int) -> t
                 yield pa.RecordBatch.from_arrays([pa.array([low]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["h", "s", "t", "c", "i"])
 
         narrow = np.uint16 if tokens[3].max(initial=0) < 1 << 16 else np.int32
-        chosen = found.where(F.col("n") >= least).select("word").mapInArrow(hashed, "word binary, h long")
+        chosen = found.where(F.col("n") >= least).select("word").mapInArrow(released(hashed), "word binary, h long")
         chosen = written(chosen.repartitionByRange("h").sortWithinPartitions("h"))
         folded = chosen.select("word", F.array("word").alias("_words"), "h").select("word", F.get(fold, 0).alias("ids"), "h")
-        packs = written(folded.mapInArrow(pack, "h long, s binary, t binary, c binary, i binary"))
+        packs = written(folded.mapInArrow(released(pack), "h long, s binary, t binary, c binary, i binary"))
         for r in packs.orderBy("h").toLocalIterator():
             parts.append((*(np.frombuffer(x, np.uint8) for x in (r.s, r.t, r.c)), np.frombuffer(r.i, narrow)))
     return tuple(np.concatenate(x) for x in zip(*parts[1:] or parts, strict=True))
@@ -405,8 +405,8 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     kept = docs.select(*keep).schema.fields
     words = T.ArrayType(T.BinaryType())
     inner = T.StructType([*kept, T.StructField("_w", T.BinaryType()), T.StructField("_words", words), T.StructField("_long", words)])
-    pieces = docs.select(*keep, F.col(text).cast("binary").alias("_b")).mapInArrow(cut, inner)
-    return pieces.select(*keep, "_w", "_long", fold.alias("_ids")).mapInArrow(placed, T.StructType([*kept, *columns]))
+    pieces = docs.select(*keep, F.col(text).cast("binary").alias("_b")).mapInArrow(released(cut), inner)
+    return pieces.select(*keep, "_w", "_long", fold.alias("_ids")).mapInArrow(released(placed), T.StructType([*kept, *columns]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "ids") -> DataFrame:
@@ -431,7 +431,7 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str
             pieces = [None if x is None else b"".join(map(shared.value.__getitem__, x)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.binary())], [*batch.schema.names, "_bytes"])
 
-    got = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("_bytes", T.BinaryType())]))
+    got = plain.mapInArrow(released(run), T.StructType([*plain.schema.fields, T.StructField("_bytes", T.BinaryType())]))
     return got.select(*[F.col(n).alias(c) for c, n in at.items() if c != out], F.col("_bytes").alias(out))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def released(work: Callable) -> Callable:
+    """work(batches) for mapInArrow, whose worker gives free memory back after each task; one that is used again would keep it beside the next job's."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary or string column, and the n + 1 offsets of its rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -197,14 +210,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             x, y = local_forest(np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept]))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    now = written(now.mapInArrow(contract, "a long, b long").distinct())
+    now = written(now.mapInArrow(released(contract), "a long, b long").distinct())
     before = None
     for _ in range(most_rounds):
         # large-star: every larger neighbour of a node meets the smallest of the node's neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = written(large.mapInArrow(contract, "a long, b long").distinct())
+        large = written(large.mapInArrow(released(contract), "a long, b long").distinct())
         # small-star: a node and its smaller neighbours meet the smallest of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))

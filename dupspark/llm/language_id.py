@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_batches, bounded_sample, byte_blocks, fold_of
+from .common import bounded_batches, bounded_sample, byte_blocks, fold_of, released
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 REACH = max(WIDTHS) - 1
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text", keep: list[str] |
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(keep))] + [pa.array(said, pa.string()), pa.array(np.where(letter, p.max(axis=1), 0.0))], [*keep, "lang_pred", "score"])
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(released(score), schema)
 
 
 def language_of(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, byte_blocks, components, local_forest, runs, written
+from .common import bounded_batches, byte_blocks, components, local_forest, released, runs, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Five parts of the 64 bits: a pair that differs in at most 3 bits agrees on at least two whole parts.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(row_fingerprints(data, offsets).view(np.int64)), *[batch.column(c).slice(lo, hi - lo) for c in also]], ["doc_id", "fp", *also])
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"), *also).mapInArrow(compute, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"), *also).mapInArrow(released(compute), schema)
 
 
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS):
@@ -176,7 +176,7 @@ def links(unique: DataFrame) -> DataFrame:
             yield from forest(*held)
 
     sorted_cells = cells.select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return sorted_cells.mapInArrow(compare, "a long, b long")
+    return sorted_cells.mapInArrow(released(compare), "a long, b long")
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
