@@ -92,6 +92,19 @@ def packed(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def bucketed(anchors: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the anchors by hash bucket, those of one bucket as they come; the buckets that occur; the bounds of each in that order."""
+    bucket = (anchors % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    return order, found, np.append(first, len(order))
+
+
+def in_buckets(replies: list, column: str, kind) -> np.ndarray:
+    """The values of all replies to a block, in the order that `bucketed` gives its anchors."""
+    return np.frombuffer(b"".join(r[column] for r in sorted(replies, key=lambda r: r["bucket"])), kind)
+
+
 class Block:
     """A block of texts and, as far as the replies are there, what is known of its tiles."""
 
@@ -124,10 +137,8 @@ class Block:
     def share(self, replies: list) -> None:
         """Keeps the tiles whose anchor several documents have. Sorts: by anchor, 128-bit mark, document."""
         distinct, _, at = self.anchors()
-        bucket = (distinct % np.uint64(self.buckets(replies))).astype(np.int64)
         shared = np.zeros(len(distinct), bool)
-        for r in replies:
-            shared[bucket == r["bucket"]] = np.frombuffer(r["codes"], bool)
+        shared[bucketed(distinct, self.buckets(replies))[0]] = in_buckets(replies, "codes", bool)
         keep = np.flatnonzero(shared[at])
         stops = self.start[keep] + self.count[keep] + WINDOW - 1
         mark = np.stack([span_hashes(self.data, self.start[keep], stops, base=base) for base in (BASE, MIX)], axis=1)
@@ -140,19 +151,16 @@ class Block:
 
     def names(self, buckets: int) -> np.ndarray:
         """Names of the distinct shared tiles for other blocks: the hash bucket, and the place among this block's tiles of it."""
-        bucket = (self.anchor[self.first] % np.uint64(buckets)).astype(np.int64)
-        order, n = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
-        place = np.empty(len(bucket), np.int64)
-        place[order] = np.arange(len(bucket)) - np.repeat(np.cumsum(n) - n, n)
-        return bucket << 32 | place
+        order, found, ends = bucketed(self.anchor[self.first], buckets)
+        names, n = np.empty(len(order), np.int64), np.diff(ends)
+        names[order] = np.repeat(found << 32, n) | np.arange(len(order)) - np.repeat(ends[:-1], n)
+        return names
 
     def answered(self, replies: list) -> tuple[np.ndarray, np.ndarray]:
         """Per distinct shared tile: whether its suffix array needs its text from here, and the smallest document that has it."""
         send, least = np.zeros(len(self.first), bool), np.zeros(len(self.first), np.int64)
-        bucket = (self.anchor[self.first] % np.uint64(self.buckets(replies))).astype(np.int64) if replies else None
-        for r in replies:
-            mine = bucket == r["bucket"]
-            send[mine], least[mine] = np.frombuffer(r["codes"], bool), np.frombuffer(r["least"], np.int64)
+        order = bucketed(self.anchor[self.first], self.buckets(replies))[0]
+        send[order], least[order] = in_buckets(replies, "codes", bool), in_buckets(replies, "least", np.int64)
         return send, least
 
     @staticmethod
@@ -220,16 +228,17 @@ def rows_of(batches):
 
 
 def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, buckets, codes): of each block's distinct anchors of a bucket, ascending, whether another document has it."""
+    """(block, bucket, buckets, codes): of each block's distinct anchors of a bucket, ascending, whether another document has it.
+
+    A block sends a row for each bucket that it has an anchor of, so there are never more rows than distinct anchors in blocks.
+    """
 
     def send(batches):
         for r in rows_of(batches):
             distinct, several, _ = Block(r).anchors()
-            bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"block": [r["block"]] * buckets, "bucket": pa.array(range(buckets), pa.int32()), "h": [packed(distinct[p]) for p in parts], "s": [packed(several[p]) for p in parts]})
+            order, found, ends = bucketed(distinct, buckets)
+            parts = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(found), r["block"]), "bucket": found, "h": pa.array([packed(distinct[p]) for p in parts], pa.binary()), "s": pa.array([packed(several[p]) for p in parts], pa.binary())})
 
     def reply(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["h"].map(len).to_numpy() // 8
@@ -240,8 +249,8 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "buckets": buckets, "codes": [packed(shared[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    sent = blocks.mapInArrow(send, "block long, bucket int, h binary, s binary")
-    return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket int, buckets int, codes binary")
+    sent = blocks.mapInArrow(send, "block long, bucket long, h binary, s binary")
+    return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket long, buckets long, codes binary")
 
 
 def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
@@ -256,11 +265,10 @@ def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
         for r in rows_of(batches):
             b = Block(r)
             b.share(r["shared"] or [])
-            bucket = (b.anchor[b.first] % np.uint64(buckets)).astype(np.int64)
-            ids = b.ids[b.row[b.first]]
-            parts = [b.first[bucket == k] for k in range(buckets)]
-            least = [ids[bucket == k] for k in range(buckets)]
-            yield pa.RecordBatch.from_pydict({"block": [r["block"]] * buckets, "bucket": pa.array(range(buckets), pa.int32()), "h": [packed(b.anchor[p]) for p in parts], "m": [packed(b.mark[p]) for p in parts], "i": [packed(x) for x in least]})
+            order, found, ends = bucketed(b.anchor[b.first], buckets)
+            parts = [b.first[order[x:y]] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            columns = {"h": [packed(b.anchor[p]) for p in parts], "m": [packed(b.mark[p]) for p in parts], "i": [packed(b.ids[b.row[p]]) for p in parts]}
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(found), r["block"]), "bucket": found} | {c: pa.array(x, pa.binary()) for c, x in columns.items()})
 
     def reply(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
@@ -287,8 +295,8 @@ def distinct_tiles(known: DataFrame, buckets: int) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(np.bincount(owner[here], minlength=len(sizes)))])
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "buckets": buckets, "codes": [packed(send[a:b]) for a, b in parts], "least": [packed(least[a:b]) for a, b in parts], "ties": [packed(ties[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
-    sent = known.mapInArrow(send, "block long, bucket int, h binary, m binary, i binary")
-    return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket int, buckets int, codes binary, least binary, ties binary")
+    sent = known.mapInArrow(send, "block long, bucket long, h binary, m binary, i binary")
+    return sent.groupBy("bucket").applyInPandas(reply, "block long, bucket long, buckets long, codes binary, least binary, ties binary")
 
 
 def tied_tiles(found: DataFrame) -> DataFrame:
