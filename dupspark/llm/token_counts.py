@@ -28,7 +28,8 @@ def token_counts(spark: SparkSession, folder: str, separator: int, width: int =
     A document ends before its separator; tokens after the last separator are a document too, if there are any. Two
     separators in a row hold an empty document; an empty file has none. nth counts from 0 in each file, first is the
     document's place in ids. A block tells its own separators; the running maximum of their places and the running sum
-    of their number, over the blocks before, are all that the next block needs.
+    of their number, over the blocks before, are all that the next block needs, so one file's window sorts two numbers
+    a block; the separators themselves are joined to them after.
     """
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", (F.col("length") / width).cast("long").alias("ids"))
     each = max(1, block // width)
@@ -45,11 +46,14 @@ def token_counts(spark: SparkSession, folder: str, separator: int, width: int =
                 seps.append(np.flatnonzero(ids == separator) + k * each)
             ends = np.cumsum([0, *(len(s) for s in seps)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*seps, np.zeros(0, np.int64)]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], ["file", "ids", "block", "seps"])
+            top = pa.array([int(s[-1]) if len(s) else None for s in seps], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in seps], pa.int64()), top, lists], ["file", "ids", "block", "n", "top", "seps"])
 
-    found = blocks.repartition(F.col("file"), F.col("block")).mapInArrow(scan, "file string, ids long, block long, seps array<long>")
+    found = written(blocks.repartition(F.col("file"), F.col("block")).mapInArrow(scan, "file string, ids long, block long, n long, top long, seps array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("n0", F.coalesce(F.sum(F.size("seps")).over(before), F.lit(0))).withColumn("last", F.coalesce(F.max(F.array_max("seps")).over(before), F.lit(-1).cast("long")))
+    n0, last = F.coalesce(F.sum("n").over(before), F.lit(0)), F.coalesce(F.max("top").over(before), F.lit(-1).cast("long"))
+    stitched = found.select("file", "block", n0.alias("n0"), last.alias("last"))
+    found = found.select("file", "block", "ids", "seps").join(stitched, ["file", "block"])
     is_last = F.col("block") == F.floor((F.col("ids") - 1) / each)
     tail = is_last & (F.coalesce(F.array_max("seps"), F.col("last")) < F.col("ids") - 1)
     ends = F.when(tail, F.concat("seps", F.array("ids"))).otherwise(F.col("seps"))
