@@ -101,18 +101,29 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float =
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, most_bytes: int = 12 << 20) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts outside the held-out fold: at most per_label a class, by a hash of doc_id.
+    """A bounded sample of labelled texts outside the held-out fold, whole ones: at most per_label documents a class, by a
+    hash of doc_id, and most_bytes in all.
 
-    Of several labels of a document the largest counts; null labels and null ids are left out. The chosen ids are few,
-    so they are broadcast and the texts are read in one scan. Training (not scoring) sees at most 32 kB of a text and
-    most_bytes in all.
+    Of several labels of a document the largest counts; null labels and null ids are left out. Texts are taken in the
+    order of their hashes; one that doesn't fit in what is left of most_bytes is passed over, and so are rows beyond
+    4 * per_label where ids repeat. The chosen ids are few, so they are broadcast; sizes come to the driver first, then
+    only the texts that fit.
     """
     marks = labels.where(F.col(label).isNotNull() & (fold_of("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     few = bounded_sample(marks.where("_y in (0, 1)"), "_y", "doc_id", per_label)
-    texts = docs.select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, 32768).alias("b"))
-    rows = texts.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "b").limit(4 * per_label).collect()
-    room = np.cumsum([len(r.b) for r in rows]) <= most_bytes
-    rows = [r for r, ok in zip(rows, room, strict=True) if ok]
+    few = docs.sparkSession.createDataFrame(few.select("doc_id", "_y").collect(), few.select("doc_id", "_y").schema)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("b")).join(F.broadcast(few), "doc_id")
+    named = texts.select("doc_id", F.xxhash64("doc_id").alias("at"), F.xxhash64("b").alias("h"), F.octet_length("b").alias("n"))
+    fit, room = [], most_bytes
+    for r in named.distinct().orderBy("at", "doc_id", "h", "n").limit(4 * per_label).collect():
+        if r.n <= room:
+            fit.append((r.doc_id, r.h))
+            room -= r.n
+    if not fit:
+        return [], []
+    chosen = docs.sparkSession.createDataFrame(fit, few.select("doc_id", F.lit(0).cast("long").alias("h")).schema)
+    found = texts.withColumn("h", F.xxhash64("b")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "h").collect()
     return [bytes(r.b) for r in rows], [r._y for r in rows]
 
 

@@ -107,8 +107,11 @@ class Network:
             np.add.at(d_x, at, flat @ self.p["w" + d].T)
         return g, d_x
 
-    def windows(self, data, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word vectors (the empty word last), window slots, the row of each window. Every row has a window, every word one or two."""
+    def windows(self, data, offsets):
+        """Word vectors (the empty word last), each word's vector, the row of each window, its first word, the end of its row's words, word hashes.
+
+        Every row has a window, every word one or two.
+        """
         starts, stops, hashes, rows = words_of(data, offsets)
         if len(starts):
             x, at = self.inputs(data, starts, stops, hashes)
@@ -120,20 +123,30 @@ class Network:
         row = np.repeat(np.arange(len(counts)), many)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         lead = np.cumsum(counts) - counts
-        place = lead[row] + nth * STRIDE + np.arange(LENGTH)[:, None]
-        inside = place < (lead + counts)[row]
-        slots = np.full(place.shape, len(x) - 1)
-        slots[inside] = at[place[inside]]
-        return x, slots, row, hashes
+        return x, at, row, lead[row] + nth * STRIDE, (lead + counts)[row], hashes
+
+    def logits(self, x, at, begin, end, page: int = 2048) -> np.ndarray:
+        """Of windows given by first word and end; their slots are laid out a page at a time, so a text may have any number."""
+        parts = [self.forward(x, slots_of(at, begin[k : k + page], end[k : k + page], len(x) - 1))[0] for k in range(0, len(begin), page)]
+        return np.concatenate([np.zeros(0, np.float32), *parts])
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The largest window probability of each row, over all overlapping windows of the whole text."""
-        x, slots, row, _ = self.windows(data, offsets)
-        z = np.concatenate([self.forward(x, slots[:, at : at + 2048])[0] for at in range(0, len(row), 2048)]) if len(row) else np.zeros(0)
+        x, at, row, begin, end, _ = self.windows(data, offsets)
+        z = self.logits(x, at, begin, end)
         best = np.maximum.reduceat(z, np.flatnonzero(np.r_[True, row[1:] != row[:-1]])) if len(row) else z
         return sigmoid(np.clip(best.astype(np.float64), -50, 50))
 
 
+def slots_of(at: np.ndarray, begin: np.ndarray, end: np.ndarray, empty: int) -> np.ndarray:
+    """Rows of x of each window's words (LENGTH, windows); places at or after a window's end hold the empty word."""
+    place = begin + np.arange(LENGTH)[:, None]
+    inside = place < end
+    slots = np.full(place.shape, empty, np.int32)
+    slots[inside] = at[place[inside]]
+    return slots
+
+
 def grams(data, starts, stops) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte 4-grams of the spans, each span with a mark before it, and the number of grams of each span."""
     count = np.maximum(1, stops - starts - 2)
@@ -173,11 +186,12 @@ def contrast(parts, marks: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) > 3.5, np.log((yes + 0.5) / (n1 + 1)) - np.log((no + 0.5) / (n0 + 1)), 0).clip(-4, 4).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[int], steps: int = 300, most_windows: int = 32, seed: int = 13) -> Network:
+def train(texts: list[bytes], labels: list[int], steps: int = 300, again: int = 4, leaders: int = 8, seed: int = 13) -> Network:
     """Texts have labels, windows don't: each round the likeliest window of every text takes the text's label (Adam).
 
-    A text of more than most_windows windows trains on an even spread of them. Word and gram vectors start with the
-    contrast of their document rates in the first component; all vectors are then learned.
+    Every `again` rounds all windows of the whole texts are scored; the rounds between choose among each text's `leaders`
+    likeliest ones of then. Word and gram vectors start with the contrast of their document rates in the first component;
+    all vectors are then learned.
     """
     rng = np.random.default_rng(seed)
     f = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
@@ -199,27 +213,27 @@ def train(texts: list[bytes], labels: list[int], steps: int = 300, most_windows:
             yield found, np.repeat(rows[lo:hi], count)
 
     p["char"][:, 0] = contrast(gram_parts(), y)
-    x, slots, row, _ = net.windows(data, offsets)
+    x, at_word, all_rows, all_begin, all_end, _ = net.windows(data, offsets)
     distinct, first = np.unique(hashes, return_index=True)
     word_at = (distinct >> np.uint64(64 - BITS)).astype(np.intp)
     found, count = grams(data, starts[first], stops[first])
     lead = np.cumsum(count) - count
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    each = np.bincount(row, minlength=len(texts))[row]
-    pick = (each <= most_windows) | ((nth * most_windows) % np.maximum(each, 1) < most_windows)
-    slots, row = slots[:, pick].astype(np.int32), row[pick]
-    del hashes, rows, nth, each, pick
+    del hashes, rows
     m, v, t = {k: np.zeros_like(q) for k, q in p.items()}, {k: np.zeros_like(q) for k, q in p.items()}, 0
-    firsts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    batches = max(1, len(firsts) // 128)
+    batches = max(1, len(texts) // 128)
     rounds = max(12, -(-steps // batches))
     weight = np.sqrt(len(y) / 2 / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum())))
     for n in range(rounds):
         x[:-1] = np.concatenate([p["word"][word_at], gram_means(p["char"], found, count)], axis=1)
-        z = np.concatenate([net.forward(x, slots[:, at : at + 2048])[0] for at in range(0, len(row), 2048)])
-        best = np.lexsort((-z, row))[firsts]
+        if n % again == 0:
+            row, begin, end = all_rows, all_begin, all_end
+        z = net.logits(x, at_word, begin, end)
+        order = np.lexsort((-z, row))
+        nth = np.arange(len(row)) - np.searchsorted(row, row)  # row ascends, so row[order] is row
+        best, lead_rows = order[nth == 0], np.sort(order[nth < leaders])
+        row, begin, end, best = row[lead_rows], begin[lead_rows], end[lead_rows], np.searchsorted(lead_rows, best)
         for part in np.array_split(rng.permutation(best), batches):
-            used, inner = np.unique(slots[:, part], return_inverse=True)
+            used, inner = np.unique(slots_of(at_word, begin[part], end[part], len(x) - 1), return_inverse=True)
             words = used[used < len(distinct)]
             local = np.concatenate([x[used], np.zeros((1 if len(words) == len(used) else 0, INPUT), np.float32)])
             logit, cache = net.forward(local, inner.reshape(LENGTH, -1))

@@ -592,6 +592,7 @@ def test_toxicity(spark, marked):
     assert accuracy(got, truth, held) > 0.9
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values()) and got[900].score == got[901].score < 0.5
     assert toxicity.toxicity_of(documents(spark), marks.limit(0)).count() == documents(spark).count()
+    assert toxicity.toxicity_of(empty(spark), marks).count() == 0
 
 
 def test_network_gradient():
@@ -621,6 +622,114 @@ def test_network_gradient():
     assert (up - loss()) / 2e-2 == pytest.approx(d_x[4, 3], rel=0.05, abs=2e-3)
 
 
+def test_language_net_against_plain_convolution():
+    """Every filter slid over every window, byte by byte, with the largest sum kept."""
+    rng = np.random.default_rng(5)
+    n = len(language_id.WIDTHS) * language_id.FILTERS
+    taps = [rng.normal(0, 1, (w, 256, language_id.FILTERS)).astype(np.float32) for w in language_id.WIDTHS]
+    net = language_id.ByteNet(["a", "b", "c"], taps, rng.normal(0, 1, (len(taps), language_id.FILTERS)), rng.normal(0, 1, (n, 3)), rng.normal(0, 1, 3))
+    texts = [b"", b"x", bytes(rng.integers(0, 256, 127, np.uint8)), bytes(rng.integers(0, 256, 128, np.uint8)), bytes(rng.integers(0, 256, 700, np.uint8))]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    cells, first = language_id.padded_windows(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    got = net.log_probabilities(cells)
+    flat = [*cells.tolist(), *[0] * language_id.REACH]
+    for w in range(len(cells) // language_id.WINDOW):
+        hidden = []
+        for k, table in enumerate(taps):
+            for f in range(language_id.FILTERS):
+                places = range(w * language_id.WINDOW, (w + 1) * language_id.WINDOW)
+                best = max(sum(float(table[j][flat[i + j]][f]) for j in range(len(table))) for i in places)
+                hidden.append(max(0.0, best + net.bias[k][f]))
+        z = np.array(hidden) @ net.weights + net.offset
+        assert got[w] == pytest.approx(z - np.log(np.exp(z).sum()), abs=1e-3)
+    for k, t in enumerate(texts):  # a text's bytes, whole, from its own window on
+        assert cells[first[k] * language_id.WINDOW :][: len(t)].tobytes() == t and (first[k + 1] - first[k]) * language_id.WINDOW >= len(t) + language_id.REACH
+
+
+def test_quality_scores_against_plain_mean():
+    """Each text alone: the mean of its features' vectors, then softmax, in plain Python."""
+    rng = np.random.default_rng(6)
+    net = quality.SubwordNet(rng.normal(0, 1, (quality.BUCKETS, quality.SIZE)), rng.normal(0, 1, (quality.SIZE, 2)), rng.normal(0, 1, 2))
+    texts = [(t or "").encode() for t in odd_texts()] + [b"a b", b"ab", b"  ab cd ab  ", b"abc", b"abcd"]
+
+    def word(b, base=common.BASE):
+        h = sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(b)) % (1 << 64)
+        h = (h ^ h >> 29) * common.MIX % (1 << 64)
+        return h ^ h >> 32
+
+    def score(b):
+        hashes = [word(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", b)]
+        found = [h >> 47 for h in hashes]
+        found += [0 if g == h else ((g * common.MIX + h) * common.BASE % (1 << 64)) >> 47 for g, h in zip(hashes, hashes[1:], strict=False)]
+        for n in quality.GRAMS:
+            found += [(int.from_bytes(b[i : i + n], "little") * (2654435761 + 2 * n) % (1 << 32)) >> 15 for i in range(len(b) - n + 1)]
+        z = (np.mean([net.vectors[f] for f in found], axis=0) if found else np.zeros(quality.SIZE)) @ net.out + net.bias
+        return float(1 / (1 + np.exp(z[0] - z[1])))
+
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert net.scores(np.frombuffer(b"".join(texts), np.uint8), offsets) == pytest.approx([score(t) for t in texts], abs=1e-9)
+
+
+def test_toxicity_scores_against_plain_network():
+    """Every window of every text, word by word, through both directions and the attention, in plain Python loops."""
+    rng = np.random.default_rng(8)
+    state, step = toxicity.STATE, toxicity.STRIDE
+    f = lambda *shape: rng.normal(0, 0.6, shape).astype(np.float32)
+    p = {"word": f(1 << toxicity.BITS, toxicity.WORD), "char": f(1 << toxicity.BITS, toxicity.CHAR), "a": f(2 * state, toxicity.ATT), "v": f(toxicity.ATT), "o": f(2 * state), "b": f(1)}
+    for d in "fb":
+        p |= {"w" + d: f(toxicity.INPUT, 3 * state), "u" + d: f(state, 3 * state), "b" + d: f(3 * state)}
+    net, rnd = toxicity.Network(p), random.Random(8)
+    texts = ["", "12 !", "One", words(rnd, 23), words(rnd, 24), words(rnd, 25), words(rnd, 36), words(rnd, 37), words(rnd, 400) + " Été", "x" * 90]
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        data = np.frombuffer(w, np.uint8)
+        h = common.span_hashes(data, np.array([0]), np.array([len(w)]))[0]
+        marked = b"<" + w
+        found = [marked[i : i + 4].ljust(4, b"\0") for i in range(max(1, len(w) - 2))]
+        char = sum(p["char"][(int.from_bytes(g, "little") * 2654435761 % (1 << 32)) >> (32 - toxicity.BITS)] for g in found) / np.sqrt(len(found))
+        return np.concatenate([p["word"][int(h) >> (64 - toxicity.BITS)], char])
+
+    def states(xs, d):
+        h, out = np.zeros(state), []
+        for x in xs:
+            g = x @ p["w" + d] + p["b" + d]
+            zr = squash(g[: 2 * state] + h @ p["u" + d][:, : 2 * state])
+            c = np.tanh(g[2 * state :] + (zr[state:] * h) @ p["u" + d][:, 2 * state :])
+            h = h + zr[:state] * (c - h)
+            out.append(h)
+        return out
+
+    def score(text):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        xs, best = [vector(w) for w in re.findall(rb"[a-z\x80-\xff]+", low)], -np.inf
+        begins = [0] + [k for k in range(step, len(xs), step) if k + toxicity.LENGTH - step < len(xs)]
+        for k in begins:
+            part = xs[k : k + toxicity.LENGTH]
+            h = [np.concatenate(x) for x in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True)]
+            s = np.array([np.tanh(x @ p["a"]) @ p["v"] for x in h])
+            w = np.exp(s - s.max()) / np.exp(s - s.max()).sum() if h else s
+            best = max(best, float(sum((a * x for a, x in zip(w, h, strict=True)), np.zeros(2 * state)) @ p["o"] + p["b"][0]))
+        return squash(best)
+
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+    assert net.scores(np.frombuffer(b"".join(data), np.uint8), offsets) == pytest.approx([score(t) for t in texts], abs=1e-4)
+
+
+def test_training_takes_whole_texts(spark):
+    """The sample bounds rows and bytes, and cuts no text: what doesn't fit is passed over."""
+    rows = [(i, "word " * (20000 if i % 7 == 0 else 10) + str(i), None, None) for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    whole, known = {t.encode() for _, t, *_ in rows}, [i for i in range(60) if fold(i, 5) != 0]
+    texts, labels = quality.labelled(documents(spark, [*rows, rows[1]]), marks, "quality", 100)
+    assert len(texts) == len(labels) == len(known) and set(texts) <= whole and max(map(len, texts)) > 100000
+    few, _ = quality.labelled(documents(spark, rows), marks, "quality", 100, most_bytes=150000)
+    assert set(few) <= whole and sum(map(len, few)) <= 150000 and len(few) > sum(i % 7 != 0 for i in known)
+    assert len(quality.labelled(documents(spark, rows), marks, "quality", 5)[0]) == 10
+    assert quality.labelled(documents(spark, rows), marks, "quality", 5, most_bytes=3) == ([], [])
+
+
 # the pipeline
 
 
