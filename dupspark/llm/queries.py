@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover_tree, exact_dedup, language_id, mixing, quality, simhash, substring_dedup, token_counts, toxicity
+from . import bpe, cover_tree, exact_dedup, language_id, lexical, mixing, quality, simhash, substring_dedup, token_counts, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings; nulls, ties, repeats and empty tables as vector_codes.compressed states."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item; nulls, ties, repeats, long texts and empty tables as lexical.ranked states."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_cover_tree": cover_tree.TOP_SQL, "op10_exact_dedup": exact_dedup.EXACT_SQL}
+    return {"op7_cover_tree": cover_tree.TOP_SQL, "op10_exact_dedup": exact_dedup.EXACT_SQL, "op11_vector_codes": vector_codes.CODES_SQL, "op12_lexical_search": lexical.RANKED_SQL}
