@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover_tree, exact_dedup, language_id, lexical, mixing, quality, simhash, substring_dedup, token_counts, toxicity, vector_codes
+from . import bpe, cover_tree, exact_dedup, language_id, lexical, mixing, quality, simhash, substring_dedup, token_counts, toxicity, vector_codes, web_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC and WARC files; nulls, ties, repeats, long pages and empty tables as web_archive.archived states."""
+    return web_archive.archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_cover_tree": cover_tree.TOP_SQL, "op10_exact_dedup": exact_dedup.EXACT_SQL, "op11_vector_codes": vector_codes.CODES_SQL, "op12_lexical_search": lexical.RANKED_SQL}
+    return {"op7_cover_tree": cover_tree.TOP_SQL, "op10_exact_dedup": exact_dedup.EXACT_SQL, "op11_vector_codes": vector_codes.CODES_SQL, "op12_lexical_search": lexical.RANKED_SQL, "op13_web_archive": web_archive.ARCHIVED_SQL}

@@ -177,7 +177,7 @@ def planted(rows: DataFrame, dim: int) -> DataFrame:
     width = dim // PARTS
 
     def block(ids, labels, v) -> pa.RecordBatch:
-        points = np.concatenate(v).reshape(-1, dim)
+        points = np.concatenate(v).reshape(sum(map(len, ids)), dim)
         shape = Shape.of(len(points), LEAF)
         orders = np.concatenate([tree_order(points[:, k * width : (k + 1) * width], shape) for k in range(PARTS)])
         lists = [pa.array([pa.concat_arrays(x).to_pylist()], pa.list_(kind)) for x, kind in zip((ids, labels), kinds, strict=True)]
@@ -302,7 +302,8 @@ def compressed(embeddings: DataFrame) -> DataFrame:
     if dim % PARTS:
         raise ValueError(f"vectors of {dim} components can't be cut into {PARTS} equal parts")
     rows = rows.where(F.size("v") == dim)
-    first = np.array([r.v for r in rows.orderBy(*order).select("v").limit(ENTRIES).collect()], np.int64).reshape(-1, dim)
+    smallest = rows.orderBy(*order).select("v").limit(ENTRIES).collect()
+    first = np.array([r.v for r in smallest], np.int64).reshape(len(smallest), dim)
     blocks = planted(rows, dim)
     books = trained(blocks, first)
     digest = hashlib.sha256(",".join(str(x) for b in books for x in b.entries.ravel().tolist()).encode()).hexdigest()
