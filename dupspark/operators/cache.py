@@ -21,11 +21,11 @@ class HashCache:
     @contextmanager
     def opened(self):
         """Holds the cache for this process; a second opening raises Locked until it is closed."""
-        mine = self.table.files.claim("open.lock", self.table.lease)
+        mine = self.table.files.claim("open", self.table.lease)
         try:
             yield self
         finally:
-            self.table.files.release("open.lock", mine)
+            self.table.files.release("open", mine)
 
     def lookup(self, files: DataFrame) -> DataFrame:
         """files(path) beside the cached columns, null where the cache has nothing."""

@@ -385,6 +385,40 @@ def cache_rescan(spark, sf_dir):
     return cache.fresh(seen.select("path", "mtime", "ctime", "size")).select("path", "size", "h")
 
 
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 1000 = 0 THEN -1.0 WHEN o_orderkey % 100 = 1 THEN 2 * o_totalprice ELSE o_totalprice END AS v
+FROM orders WHERE o_orderkey % 100 <> 2 OR o_orderkey % 1000 = 0 UNION ALL SELECT -1 - CAST(c_custkey AS BIGINT), c_acctbal FROM customer""")
+def snapshot_deltas(spark, sf_dir):
+    """Orders fill a table; a hundredth of them is replaced and another deleted, deltas are merged into one, customers and more changes follow, and all becomes a new base."""
+    table = SnapshotTable(spark, shared_folder(spark), "k bigint, v double")
+    orders = catalog.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"), F.col("o_totalprice").cast("double").alias("v"))
+    customers = catalog.table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).cast("bigint").alias("k"), F.col("c_acctbal").cast("double").alias("v"))
+    with table.writer() as batch:
+        batch.insert(orders)
+    with table.writer() as batch:
+        batch.upsert(orders.where("k % 100 = 1").withColumn("v", 2 * F.col("v")))
+    with table.writer() as batch:
+        batch.delete(orders.where("k % 100 = 2").select("k"))
+    table.compact(whole=False)
+    with table.writer() as batch:
+        batch.insert(customers)
+        batch.upsert(orders.where("k % 1000 = 0").withColumn("v", F.lit(-1.0)))
+    table.compact()
+    table.retain()
+    return table.read()
+
+
+@query(f"""WITH {FILES}, n AS (SELECT path, size, lead(path) OVER (ORDER BY encode(path)) AS next_path FROM files WHERE path >= 'src1' AND path < 'src3')
+SELECT path, size, next_path FROM n""")
+def cache_cursor(spark, sf_dir):
+    """All documents enter a hash cache; a cursor goes over a range of its paths, each beside the next one."""
+    cache = HashCache(spark, shared_folder(spark))
+    never = F.lit(0).cast("timestamp")
+    with cache.opened():
+        cache.upsert(hashed(spark, sf_dir).select("path", never.alias("mtime"), never.alias("ctime"), "size", "h"))
+    found = ordered.key_range(cache.table.read().select("path", "size"), "src1", "src3", "path")
+    return ordered.neighbours(found, "path").select("path", "size", F.col("next_key").alias("next_path"))
+
+
 def customer_versions(spark, sf_dir, pinned=None, keep=1):
     """A snapshot table that takes a third of the customers a version; a reader pins version `pinned` while older ones are dropped."""
     table = SnapshotTable(spark, shared_folder(spark), "k bigint, v double")
