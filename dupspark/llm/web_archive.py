@@ -288,7 +288,8 @@ def convert(scanned: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     records += 1
         return pa.table([pa.array([f"{folder}/{name}"]), pa.array([records])], ["path", "records"])
 
-    return written(decided.groupBy("path").applyInArrow(run, "path string, records long"))
+    files = good.select("path").distinct().count()
+    return written(decided.repartition(max(1, files), "path").groupBy("path").applyInArrow(run, "path string, records long"))
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
