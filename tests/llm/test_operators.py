@@ -87,6 +87,44 @@ def test_index_outlives_a_batch(spark, tmp_path):
     assert index.rows().count() == before  # a batch of that name is there
 
 
+@pytest.mark.parametrize("named", [None, "nightly"])
+def test_a_run_that_comes_again_gives_the_same_rows(spark, tmp_path, monkeypatch, named):
+    """A job dies after the first of its batches, and in another while the second one's rows are being added; it is run again, and once more."""
+    rows = [(1, "a", None, None), (2, "A", None, None), (3, "b", None, None), (4, "c", None, None), (5, "c", None, None), (None, "d", None, None), (5, "c", None, None)]
+    want = collected(exact_dedup.exact_groups(documents(spark, rows)), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    path = str(tmp_path / "index")
+    whole, part = exact_dedup.DigestIndex.append, exact_dedup.DigestIndex.note
+    calls = []
+
+    def dies_before(self, groups, batch):
+        calls.append(batch)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        whole(self, groups, batch)
+
+    def dies_inside(self, kind, **values):
+        if kind == "done":
+            raise RuntimeError("lost")
+        part(self, kind, **values)
+
+    docs = documents(spark, rows)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", dies_before)
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_groups(docs, exact_dedup.DigestIndex(spark, path, 4), run=named)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", whole)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "note", dies_inside)
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_groups(docs, exact_dedup.DigestIndex(spark, path, 4), run=named)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "note", part)
+    for n in range(2):
+        again = docs.repartition(3 + n)
+        assert collected(exact_dedup.exact_groups(again, exact_dedup.DigestIndex(spark, path, 4), run=named), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+        kept = exact_dedup.drop_exact_copies(again, exact_dedup.DigestIndex(spark, path, 4), run=named)
+        assert sorted(lower(r.text) for r in kept.collect()) == ["a", "b", "c", "d"]
+    more = documents(spark, [(9, "B", None, None), (10, "e", None, None)])
+    assert collected(exact_dedup.exact_groups(more, exact_dedup.DigestIndex(spark, path, 4)), "doc_id", "keep_id", "group_size", "kept") == [(10, 10, 1, True), (9, 3, 2, False)]
+
+
 def test_index_outlives_the_session(tmp_path):
     """Two sessions one after the other, each in a process of its own with an in-memory catalog."""
     import os
