@@ -15,7 +15,7 @@ from ..functions.vectors import level
 from ..operators import exact, filters, ordered, rules, similar
 from ..operators.cache import HashCache
 from ..operators.kv import SnapshotTable
-from ..sources import archives
+from ..sources import archives, files
 from ..workspace import shared_folder
 from . import report
 
@@ -407,6 +407,15 @@ def snapshot_deltas(spark, sf_dir):
     return table.read()
 
 
+@query(f"""SELECT coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS source, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1""")
+def file_tree(spark, sf_dir):
+    """Documents become text files in a folder a source; the lister finds the files, with size and name filters pushed into it, and their sizes are summed up."""
+    folder = shared_folder(spark)
+    catalog.table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(folder)
+    found = files.tree(spark, [folder.removeprefix("file://").removeprefix("file:")]).where("ftype = 'file' and size > 0 and relpath like 'source=%' and path like '%.txt'")
+    return found.groupBy(F.regexp_extract("relpath", "^source=([^/]*)", 1).alias("source")).agg(F.sum("size").alias("bytes"))
+
+
 @query(f"""WITH {FILES}, n AS (SELECT path, size, lead(path) OVER (ORDER BY encode(path)) AS next_path FROM files WHERE path >= 'src1' AND path < 'src3')
 SELECT path, size, next_path FROM n""")
 def cache_cursor(spark, sf_dir):

@@ -7,10 +7,10 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import digest, xxh128
 from ..operators import exact, filters, rules, similar
 from ..options import ARCHIVES, Options
-from ..sources import archives, files, images
+from ..sources import entries as streams, files, images
+from ..workspace import stored
 from . import report
 
 VERSION = "0.1"
@@ -20,55 +20,59 @@ HELP = """dupspark [options] path ...
 -m SIZE at least         -M SIZE at most           -n notes only, no change  -o accepted, no effect     -p PATH first in its set
 -r subfolders (default)  -R no subfolders          -s C between entries      -t archive members         -T 1..5 image threshold
 -v skipped files         -V version                -w REGEX these paths only -x SIZE accepted, no effect
+--verify compare bytes   --hash md5|sha256|xxh128  --dedupe-paths            --strict-ignore --strict-whitelist
 """
 
 
-def listed(spark: SparkSession, o: Options) -> DataFrame:
-    """The files that pass every predicate, with prioritized. No file at all is an error, as is a missing root."""
-    found = files.scan(spark, o.roots, o.recurse, o.follow_links, o.hidden, o.deny, absolute=o.json or o.images, ignore=True)
-    found = found.where(filters.permitted(F.col("uid"), F.col("gid"), F.col("mode"), os.getuid(), os.getgroups()))
-    passed = filters.scan_filter(found, o).where((F.col("verdict") != rules.IGNORED) | F.col("named")).drop("verdict")
-    return passed.dropDuplicates(["path"]) if o.dedupe_paths else passed
+def listing(spark: SparkSession, o: Options) -> tuple[DataFrame, DataFrame]:
+    """(files, errors) of one walk over the roots, written: what passes every predicate, with prioritized, and (path, error) of folders that couldn't be read."""
+    found = files.scan(spark, o.roots, o.recurse, o.follow_links, o.hidden, o.deny, absolute=o.json or o.images, ignore=True, strict=o.strict_ignore, ftype=None, sizes=(o.min_size, o.max_size))
+    readable = filters.permitted(F.col("uid"), F.col("gid"), F.col("mode"), os.getuid(), os.getgroups())
+    closed = found.where("ftype = 'unreadable'").select("path", F.lit("the folder can't be read").alias("error"))
+    passed = filters.scan_filter(found.where("ftype = 'file'").where(readable), o).where((F.col("verdict") != rules.IGNORED) | F.col("named")).drop("verdict")
+    return passed.dropDuplicates(["path"]) if o.dedupe_paths else passed, closed
 
 
-def unreadable(spark: SparkSession, o: Options) -> DataFrame:
-    """(path, error) of the folders that couldn't be listed."""
-    found = files.scan(spark, o.roots, o.recurse, o.follow_links, o.hidden, o.deny, absolute=o.json or o.images, ignore=True, ftype="unreadable")
-    return found.select("path", F.lit("the folder can't be read").alias("error"))
+def listed(spark: SparkSession, o: Options) -> DataFrame:
+    """The files that pass every predicate, with prioritized."""
+    return listing(spark, o)[0]
 
 
-def duplicates(spark: SparkSession, o: Options) -> tuple[DataFrame, DataFrame]:
-    """(members, errors): the ranked members of the sets, and files and folders that couldn't be read."""
-    found = listed(spark, o)
+def some(found: DataFrame) -> DataFrame:
+    """No file at all is an error, as is a missing root."""
     if found.isEmpty():
         raise ValueError("please submit at least one file")
+    return found
+
+
+def duplicates(spark: SparkSession, o: Options) -> tuple[DataFrame, DataFrame]:
+    """(members, errors): the ranked members of the sets, and files and folders that couldn't be read.
+
+    Folders are walked once, and what shares its size with another entry is hashed once, archive members too; a file whose size
+    nobody shares isn't opened. With verify, members of a set are opened once more, for their bytes.
+    """
+    found, closed = listing(spark, o)
     kind = "xxh128" if o.json else o.hash_kind
-    spread = lambda df: df.repartition(o.threads) if o.threads else df  # noqa: E731  so many tasks read files at a time
+    entries = some(found).select("path", "subpath", F.lit(None).cast("int").alias("nth"), "size", "mtime", "prioritized", F.lit(None).cast("string").alias("h"))
+    errors = closed
     if o.archives:
         packed = found.where(F.col("path").rlike(rules.java_regex(ARCHIVES, True)))
-        inside = archives.expand(files.with_content(spread(packed)).where("content is not null"))
-        own = xxh128(F.col("content")) if kind == "xxh128" else digest(F.col("content"), kind)
-        inner = inside.join(packed.select("path", "mtime", "prioritized"), "path").withColumn("h", own)
-        plain = files.with_file_hash(spread(found), kind)
-        if o.verify:
-            plain, inner = files.with_content(plain.where("error is null").drop("error")).unionByName(plain.where("error is not null").withColumn("content", F.lit(None).cast("binary"))), inner
-        columns = ["path", "subpath", "size", "mtime", "prioritized", "error", "h", *(["content"] if o.verify else [])]
-        hashed = plain.select(columns).unionByName(inner.select(columns))
-    else:
-        hashed = files.with_file_hash(spread(exact.size_candidates(found)), kind)
-        if o.verify:
-            several = hashed.where("error is null").groupBy("size", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-            hashed = files.with_content(hashed.where("error is null").join(several, ["size", "h"], "left_semi").drop("error")).unionByName(hashed.where("error is not null").withColumn("content", F.lit(None).cast("binary")))
-    good, errors = hashed.where("error is null").drop("error"), hashed.where("error is not null").select("path", "error")
-    return exact.members(good, verify=o.verify), errors.unionByName(unreadable(spark, o))
+        inside = stored(streams.members(streams.spread(packed.select("path").distinct(), o.threads), kind))
+        errors = errors.unionByName(inside.where("error is not null").select("path", "error"))
+        entries = entries.unionByName(inside.where("error is null").join(packed.select("path", "mtime", "prioritized"), "path").select(*entries.columns))
+        entries = stored(entries)
+    candidates = exact.size_candidates(entries)
+    hashed = stored(streams.with_hash(streams.spread(candidates.where("h is null").drop("h"), o.threads), kind))
+    errors = errors.unionByName(hashed.where("error is not null").select("path", "error"))
+    good = hashed.where("error is null").drop("error")
+    if o.archives:
+        good = good.unionByName(candidates.where("h is not null").select(*good.columns))
+    return exact.members(streams.verified(good) if o.verify else good), errors
 
 
 def similar_images(spark: SparkSession, o: Options) -> DataFrame:
     """(pivot, others) of images nearer than the threshold."""
-    found = listed(spark, o)
-    if found.isEmpty():
-        raise ValueError("please submit at least one file")
-    sizes = found.select(F.col("path").alias("id"), "size")
+    sizes = some(listed(spark, o)).select(F.col("path").alias("id"), "size")
     plain = F.regexp_replace("path", "^file:/+", "/")
     signed = images.read_signatures(spark, *map(os.path.abspath, o.roots)).select(plain.alias("id"), "v").join(sizes, "id", "left_semi")
     return similar.stars(similar.pairs(signed, o.threshold), sizes)

@@ -197,7 +197,7 @@ def test_verify_parts_contents_of_one_hash(spark, tmp_path, monkeypatch, packed)
     write(tmp_path, a=b"one", b=b"one", c=b"two", d=b"two", e=b"six")
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(search.files, "with_file_hash", lambda df, kind: df.withColumns({"h": F.lit("equal"), "error": F.lit(None).cast("string")}))
+    monkeypatch.setattr(search.streams, "with_hash", lambda df, kind: df.withColumns({"h": F.lit("equal"), "error": F.lit(None).cast("string")}))
     options = ["-t", "-j", "2"] if packed else ["-j", "2"]
     plain, _ = search.duplicates(spark, Options.parse([*options, str(tmp_path)]))
     assert {r.n for r in plain.collect()} == {5}
@@ -218,3 +218,145 @@ def test_members_before_a_broken_one_stay(spark):
     assert rows[0].subpath == "a" and rows[0].size == 2000 and rows[-1].error is not None
     back = archives.expand(archives.packed(spark.createDataFrame([(1, None, "x"), (1, 2, None)], "c long, t long, x string"), "c", "t", "x"))
     assert sorted((r.path, r.subpath, r.size) for r in back.collect()) == [("1", "2", 0), ("1", "null", 1)]
+
+
+@pytest.fixture
+def opens(monkeypatch, tmp_path_factory):
+    """Counts, over all workers, how often each file is opened for its content."""
+    log = str(tmp_path_factory.mktemp("log") / "opens")
+
+    def counted(path):
+        with open(log, "a") as f:
+            f.write(path + "\n")
+        return open(path, "rb")
+
+    monkeypatch.setattr(archives, "open_file", counted)
+
+    def told():
+        import collections
+
+        if not os.path.exists(log):
+            return {}
+        with open(log) as f:
+            found = collections.Counter(os.path.basename(x.strip()) for x in f)
+        os.unlink(log)
+        return dict(found)
+
+    return told
+
+
+def test_a_candidate_is_opened_once_and_a_singleton_never(spark, tmp_path, opens):
+    write(tmp_path, a=b"one", sub__b=b"one", c=b"one", d=b"two", lone=b"another size")
+    assert run(spark, tmp_path).split() == [str(tmp_path / n) for n in ("a", "c", "sub/b")]
+    assert opens() == {"a": 1, "b": 1, "c": 1, "d": 1}
+    assert run(spark, "--verify", "-J", tmp_path).count('"path"') == 3
+    assert opens() == {"a": 2, "b": 2, "c": 2, "d": 1}
+    write(tmp_path, **{"x.zip": zipped(("m", b"one"), ("n", b"four4"))})
+    assert "x.zip:m" in run(spark, "-t", tmp_path)
+    assert opens() == {"a": 1, "b": 1, "c": 1, "d": 1, "x.zip": 2}  # its directory, and the one member of a shared size
+
+
+def zipped(*members):
+    import zipfile
+
+    stream = io.BytesIO()
+    with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members:
+            z.writestr(name, data)
+    return stream.getvalue()
+
+
+def test_no_content_is_shuffled_for_verification(spark, tmp_path):
+    write(tmp_path, a=b"one" * 1000, b=b"one" * 1000)
+    members, _ = search.duplicates(spark, Options.parse(["--verify", str(tmp_path)]))
+    assert "content" not in members._jdf.queryExecution().toString() and members.count() == 2
+
+
+@pytest.mark.parametrize("together, span", [(128, 1 << 30), (2, 700)])
+def test_verified_sets_of_forced_collisions(spark, tmp_path, together, span):
+    """Three contents, a lone one and a file that is gone share one digest; files are compared in spans and a few at a time."""
+    from pyspark.sql import functions as F
+
+    from dupspark.sources import entries
+
+    same, late, third = b"x" * 2000, b"x" * 1999 + b"y", b"z" + b"x" * 1999
+    for k in range(7):
+        write(tmp_path, **{f"a{k}": same})
+    write(tmp_path, b0=late, b1=late, c0=third, c1=third, d0=b"w" * 2000, other=b"x" * 2000, **{"z.zip": zipped(("m", late), ("n", same))})
+    names = sorted(p.name for p in tmp_path.iterdir() if p.suffix != ".zip") + ["gone"]
+    rows = [(str(tmp_path / n), None, None, 2000, "h") for n in names] + [(str(tmp_path / "z.zip"), "m", 0, 2000, "h"), (str(tmp_path / "z.zip"), "n", 1, 2000, "h"), (str(tmp_path / "a0"), None, None, 5, "lone")]
+    df = spark.createDataFrame(rows, "path string, subpath string, nth int, size long, h string").withColumn("prioritized", F.lit(False))
+    got = {}
+    for r in entries.verified(df, together, span, 300).collect():
+        got.setdefault(r.h, set()).add(os.path.basename(r.path) + (":" + r.subpath if r.subpath else ""))
+    named = {h.split("/")[-1]: v for h, v in got.items()}
+    assert {k: v for k, v in named.items() if len(v) > 1} == {"h": {f"a{k}" for k in range(7)} | {"other", "z.zip:n"}, "b0": {"b0", "b1", "z.zip:m"}, "c0": {"c0", "c1"}}
+
+
+def test_members_of_large_archives(spark, tmp_path):
+    """A zip's members are shared out, a tar's are hashed in pieces; broken, encrypted-like and unknown archives are error rows."""
+    import gzip
+    import hashlib
+
+    from dupspark.sources import entries
+
+    parts = [(f"m{k:03d}", bytes([k % 7]) * (1000 + k % 7)) for k in range(300)]
+    write(tmp_path, **{"x.zip": zipped(*parts), "one.gz": gzip.compress(b"q" * 3_000_000), "bad.rar": b"Rar!", "cut.zip": zipped(*parts)[:-30]})
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        for name, data in parts[:50]:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    packed = spark.createDataFrame([(str(p),) for p in tmp_path.iterdir()], "path string")
+    found = entries.members(packed).cache()
+    pending = entries.spread(found.where("h is null and error is null").drop("h", "error"), 8)
+    assert pending.rdd.getNumPartitions() == 8
+    hashed = entries.with_hash(pending).unionByName(found.where("h is not null"))
+    want = {("x.zip", n, hashlib.md5(d).hexdigest()) for n, d in parts} | {("t.tar.gz", n, hashlib.md5(d).hexdigest()) for n, d in parts[:50]} | {("one.gz", "one", hashlib.md5(b"q" * 3_000_000).hexdigest())}
+    assert {(os.path.basename(r.path), r.subpath, r.h) for r in hashed.collect()} == want
+    assert {os.path.basename(r.path) for r in found.where("error is not null").collect()} == {"bad.rar", "cut.zip"}
+    with archives.open_file(str(tmp_path / "t.tar.gz")) as f, archives.member_stream(str(tmp_path / "t.tar.gz"), f, 7) as inside:
+        assert inside.read() == parts[7][1]
+
+
+def test_switches(tmp_path):
+    o = Options.parse(["--dedupe-paths", "--strict-whitelist", "--strict-ignore", "--hash", "sha256", "x"])
+    assert o.dedupe_paths and o.strict_whitelist and o.strict_ignore and o.hash_kind == "sha256" and not Options.parse(["x"]).strict_ignore
+    with pytest.raises(ValueError):
+        Options.parse(["--hash", "none", "x"])
+
+
+def test_a_tree_below_one_folder_is_listed_by_many_tasks(spark, tmp_path):
+    """All of it lies below one folder, one branch is deep and one folder wide; small shares make many rounds with the same rows."""
+    top = tmp_path / "only" / "one"
+    for k in range(12):
+        write(top, **{f"d{k}__s{j}__f": 10 + j for j in range(6)})
+    write(top, **{"deep__" + "__".join("abcdefghij"[: k + 1]) + "__leaf": 5 for k in range(10)}, **{f"wide__f{k:03d}": k for k in range(130)})
+    (top / "d3" / ".gitignore").write_text("s1/\n!s2/\n")
+    os.symlink(top, top / "deep" / "loop")
+    options = {"ignore": True, "follow": True}
+    want = sorted(map(tuple, files.tree(spark, [str(tmp_path)], **options).where("ftype = 'file'").select("path", "relpath", "size", "verdict").collect()))
+    assert len(want) == 12 * 6 - 1 + 10 + 130 + 1 and sorted(map(tuple, files.scan(spark, [str(tmp_path)], **options).select("path", "relpath", "size", "verdict").collect())) == want
+    walk = files.Walk(follow=True, ignore=True)
+    found, n = files.rounds(spark, walk, [str(tmp_path)], first=10, most=20, wide=40)
+    from pyspark.sql import functions as F
+
+    assert sorted(map(tuple, found.where("ftype = 'file' and relpath not like '%.gitignore'").select("path", "relpath", "size", "verdict").collect())) == [w for w in want if "gitignore" not in w[1]]
+    files_of = found.select(F.col("_metadata.file_path").alias("f")).distinct().count()
+    assert n > 3 and files_of > 6
+
+
+def test_filters_reach_the_lister(spark, tmp_path):
+    write(tmp_path, **{f"d{k % 3}__f{k}.{'txt' if k % 2 else 'log'}": k for k in range(60)})
+    rows = files.tree(spark, [str(tmp_path)])
+    kept = rows.where("size >= 10 and size < 40 and ftype = 'file' and path like '%.txt'")
+    assert sorted(r.size for r in kept.collect()) == [k for k in range(10, 40) if k % 2]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert " Filter " not in plan and "BatchScan" in plan
+    reader = files.FileTreeReader({"roots": json.dumps([str(tmp_path)])})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringEndsWith
+
+    left = list(reader.pushFilters([GreaterThan(("size",), 50), StringEndsWith(("relpath",), ".log"), EqualTo(("verdict",), "NONE")]))
+    assert left == [EqualTo(("verdict",), "NONE")]
+    assert sorted(r[3] for p in reader.partitions() for r in reader.read(p)) == [52, 54, 56, 58]
+    assert sorted(r.size for r in files.scan(spark, [str(tmp_path)], sizes=(10, 12)).collect()) == [10, 11, 12]
