@@ -12,7 +12,7 @@ from .. import catalog
 from ..functions.hashing import iso_utc, xxh128
 from ..functions.sizes import human_size, parsed_size
 from ..functions.vectors import level
-from ..operators import exact, filters, ordered, rules, similar
+from ..operators import exact, filters, ordered, rule_tables, rules, similar
 from ..operators.cache import HashCache
 from ..operators.kv import SnapshotTable
 from ..sources import archives, files
@@ -135,6 +135,17 @@ def ignore_verdicts(spark, sf_dir):
     return catalog.documents(spark, sf_dir).select("id", "path", rules.verdict(F.col("path"), F.lit(False), contexts).alias("verdict"))
 
 
+@query(f"""WITH {FILES}, r AS (SELECT id, path, source, lang, id % 10 AS d, source || '/' || lang AS folder FROM files)
+SELECT id, path, CASE WHEN EXISTS (SELECT 1 FROM files f WHERE f.id % 10 = 3 AND f.source = r.source AND f.lang = r.lang) AND d IN (4, 7) THEN CASE WHEN d = 4 THEN 'WHITELISTED' ELSE 'IGNORED' END
+WHEN d IN (2, 4) THEN 'IGNORED' ELSE 'NONE' END AS verdict FROM r""")
+def ignore_tables(spark, sf_dir):
+    """Every folder that holds a document ending in 3 has an ignore file of its own, and each source has one too: rules are rows, one set a rule file."""
+    docs = catalog.documents(spark, sf_dir)
+    inner = docs.where("id % 10 = 3").select(F.regexp_replace("path", "/[^/]*$", "").alias("base")).distinct().select("base", F.posexplode(F.array(F.lit("!*4.txt"), F.lit("*7.txt"))).alias("ord", "line"))
+    outer = docs.select(F.substring_index("path", "/", 1).alias("base")).distinct().select("base", F.posexplode(F.array(F.lit("# even ones"), F.lit("*[24].txt"))).alias("ord", "line"))
+    return rule_tables.verdicts(docs.withColumn("is_dir", F.lit(False)), rule_tables.parsed(inner.unionByName(outer))).select("id", "path", "verdict")
+
+
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN true WHEN c_custkey % 5 = 0 THEN c_custkey % 2 = 0 ELSE c_custkey % 3 = 0 END AS readable FROM customer")
 def permission_check(spark, sf_dir):
     k = F.col("c_custkey")
