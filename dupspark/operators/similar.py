@@ -1,33 +1,72 @@
-"""Similar vectors: all pairs below a distance, exactly, block by block."""
+"""Similar vectors: all pairs below a distance, exactly, block by block inside bands of similar length."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.vectors import norm
+from ..workspace import stored
 
 #: Vectors of a block; a task holds two blocks and a matrix of this size squared at most.
 BLOCK = 1024
+#: Bands, of all vector lengths together, whose sizes are sent to every task; more are joined.
+MOST_BANDS = 1 << 16
+
+
+def band_of(length: Column, threshold: float) -> Column:
+    """The number of a band of lengths such that vectors nearer than the threshold lie in one band or in neighbouring ones; null for a zero vector, which only others of its kind are near below a threshold of 1.
+
+    |x - y| is at least the difference of the lengths, so the longer of two near vectors is less than (1 + t) / (1 - t) times as long as
+    the other, and that is a band's width. From a threshold of 1 on all lengths are one band.
+    """
+    if threshold >= 1:
+        return F.lit(0)
+    length = F.least(length, F.lit(1e300))
+    width = math.log((1 + threshold) / (1 - threshold)) * (1 + 1e-9)
+    return F.when(length > 0, F.floor(F.log(length) / width + 0.5).cast("int"))
+
+
+def dealt(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """rows(id, v, dim) with the pairs of blocks in which they are compared: (id, v, dim, low, high, lo, hi, side), side 0 in the lower block, 1 in the higher, null where these are one.
+
+    A band is cut into blocks of about `block` vectors by a hash. A vector goes to the pairs of its block with every block of its own band
+    and of the two bands beside it, and to no other; with vectors of one length that is every block there is.
+    """
+    placed = rows.withColumn("band", band_of(norm(F.col("v")), threshold))
+    sizes = stored(placed.groupBy("dim", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("n")))
+    beside = lambda step, name: sizes.select("dim", (F.col("band") + step).alias("band"), F.col("n").alias(name))
+    known = sizes.join(beside(-1, "up"), ["dim", "band"], "left").join(beside(1, "down"), ["dim", "band"], "left").select("dim", F.col("band").alias("own"), "n", "up", "down")
+    known = F.broadcast(known) if sizes.count() <= MOST_BANDS else known
+    at = placed.join(known.withColumnRenamed("dim", "_dim"), (F.col("dim") == F.col("_dim")) & F.col("band").eqNullSafe(F.col("own"))).drop("_dim", "own")
+    at = at.withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    to = lambda n, make: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), make)
+    cell = lambda low, high, lo, hi, side: F.struct(low.alias("low"), high.alias("high"), lo.alias("lo"), hi.alias("hi"), side.cast("int").alias("side"))
+    band, k = F.col("band"), F.col("k")
+    inside = to(F.col("n"), lambda j: cell(band, band, F.least(k, j), F.greatest(k, j), F.when(k < j, 0).when(k > j, 1)))
+    above = to(F.coalesce("up", F.lit(0)), lambda j: cell(band, band + 1, k, j, F.lit(0)))
+    below = to(F.coalesce("down", F.lit(0)), lambda j: cell(band - 1, band, j, k, F.lit(1)))
+    return at.select("id", "v", "dim", F.explode(F.concat(inside, above, below)).alias("c")).select("id", "v", "dim", "c.*")
 
 
 def pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "v", block: int = BLOCK) -> DataFrame:
     """(a, b, distance) with a < b and |x - y| / (|x| + |y|) below the threshold.
 
-    Vectors are dealt by a hash into blocks of about `block`; each pair of blocks meets once in one task, so a row is sent
-    as often as there are blocks and no task sees more than two. A matrix product finds candidates with some slack,
+    Vectors of similar length meet block by block, see dealt(); a task sees two blocks and a vector is sent as often as its band and
+    the two beside it have blocks. A matrix product finds candidates with some slack,
     and the direct formula in double decides. Rows with a null id or vector, or a null or non-finite component, take no
     part; vectors of different lengths don't compare; two zero vectors have distance 0.
     """
     ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(F.col(key).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("id", "v", "dim", "k", F.least("k", "other").alias("lo"), F.greatest("k", "other").alias("hi"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, k = int(part["lo"].iloc[0]), int(part["hi"].iloc[0]), part["k"].to_numpy()
+        one, side = part["side"].isna().all(), part["side"].fillna(-1).to_numpy()
         ids, x = part["id"].to_numpy(), np.stack(part["v"].to_list())
-        left, right = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
+        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         found = []
         length = np.sqrt((x * x).sum(axis=1))
         for at in range(0, len(left), 256):
@@ -36,7 +75,7 @@ def pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "
             gap = length[i][:, None] ** 2 + length[right][None] ** 2 - 2 * (x[i] @ x[right].T)
             r, c = np.nonzero(gap <= (threshold * total) ** 2 + 1e-6 * (1 + total**2))
             r, c = i[r], right[c]
-            keep = ids[r] < ids[c] if lo == hi else np.ones(len(r), bool)
+            keep = ids[r] < ids[c] if one else np.ones(len(r), bool)
             r, c = r[keep], c[keep]
             d = np.sqrt(((x[r] - x[c]) ** 2).sum(axis=1))
             both = length[r] + length[c]
@@ -47,7 +86,7 @@ def pairs(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "
         return out[out["a"] != out["b"]]
 
     kind = rows.schema["id"].dataType.simpleString()
-    return dealt.groupBy("lo", "hi", "dim").applyInPandas(compare, f"a {kind}, b {kind}, distance double")
+    return dealt(rows, threshold, block).groupBy("dim", "low", "high", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, distance double")
 
 
 def stars(found: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -105,3 +105,33 @@ def test_ordered(spark):
 def test_latest(spark):
     log = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 9, 1)], "k string, v int, t int")
     assert sorted((r.k, r.v) for r in ordered.latest(log, ["k"], ["t"]).collect()) == [("a", 2), ("b", 9)]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.6, 0.999, 1.0, 1.5])
+def test_similarity_of_vectors_of_mixed_lengths(spark, threshold):
+    """Lengths from a thousandth to a thousand, with zero vectors, ties and another dimension."""
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    base = rnd.normal(size=(12, 4))
+    x = [(base[k % 12] + 0.3 * rnd.normal(size=4)) * 10 ** rnd.uniform(-3, 3) for k in range(260)]
+    x += [np.zeros(4), np.zeros(4), x[0], x[0] * 1.22, x[1] * (1 + threshold) / max(1 - threshold, 1e-9), np.ones(3), np.ones(3) * 1.01, np.zeros(0), np.zeros(0)]
+    want = set()
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            if len(x[i]) == len(x[j]):
+                total = np.sqrt((x[i] ** 2).sum()) + np.sqrt((x[j] ** 2).sum())
+                if (np.sqrt(((x[i] - x[j]) ** 2).sum()) / total if total else 0.0) < threshold:
+                    want.add((i, j))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert {(r.a, r.b) for r in similar.pairs(rows, threshold, block=16).collect()} == want
+
+
+def test_similarity_sends_little_where_lengths_differ(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4096).select("id", F.array(*[F.pow(F.lit(1.01), F.col("id") % 1024) * F.lit(1.0 + k) for k in range(3)]).alias("v"), F.lit(3).alias("dim"))
+    sent = lambda df, t: similar.dealt(df, t, 64).count()
+    assert sent(rows, 0.2) < 0.2 * 4096 * 64
+    units = rows.select("id", F.array(*[F.lit(1.0)] * 3).alias("v"), "dim")
+    assert sent(units, 0.2) == 4096 * 64  # one band: every block meets every block
