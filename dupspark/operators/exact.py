@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import digest
+from . import global_order
 
 
 def size_histogram(files: DataFrame) -> DataFrame:
@@ -37,12 +38,13 @@ def groups(files: DataFrame, verify: bool = False) -> DataFrame:
     return files.groupBy(*keys).agg(F.count("*").alias("n"), first.alias("first_path")).where("n > 1").drop("content")
 
 
-def members(files: DataFrame, rank: bool = True, verify: bool = False) -> DataFrame:
+def members(files: DataFrame, rank: bool = True, verify: bool = False, spread: bool = False) -> DataFrame:
     """Rows of the sets of equal files, numbered inside their set: prioritized ones first, then by path.
 
     The sets' keys come from a pre-aggregated count, so a file without a copy leaves before the ranking's sort, and
     content is no part of what is shuffled. verify: sets are of equal bytes; contents are shuffled, and where two have
-    one hash, the sets but the one with the smallest path have that path behind theirs.
+    one hash, the sets but the one with the smallest path have that path behind theirs. spread: a set may be larger than a task can
+    rank, and is ranked by several, for which the rows are written once.
     """
     keyed = files.drop("content")
     if verify:
@@ -54,6 +56,8 @@ def members(files: DataFrame, rank: bool = True, verify: bool = False) -> DataFr
     out = keyed.join(several, ["size", "h"])
     if rank:
         ties = [c for c in ("path", "subpath", "id") if c in out.columns]
+        if spread:
+            return global_order.ranked(out, ["size", "h"], [F.desc("prioritized"), *map(F.col, ties)])
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("size", "h").orderBy(F.desc("prioritized"), *ties)))
     return out
 
@@ -66,8 +70,8 @@ def verified_pairs(files: DataFrame, key: str = "id") -> DataFrame:
 
 
 def size_changes(files: DataFrame) -> DataFrame:
-    """(size, before): each distinct size beside the next larger one. The window runs over one row a size, in one task."""
-    return size_histogram(files).select("size").withColumn("before", F.lag("size").over(Window.partitionBy().orderBy(F.desc("size"))))
+    """(size, before): each distinct size beside the next larger one."""
+    return global_order.neighbours(size_histogram(files).select("size"), "size").select("size", F.col("next_key").alias("before"))
 
 
 def reclaimable(sets: DataFrame) -> DataFrame:

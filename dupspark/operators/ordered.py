@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from . import global_order
+
 
 def get(rows: DataFrame, key, k: str = "k") -> DataFrame:
     """The row of a key; the equality reaches the files' statistics."""
@@ -33,29 +35,16 @@ def seek(rows: DataFrame, key, k: str = "k") -> DataFrame:
     return first(rows.where(F.col(k) >= F.lit(key)), k)
 
 
-def seek_many(rows: DataFrame, probes: DataFrame, k: str = "k", bucket: Column | None = None) -> DataFrame:
-    """(probe, k): for every probe the first key at or above it, null if there is none: one sort of both and a look ahead.
-
-    bucket, a function of the key whose values ascend with it (a prefix, a range number), lets the sort run in parallel;
-    a probe whose bucket has no such key takes the smallest key of the next bucket that has one. That look ahead runs over
-    one row a bucket, in one task.
-    """
-    part = bucket if bucket is not None else F.lit(0)
-    both = rows.select(F.col(k).alias("k"), F.lit(None).cast(rows.schema[k].dataType).alias("probe")).unionByName(probes.select(F.col(k).alias("k"), F.col(k).alias("probe")))
-    both = both.withColumn("is_probe", F.col("probe").isNotNull()).withColumn("part", part)
-    ahead = Window.partitionBy("part").orderBy("k", F.desc("is_probe")).rowsBetween(0, Window.unboundedFollowing)
-    near = F.first(F.when(~F.col("is_probe"), F.col("k")), ignorenulls=True).over(ahead)
-    later = Window.partitionBy().orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    least = both.groupBy("part").agg(F.min(F.when(~F.col("is_probe"), F.col("k"))).alias("least"))
-    least = least.select("part", F.first("least", ignorenulls=True).over(later).alias("least"))
-    found = both.withColumn("near", near).where("is_probe").select("probe", "near", "part")
-    missing = found.where("near is null").select("probe", "part").distinct().join(least, "part").select("probe", F.col("least").alias("k"))
-    return found.where("near is not null").select("probe", F.col("near").alias("k")).distinct().unionByName(missing)
+def seek_many(rows: DataFrame, probes: DataFrame, k: str = "k") -> DataFrame:
+    """(probe, k): for every probe the first key at or above it, null if there is none."""
+    return global_order.seek_many(rows, probes, k)
 
 
 def neighbours(rows: DataFrame, k: str = "k", per: str | None = None) -> DataFrame:
-    """Each row beside the key before and after it, inside `per` if given."""
-    w = (Window.partitionBy(per) if per else Window.partitionBy()).orderBy(k)
+    """Each row beside the key before and after it, inside `per` if given, else over the whole table."""
+    if per is None:
+        return global_order.neighbours(rows, k)
+    w = Window.partitionBy(per).orderBy(k)
     return rows.withColumn("prev_key", F.lag(k).over(w)).withColumn("next_key", F.lead(k).over(w))
 
 

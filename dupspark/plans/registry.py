@@ -294,7 +294,7 @@ def kv_seek(spark, sf_dir):
 def kv_seek_many(spark, sf_dir):
     probes = catalog.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 11).alias("k"))
     rows = keyed_orders(spark, sf_dir)
-    return ordered.seek_many(rows.select("k"), probes, bucket=F.floor(F.col("k") / 4096))
+    return ordered.seek_many(rows.select("k"), probes)
 
 
 LOG = "log AS (SELECT user_id || ':' || event_type AS k, value AS v, ts, event_id FROM events)"

@@ -67,7 +67,7 @@ def duplicates(spark: SparkSession, o: Options) -> tuple[DataFrame, DataFrame]:
     good = hashed.where("error is null").drop("error")
     if o.archives:
         good = good.unionByName(candidates.where("h is not null").select(*good.columns))
-    return exact.members(streams.verified(good) if o.verify else good), errors
+    return stored(exact.members(streams.verified(good) if o.verify else good, spread=True)), errors
 
 
 def similar_images(spark: SparkSession, o: Options) -> DataFrame:
@@ -92,7 +92,9 @@ def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) ->
         return 0
     members, errors = duplicates(spark, o)
     if o.json:
-        out.write(report.json_text(report.json_sets(members, o.archives)) + "\n")
+        for piece in report.json_pieces(members, o.archives):
+            out.write(piece)
+        out.write("\n")
     else:
         for line in report.text_lines(members, o.separator, o.show_size, colour=out.isatty()):
             out.write(line)

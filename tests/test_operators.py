@@ -97,9 +97,8 @@ def test_ordered(spark):
     near = {bytes(r.k): r for r in ordered.neighbours(rows).collect()}
     assert near[b"key0000"].prev_key is None and bytes(near[b"key0500"].next_key) == b"key0501" and near[b"key0999"].next_key is None
     probes = spark.createDataFrame([(b"key0500a",), (b"a",), (b"z",)], "k binary")
-    for bucket in (None, F.substring(F.col("k"), 1, 4)):
-        assert "NestedLoop" not in ordered.seek_many(rows, probes, bucket=bucket)._jdf.queryExecution().executedPlan().toString()
-        assert {bytes(r.probe): r.k and bytes(r.k) for r in ordered.seek_many(rows, probes, bucket=bucket).collect()} == {b"key0500a": b"key0501", b"a": b"key0000", b"z": None}
+    assert "NestedLoop" not in ordered.seek_many(rows, probes)._jdf.queryExecution().executedPlan().toString()
+    assert {bytes(r.probe): r.k and bytes(r.k) for r in ordered.seek_many(rows, probes).collect()} == {b"key0500a": b"key0501", b"a": b"key0000", b"z": None}
 
 
 def test_latest(spark):
@@ -135,3 +134,75 @@ def test_similarity_sends_little_where_lengths_differ(spark):
     assert sent(rows, 0.2) < 0.2 * 4096 * 64
     units = rows.select("id", F.array(*[F.lit(1.0)] * 3).alias("v"), "dim")
     assert sent(units, 0.2) == 4096 * 64  # one band: every block meets every block
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Range partitions of a few rows each."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_over_the_whole_table_without_one_task(spark, many_parts):
+    import random
+
+    rnd = random.Random(3)
+    keys = [rnd.randrange(60) for _ in range(90)] + [None, None, 1000]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    got = ordered.neighbours(rows)
+    assert "SinglePartition" not in plan_of(got)
+    order = sorted(keys, key=lambda k: (k is not None, k or 0))
+    want = sorted(zip([None, *order[:-1]], order, [*order[1:], None], strict=True), key=repr)
+    assert sorted(((r.prev_key, r.k, r.next_key) for r in got.collect()), key=repr) == want
+    assert ordered.neighbours(rows.limit(0)).collect() == []
+    sizes = exact.size_changes(rows.where("k is not null").selectExpr("k as size"))
+    distinct = sorted({k for k in keys if k is not None})
+    assert "SinglePartition" not in plan_of(sizes) and {r.size: r.before for r in sizes.collect()} == dict(zip(distinct, [*distinct[1:], None], strict=True))
+
+
+def test_seeks_over_many_parts(spark, many_parts):
+    rows = spark.range(0, 1000, 50).selectExpr("cast(id as int) as k")
+    probes = spark.range(0, 1100, 7).selectExpr("cast(id as int) as k").union(spark.range(0, 21, 7).selectExpr("cast(id as int)"))
+    found = ordered.seek_many(rows, probes)
+    assert "SinglePartition" not in plan_of(found)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((p, -(-p // 50) * 50 if p <= 950 else None) for p in range(0, 1100, 7)), key=repr)
+    assert ordered.seek_many(rows.limit(0), probes.where("k = 7")).collect()[0].k is None
+
+
+def test_a_hot_set_is_ranked_by_several_tasks(spark, many_parts):
+    from pyspark.sql import functions as F
+
+    from dupspark.operators import global_order
+
+    rows = spark.range(3000).selectExpr("case when id % 3 > 0 then 7L else id % 40 end as size", "'h' as h", "concat('p', id) as path", "id % 5 = 0 as prioritized", "id")
+    want = exact.members(rows).select("size", "path", "n", "rank")
+    got = exact.members(rows, spread=True).select("size", "path", "n", "rank")
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    cut = global_order.parts(rows, "size", "h", F.desc("prioritized"), "path")
+    assert cut.where("size = 7").select("_part").distinct().count() >= 4
+
+
+@pytest.mark.parametrize("per", [1, 3, 1000])
+def test_reports_in_chunks(spark, per):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from dupspark.plans import report
+
+    rows = spark.range(40).selectExpr("id % 3 as size", "concat('h', id % 3) as h", "concat('p', lpad(id, 2, '0')) as path", "cast(null as string) as subpath", "id = 5 as prioritized", "timestamp'2024-01-01' as mtime")
+    members = exact.members(rows)
+    sets = report.json_sets(members).orderBy(F.desc("size_bytes"), "hash_xxh128").collect()
+    assert "".join(report.json_pieces(members, per=per)) == json.dumps([r.asDict(recursive=True) for r in sets], indent=2)
+    assert "".join(report.json_pieces(members.limit(0), per=per)) == "[]"
+    shown = [r.shown for r in report.sets(members, ";").orderBy(F.desc("size"), "shown").collect()]
+    assert "".join(report.text_lines(members, ";", per=per)) == "".join(s + "\n\n" for s in shown)
+    assert max(r.n for r in report.chunks(members, F.col("path"), per).select(F.size("entries").alias("n")).collect()) <= per
