@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, bounded_sample, byte_blocks, fold_of, released
 
@@ -53,7 +54,7 @@ def padded_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return cells, first
 
 
-def train(windows: list[bytes], labels: list[str], rounds: int = 12, seed: int = 7) -> ByteNet:
+def train(windows: list[bytes], labels: list[str], rounds: int = 8, seed: int = 7) -> ByteNet:
     """Adam on windows of at most WINDOW bytes; labels weigh equally. No window gives a net with the one label 'und'."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels)) or ["und"]
@@ -106,18 +107,29 @@ def train(windows: list[bytes], labels: list[str], rounds: int = 12, seed: int =
     return net
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_label: int = 400, windows: int = 6, most_labels: int = 256) -> ByteNet:
-    """Trains on at most per_label texts of each non-null label, chosen by a hash of the key, and of each text on at most
-    `windows` windows, spread evenly over the whole of it. Only these windows come to the driver. Of more than most_labels
-    labels the most frequent are learned."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_label: int = 800, most_bytes: int = 3 << 20, most_rows: int = 1 << 15) -> ByteNet:
+    """Trains on all windows of a bounded sample of whole texts: at most per_label of each non-null label, chosen by a hash of
+    the key, and most_bytes and most_rows in all.
+
+    Every label's first text comes before any label's second; a text that doesn't fit in what is left of most_bytes is passed
+    over. Sizes come to the driver first, then only the texts that fit.
+    """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(lang).alias("label"), F.col(text).cast("binary").alias("b"))
-    labels = known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).select("label")
-    rows = bounded_sample(known.join(F.broadcast(labels), "label", "left_semi"), "label", "k", per_label)
-    count = F.ceil(F.length("b") / WINDOW)
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.floor(i * (count - 1) / (windows - 1)).cast("int")))
-    cut = rows.select("label", "k", F.posexplode(F.transform(places, lambda i: F.substring(F.col("b"), i * WINDOW + 1, F.lit(WINDOW)))).alias("nth", "window"))
-    found = cut.orderBy("label", "k", "nth", "window").collect()
-    return train([bytes(r.window) for r in found], [r.label for r in found])
+    known = known.withColumn("h", F.xxhash64("b"))
+    few = bounded_sample(known.select("label", "k", "h", F.octet_length("b").alias("n")), "label", "k", per_label)
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("sample"), F.col("k")), "k", "h"))
+    fits, room = set(), most_bytes
+    for r in few.withColumn("turn", turn).orderBy("turn", "label", "k", "h").limit(most_rows).collect():
+        if r.n <= room and (r.label, r.k, r.h) not in fits:
+            fits.add((r.label, r.k, r.h))
+            room -= r.n
+    if not fits:
+        return train([], [])
+    chosen = docs.sparkSession.createDataFrame(sorted(fits, key=repr), few.select("label", "k", "h").schema)
+    same = [F.col("label") == F.col("_label"), F.col("k").eqNullSafe(F.col("_k")), F.col("h") == F.col("_h")]
+    found = known.join(F.broadcast(chosen.toDF("_label", "_k", "_h")), same, "left_semi").dropDuplicates(["label", "k", "h"]).orderBy("label", "k", "h").collect()
+    windows = [(bytes(r.b[at : at + WINDOW]), r.label) for r in found for at in range(0, len(r.b), WINDOW)]
+    return train([w for w, _ in windows], [label for _, label in windows])
 
 
 def predict(docs: DataFrame, net: ByteNet, text: str = "text", keep: list[str] | None = None) -> DataFrame:
