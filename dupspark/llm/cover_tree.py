@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Vectors of one data tree and of one query tree, points of a leaf, ratio of a child's radius bound to its parent's.
-SHARD, QUERIES, LEAF, SHRINK = 8192, 2048, 64, 0.7
+#: Vectors of one data tree and of one query tree, points of a data leaf and of a query leaf, ratio of a child's radius bound to its parent's.
+SHARD, QUERIES, LEAF, QUERY_LEAF, SHRINK = 8192, 2048, 16, 1, 0.7
 
 
 @dataclass
@@ -25,12 +25,12 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def cover_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
+def cover_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
     """A cover tree of the rows of x, and the order in which every node's points are neighbours.
 
     A node's children are chosen farthest-first until SHRINK times its radius covers every point, so two children lie
     farther apart than that. Where this needs a child for every second point, distances are too alike to tell points
-    apart, and the node stays a leaf; so does one of at most LEAF points or without extent.
+    apart, and the node stays a leaf; so does one of at most `leaf` points or without extent.
     """
     squares = (x * x).sum(axis=1)
 
@@ -45,10 +45,10 @@ def cover_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
         node, center, far = todo.pop()
         rows = order[node.lo : node.hi]
         node.radius, node.norm = float(far.max()) * (1 + 1e-9) + 1e-6, float(np.sqrt(squares[center]))
-        if len(rows) <= LEAF or node.radius < 1e-3:
+        if len(rows) <= leaf or node.radius < 1e-3:
             continue
         reach, owner, centers, near = SHRINK * node.radius, np.zeros(len(rows), int), [center], far.copy()
-        while near.max() > reach and len(centers) <= max(LEAF, len(rows) // 2):
+        while near.max() > reach and len(centers) <= max(leaf, len(rows) // 2):
             pick = int(np.argmax(near))
             d = away(rows, rows[pick])
             closer = d < near
@@ -77,9 +77,16 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.score, self.id = k, np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+        self.floor = np.full(queries, -np.inf)  # a kth score that is known to be reached
+        self.scored = 0
+
+    def worst(self, lo: int, hi: int) -> float:
+        """The smallest kth score of queries lo to hi."""
+        return float(np.maximum(self.score[lo:hi, -1], self.floor[lo:hi]).min())
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
         """scores of the queries `rows` (with ids own) with candidates ids."""
+        self.scored += scores.size
         worst, last = self.score[rows, -1:], self.id[rows, -1:]
         r, c = np.nonzero(((scores > worst) | ((scores == worst) & (ids[None] < last))) & (ids[None] != own[:, None]))
         if not len(r):
@@ -94,16 +101,40 @@ class Best:
         self.score[rows[hit]], self.id[rows[hit]] = score[chosen], name[chosen]
 
 
+def leaves(tree: Node) -> list[Node]:
+    out, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        todo += node.children
+        out += [] if node.children else [node]
+    return out
+
+
+def seed(best: Best, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, tree: Node) -> None:
+    """Floors for all queries: the kth score that each reaches in the one leaf of over k points whose center it likes most. The leaf's points are offered later, as any others."""
+    ends = [n for n in leaves(tree) if best.k < n.hi - n.lo <= 32 * LEAF]
+    if not ends:
+        return
+    own = (q @ np.stack([n.center for n in ends]).T).argmax(axis=1)
+    for k in np.unique(own):
+        node, rows = ends[k], np.flatnonzero(own == k)
+        part = slice(node.lo, node.hi)
+        scores = np.where(x_ids[part][None] != q_ids[rows][:, None], q[rows] @ x[part].T, -np.inf)
+        best.scored += scores.size
+        best.floor[rows] = np.partition(scores, -best.k, axis=1)[:, -best.k]
+
+
 def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Best:
     """The k largest inner products of each row of q with rows of x that have another id; ties go to the smaller id.
 
     A pair of nodes is left if center . center, with both radii added in, stays below the worst kth score of the query
-    node's queries. Pairs of higher bounds come first.
+    node's queries. Pairs of higher bounds come first, and every query begins with the kth score of its own leaf.
     """
-    qt, q_order = cover_tree(q)
+    qt, q_order = cover_tree(q, QUERY_LEAF)
     xt, x_order = cover_tree(x)
     q, q_ids, x, x_ids = q[q_order], q_ids[q_order], x[x_order], x_ids[x_order]
     best = Best(len(q), k)
+    seed(best, q, q_ids, x, x_ids, xt)
 
     def bounds(a: Node, nodes: list[Node]) -> np.ndarray:
         radii, norms = np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
@@ -113,7 +144,7 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
     todo = [(qt, xt, np.inf)]
     while todo:
         a, b, bound = todo.pop()
-        if bound < best.score[a.lo : a.hi, -1].min():
+        if bound < best.worst(a.lo, a.hi):
             continue
         if not a.children and not b.children:
             for at in range(b.lo, b.hi, 4096):

@@ -544,6 +544,22 @@ def test_top_k_of_repeated_ids(spark, monkeypatch):
     assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_clustered_vectors_are_hardly_scored():
+    """Queries of one cluster meet little beside it; repeated vectors, ties and a query's own id among them."""
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(60, 64))
+    x = centers[rng.integers(60, size=4000)] + 0.1 * rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    x[100:140] = x[3]
+    ids = rng.permutation(4000)
+    found = cover_tree.dual_search(x[:200], ids[:200], x, ids, 5)
+    scores = x[:200] @ x.T
+    for i in range(200):
+        want = sorted((-s, j) for s, j in zip(scores[i], ids, strict=True) if j != ids[i])[:5]
+        assert [(-s, j) for s, j in zip(found.score[i], found.id[i], strict=True)] == want
+    assert found.scored < 0.05 * 200 * 4000
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(1).normal(0, 1, (3000, 3)) * np.array([100, 10, 1])
     root, order = cover_tree.cover_tree(x)
