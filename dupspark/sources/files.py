@@ -52,6 +52,7 @@ class Walk:
         self.by_name: list[Callable[[str, str], bool]] = []  # of path and relpath, asked before an entry is looked up
         self.by_row: list[Callable[[tuple], bool]] = []
         self.known: dict[str, list] = {}
+        self.user, self.groups = os.getuid(), frozenset(os.getgroups())
 
     @staticmethod
     def entries(folder: str) -> list[os.DirEntry] | None:
@@ -86,6 +87,11 @@ class Walk:
                     said = rules.WHITELISTED if negated else rules.IGNORED
         return said
 
+    def permits(self, info: os.stat_result, bit: int) -> bool:
+        """As filters.permitted(): whether the user of the search may read (4) or enter (1), as owner, else as member of the group, else as anyone; root may."""
+        shift = 6 if info.st_uid == self.user else 3 if info.st_gid in self.groups else 0
+        return self.user == 0 or bool(info.st_mode >> shift & bit)
+
     def enters(self, entry) -> bool:
         named_off = entry.name in self.deny or (not self.hidden and entry.name.startswith("."))
         return not named_off and entry.is_dir(follow_symlinks=self.follow)
@@ -123,9 +129,10 @@ class Walk:
 
     def listed(self, root: str, folder: str, contexts: list, names: list[str] | None = None, wide: int | None = None) -> Iterator[tuple | str | list[str]]:
         """Rows of a folder's entries, the paths of folders in it that are entered and, where it has more than `wide` other entries, lists of their names for others to look up."""
-        entries = self.entries(folder) if names is None else None
+        own = os.stat(folder)
+        entries = self.entries(folder) if names is None and self.permits(own, 4) and self.permits(own, 1) else None
         if names is None and entries is None:
-            yield self.row(root, folder, os.stat(folder), kind="unreadable")
+            yield self.row(root, folder, own, kind="unreadable")
             return
         contexts = self.contexts(folder, contexts)
         plain = []

@@ -360,3 +360,23 @@ def test_filters_reach_the_lister(spark, tmp_path):
     assert left == [EqualTo(("verdict",), "NONE")]
     assert sorted(r[3] for p in reader.partitions() for r in reader.read(p)) == [52, 54, 56, 58]
     assert sorted(r.size for r in files.scan(spark, [str(tmp_path)], sizes=(10, 12)).collect()) == [10, 11, 12]
+
+
+def test_folders_that_may_not_be_entered_are_rows(spark, tmp_path):
+    """Reading a folder's names needs one bit, entering it another: as owner, as member of its group, as anyone."""
+    os.chmod(tmp_path, 0o755)
+    for name, mode in (("read", 0o744), ("enter", 0o711), ("both", 0o755), ("group", 0o750), ("mine", 0o077)):
+        write(tmp_path, **{f"{name}__f": 3, f"{name}__deep__g": 3})
+        os.chmod(tmp_path / name, mode)
+    os.chown(tmp_path / "group", 0, 4242)
+    os.chown(tmp_path / "mine", 777, 4242)
+
+    def seen(user, *groups):
+        walk = files.Walk()
+        walk.user, walk.groups = user, frozenset(groups)
+        rows = files.rounds(spark, walk, [str(tmp_path)])[0].collect()
+        return sorted(r.relpath for r in rows if r.ftype == "file"), sorted(r.relpath for r in rows if r.ftype == "unreadable")
+
+    assert seen(777) == (["both/deep/g", "both/f"], ["enter", "group", "mine", "read"])
+    assert seen(778, 4242) == (["both/deep/g", "both/f", "group/deep/g", "group/f", "mine/deep/g", "mine/f"], ["enter", "read"])
+    assert len(seen(0)[0]) == 10
