@@ -25,6 +25,8 @@ from .common import bounded_batches, byte_blocks, byte_column, plain_names, rele
 #: Bytes of a block of texts and of a page of one text, which is cut where a token ends anyway. A fold costs the square of a
 #: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
 BLOCK, PAGE, LONG = 1 << 20, 1 << 18, 255
+#: Bytes of a row group of blocks, all of which a reader may hold.
+GROUP = 8 << 20
 #: Words that are broadcast at most, some 30 bytes each.
 MOST = 3 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -346,6 +348,8 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     """The columns to keep of docs (with names other than _b, _w, _words, _long, _ids) beside what finish makes of the ids.
 
     finish(ids, first, tokens by id) gives the arrays of `columns` for rows whose ids stand in ids[first[k]:first[k + 1]].
+    Words are cut in one job and put in their places in another, a block a row between them, so that a task needs one
+    Python worker at a time.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -368,9 +372,9 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
                 numbers = code.astype(np.int32)[at].tobytes()
                 ends = np.searchsorted(starts, offsets) * 4
                 own = [numbers[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                rest = [None] * (hi - lo - 1)
-                lists = [pa.array([[w for w in words if (len(w) <= LONG) == kind], *rest], pa.list_(pa.binary())) for kind in (True, False)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), pa.array(own, pa.binary()), *lists], [*keep, "_w", "_words", "_long"])
+                lists = [own, [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]]
+                kept = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(k).slice(lo, hi - lo)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x], pa.list_(pa.binary())) for x in lists)], [*keep, "_w", "_words", "_long"])
 
     def placed(batches):
         ranks, (counts, ids), alone = answers.value
@@ -379,17 +383,13 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
         for token, i in ranks.items():
             tokens[i] = token
         for batch in batches:
-            long, folded = batch.column(len(keep) + 1), batch.column(len(keep) + 2)
-            heads = np.flatnonzero(np.asarray(long.is_valid())).tolist()
-            borders = sorted({0, *heads})
-            for lo, hi in zip(borders, [*borders[1:], batch.num_rows], strict=True):
-                if lo in heads:
-                    ids, own = folded[lo].values, [merged(w, ranks) for w in long[lo].as_py()]
-                    count = np.asarray(ids.value_lengths()).astype(np.int64), np.array([len(x) for x in own], np.int64)
-                    flat = np.asarray(ids.flatten()).astype(np.int32), np.array([i for x in own for i in x], np.int32)
-                    found[1:3] = [(np.cumsum(n) - n, n, x) for n, x in zip(count, flat, strict=True)]
-                part = batch.slice(lo, hi - lo)
-                data, offsets = byte_column(part.column(len(keep)))
+            for row in range(batch.num_rows):
+                kept, numbers, long, folded = [batch.column(k)[row].values for k in range(len(keep))], *(batch.column(len(keep) + k)[row].values for k in range(3))
+                own = [merged(w, ranks) for w in long.to_pylist()]
+                count = np.asarray(folded.value_lengths()).astype(np.int64), np.array([len(x) for x in own], np.int64)
+                flat = np.asarray(folded.flatten()).astype(np.int32), np.array([i for x in own for i in x], np.int32)
+                found[1:3] = [(np.cumsum(n) - n, n, x) for n, x in zip(count, flat, strict=True)]
+                data, offsets = byte_column(numbers)
                 code = data.view(np.int32)
                 kinds = [np.flatnonzero(code & 3 == k) for k in range(len(found))]
                 many = np.zeros(len(code), np.int64)
@@ -400,12 +400,12 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
                 for mine, (lead, _, flat) in zip(kinds, found, strict=True):
                     out[places(many[mine], total[mine])] = flat[places(many[mine], lead[code[mine] >> 2].astype(np.int64))]
                 made = finish(out, total[offsets // 4], tokens)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *made], [*keep, *(c.name for c in columns)])
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *(c.name for c in columns)])
 
     kept = docs.select(*keep).schema.fields
     words = T.ArrayType(T.BinaryType())
-    inner = T.StructType([*kept, T.StructField("_w", T.BinaryType()), T.StructField("_words", words), T.StructField("_long", words)])
-    pieces = docs.select(*keep, F.col(text).cast("binary").alias("_b")).mapInArrow(released(cut), inner)
+    inner = T.StructType([*(T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept), *(T.StructField(n, words) for n in ("_w", "_words", "_long"))])
+    pieces = written(docs.select(*keep, F.col(text).cast("binary").alias("_b")).mapInArrow(released(cut), inner), group=GROUP)
     return pieces.select(*keep, "_w", "_long", fold.alias("_ids")).mapInArrow(released(placed), T.StructType([*kept, *columns]))
 
 

@@ -23,11 +23,12 @@ def work_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost no recomputation."""
+def written(df: DataFrame, folder: str | None = None, group: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and lost executors cost no recomputation. group: bytes of a row group, for rows that are long."""
     spark = df.sparkSession
     folder = folder or work_folder(spark)
-    df.write.mode("overwrite").parquet(folder)
+    rows = df.write.mode("overwrite")
+    (rows.option("parquet.block.size", group) if group else rows).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
