@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,9 +16,9 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, blocks of an output shard, blocks of a hash bin of a source at most or so.
 BLOCK, SHARD, BIN = 256, 4096, 1 << 16
-#: The tree's nodes hold a quota a source, on the driver too; more sources than this are refused.
+#: Quotas stand on the driver and are sent to every task; more sources than this are refused.
 SOURCES = 1 << 17
-#: Subtrees that the driver leaves to the executors.
+#: Subtrees of the shards, dealt to the executors.
 SUBTREES = 256
 
 
@@ -69,8 +71,11 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
 
 
 def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of each source are among n blocks drawn without replacement: one source after the other."""
-    out, rest = np.zeros_like(counts), int(counts.sum())
+    """How many of each source are among n blocks drawn without replacement: one source after the other, each given those before it."""
+    rest = int(counts.sum())
+    if rest < 1_000_000_000:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.zeros_like(counts)
     for k, c in enumerate(counts.tolist()):
         rest -= c
         out[k] = hypergeometric(rng, c, rest, n)
@@ -78,37 +83,57 @@ def split(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def descend(lo: int, hi: int, shards: int, total: int, counts: np.ndarray, starts: np.ndarray, seed: int, stop: int):
-    """Yields the nodes (lo, hi, counts, starts) of at most stop shards below a node. A node's random numbers depend on seed, lo and hi alone."""
-    if hi - lo <= stop:
-        yield lo, hi, counts, starts
-        return
-    mid = (lo + hi) // 2
-    first = mid * total // shards - lo * total // shards
-    left = split(counts, first, np.random.default_rng([seed, lo, hi]))
-    yield from descend(lo, mid, shards, total, left, starts, seed, stop)
-    yield from descend(mid, hi, shards, total, counts - left, starts + left, seed, stop)
+@dataclass
+class Node:
+    """Shards lo to hi with the sources that have blocks there: their numbers, how many blocks, and the first draw of each."""
+
+    lo: int
+    hi: int
+    nths: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+
+    def halves(self, shards: int, total: int, seed: int) -> tuple[Node, Node]:
+        """Both children. A node's random numbers depend on seed, lo and hi alone, so every task that comes by draws the same."""
+        mid = (self.lo + self.hi) // 2
+        left = split(self.counts, mid * total // shards - self.lo * total // shards, np.random.default_rng([seed, self.lo, self.hi]))
+        right, here, there = self.counts - left, left > 0, left < self.counts
+        return Node(self.lo, mid, self.nths[here], left[here], self.starts[here]), Node(mid, self.hi, self.nths[there], right[there], (self.starts + left)[there])
+
+
+def subtrees(lo: int, hi: int, most: int) -> list[tuple[int, int]]:
+    """The nodes of at most `most` shards."""
+    return [(lo, hi)] if hi - lo <= most else [*subtrees(lo, (lo + hi) // 2, most), *subtrees((lo + hi) // 2, hi, most)]
 
 
 def shard_ranges(spark, quotas: list[tuple[int, int]], seed: int) -> DataFrame:
-    """(nth, shard, start, count): which run of a source's draws goes to which shard. quotas: (nth, number of draws) of each source."""
-    nths, counts = np.array([q[0] for q in quotas], np.int64), np.array([q[1] for q in quotas], np.int64)
+    """(nth, shard, start, count): which run of a source's draws goes to which shard. quotas: (nth, number of draws) of each source.
+
+    The driver sends the quotas and names the subtrees; a task goes down to its subtree from the root and then through all of it.
+    """
     if not quotas:
         return spark.range(0).selectExpr("cast(id as int) AS nth", "id AS shard", "id AS start", "id AS count")
+    nths, counts = np.array([q[0] for q in quotas], np.int32), np.array([q[1] for q in quotas], np.int64)
     total = int(counts.sum())
     shards = max(1, -(-total // SHARD))
-    tops = [(lo, hi, c.tolist(), s.tolist()) for lo, hi, c, s in descend(0, shards, shards, total, counts, np.zeros_like(counts), seed, max(1, -(-shards // SUBTREES)))]
-    names = nths.tolist()
 
     def leaves(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                found = list(descend(r["lo"], r["hi"], shards, total, np.array(r["counts"], np.int64), np.array(r["starts"], np.int64), seed, 1))
-                columns = np.array(names * len(found), np.int32), np.repeat([x[0] for x in found], len(names)), np.concatenate([x[3] for x in found]), np.concatenate([x[2] for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["nth", "shard", "start", "count"])
-
-    nodes = spark.createDataFrame(tops, "lo long, hi long, counts array<long>, starts array<long>").repartition(min(len(tops), spark.sparkContext.defaultParallelism))
-    return nodes.mapInArrow(leaves, "nth int, shard long, start long, count long").where("count > 0")
+            for lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                node = Node(0, shards, nths, counts, np.zeros_like(counts))
+                while (node.lo, node.hi) != (lo, hi):
+                    node = node.halves(shards, total, seed)[hi > (node.lo + node.hi) // 2]
+                todo = [node]
+                while todo:
+                    node = todo.pop()
+                    if node.hi - node.lo > 1:
+                        todo += node.halves(shards, total, seed)
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(node.nths), pa.array(np.full(len(node.nths), node.lo)), pa.array(node.starts), pa.array(node.counts)], ["nth", "shard", "start", "count"])
+
+    named = subtrees(0, shards, max(1, -(-shards // SUBTREES)))
+    nodes = spark.createDataFrame(named, "lo long, hi long").repartition(min(len(named), 4 * spark.sparkContext.defaultParallelism))
+    return nodes.mapInArrow(leaves, "nth int, shard long, start long, count long")
 
 
 def mix(sizes: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,21 @@ class SubwordNet:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def step(net: SubwordNet, buckets: np.ndarray, counts: np.ndarray, label: int, rate: float) -> None:
+    """One text's step against the gradient of its loss; the two columns and their bias move by smaller parts of the rate."""
+    share = counts / max(1, counts.sum())
+    mean = share @ net.vectors[buckets]
+    z = mean @ net.out + net.bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    vectors = share[:, None] * (net.out @ p)[None, :]
+    net.out -= 0.01 * rate * np.outer(mean, p)
+    net.bias -= 0.002 * rate * p
+    if len(buckets):
+        net.vectors[buckets] -= rate * vectors
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float = 30.0, seed: int = 11) -> SubwordNet:
     """Text by text, in a new order each epoch; classes weigh as their counts do, so that scores stay calibrated."""
     rng = np.random.default_rng(seed)
@@ -87,16 +102,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, rate: float =
             buckets, counts = bags[i]
             now = rate * (1 - done / steps)
             done += 1
-            share = counts / max(1, counts.sum())
-            mean = share @ net.vectors[buckets]
-            z = mean @ net.out + net.bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            if len(buckets):
-                net.vectors[buckets] -= now * share[:, None] * (net.out @ p)[None, :]
-            net.out -= 0.01 * now * np.outer(mean, p)
-            net.bias -= 0.002 * now * p
+            step(net, buckets, counts, labels[i], now)
     return net
 
 

@@ -206,7 +206,9 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     table = f"text_blocks_{uuid.uuid4().hex}"
     cuts = rows.mapInArrow(cut, "block long, " + ", ".join(f"{c} binary" for c in Block.COLUMNS))
     cuts.write.option("path", work_folder(spark)).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(table)
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: found knows its files and buckets, which stay in the work folder
+    return found
 
 
 def by_block(replies: DataFrame, name: str) -> DataFrame:

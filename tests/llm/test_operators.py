@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -295,6 +296,8 @@ def test_cut_repeats(spark, monkeypatch, part):
     got = substring_dedup.cut_repeats(docs)
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut(rows)
     assert substring_dedup.cut_repeats(empty(spark)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("text_blocks")]  # and the rows are still there
+    assert got.count() == docs.count() and "Bucketed: true" in got._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("part", [4, 128])
@@ -477,11 +480,27 @@ def test_mixing(spark, monkeypatch):
     assert sum(len((r.text or "").split()) for r in texts.collect()) == sum(taken.values())
 
 
-def test_splitting_tree_is_a_partition():
-    counts = np.array([1000, 10, 0, 333])
-    leaves = list(mixing.descend(0, 7, 7, int(counts.sum()), counts, np.zeros(4, np.int64), 3, 1))
-    assert [lo for lo, *_ in leaves] == list(range(7)) and (sum(x[2] for x in leaves) == counts).all()
-    assert {int(x[2].sum()) for x in leaves} <= {191, 192} and all((a[3] + a[2] == b[3]).all() for a, b in zip(leaves, leaves[1:], strict=False))
+@pytest.mark.parametrize("subtrees", [1, 4, 256])
+def test_splitting_tree_is_a_partition(spark, monkeypatch, subtrees):
+    monkeypatch.setattr(mixing, "SHARD", 192)
+    monkeypatch.setattr(mixing, "SUBTREES", subtrees)
+    counts = {0: 1000, 1: 10, 3: 333, 9: 1}
+    rows = sorted(map(tuple, mixing.shard_ranges(spark, list(counts.items()), 3).select("nth", "shard", "start", "count").collect()))
+    assert all(r[3] > 0 for r in rows) and {r[1] for r in rows} == set(range(7))
+    for nth, n in counts.items():  # the shards' runs of a source follow one another and leave nothing out
+        own = [r for r in rows if r[0] == nth]
+        assert [r[2] for r in own] == np.cumsum([0, *(r[3] for r in own)])[:-1].tolist() and sum(r[3] for r in own) == n
+    assert {sum(r[3] for r in rows if r[1] == k) for k in range(7)} == {192}
+    assert rows == sorted(map(tuple, mixing.shard_ranges(spark, list(counts.items()), 3).select("nth", "shard", "start", "count").collect()))
+
+
+def test_many_sources_are_split_by_the_executors(spark):
+    quotas = [(k, 1 + k % 3) for k in range(mixing.SOURCES)]
+    found = mixing.shard_ranges(spark, quotas, 3).groupBy("shard").agg(F.sum("count").alias("n")).collect()
+    assert sum(r.n for r in found) == sum(n for _, n in quotas) and max(r.n for r in found) - min(r.n for r in found) <= 1
+
+
+def test_draws_follow_the_law():
     rng = np.random.default_rng(1)
     big = np.array([mixing.hypergeometric(rng, 3_000_000_000, 1_000_000_000, 1_000_000) for _ in range(400)])
     assert abs(big.mean() - 750_000) < 5 * 433 / 20 and 0.85 < big.std() / 433 < 1.15
@@ -676,6 +695,57 @@ def test_network_gradient():
     assert (up - loss()) / 2e-2 == pytest.approx(d_x[4, 3], rel=0.05, abs=2e-3)
 
 
+def test_language_training_goes_down_the_gradient():
+    """The first step of training against finite differences of the loss: with one step of Adam the sign of each change is minus that of its derivative."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.choice(list(letters), 60).astype(np.uint8)) for letters in (b"abcdef", b"uvwxyz") for _ in range(8)]
+    labels = ["a"] * 8 + ["b"] * 8
+    before, after = language_id.train(texts, labels, rounds=0), language_id.train(texts, labels, rounds=1)
+    cells, first = language_id.padded_windows(np.frombuffer(b"".join(texts), np.uint8), np.arange(0, 60 * 17, 60))
+
+    def loss(net):
+        got = net.log_probabilities(cells)[first[:-1]].astype(np.float64)
+        return -float(got[np.arange(16), [net.labels.index(x) for x in labels]].mean())
+
+    assert loss(after) < loss(before)
+    agree = checked = 0
+    for name, at in [("weights", (k, c)) for k in range(0, 24, 3) for c in range(2)] + [("offset", (0,)), ("bias", (1, 2))]:
+        now = getattr(before, name)
+        up, down = now.copy(), now.copy()
+        up[at], down[at] = now[at] + 1e-2, now[at] - 1e-2
+        slope = (loss(dataclasses.replace(before, **{name: up})) - loss(dataclasses.replace(before, **{name: down}))) / 2e-2
+        if abs(slope) > 1e-2:
+            checked += 1
+            agree += np.sign(getattr(after, name)[at] - now[at]) == -np.sign(slope)
+    assert checked >= 6 and agree >= 0.8 * checked
+
+
+def test_quality_step_is_the_gradient():
+    """One text, one step: vectors, weights and bias move against the derivative of its loss."""
+    text, rate = b"good words here", 1e-3
+    before, after = quality.train([text, b"x"], [1, 0], epochs=0), None
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    buckets, counts = np.unique(np.concatenate([b[b >= 0] for _, b in quality.features(data, offsets)]), return_counts=True)
+    share = counts / counts.sum()
+
+    def loss(vectors, out, bias):
+        z = share @ vectors @ out + bias
+        return float(np.log(np.exp(z - z[1]).sum()))
+
+    assert float(before.scores(data, offsets)[0]) == pytest.approx(np.exp(-loss(before.vectors[buckets], before.out, before.bias)), abs=1e-6)
+    after = quality.SubwordNet(before.vectors.copy(), before.out.copy(), before.bias.copy())
+    quality.step(after, buckets, counts, 1, rate)
+    old = before.vectors[buckets], before.out, before.bias
+    new = after.vectors[buckets], after.out, after.bias
+    for k, (scale, places) in enumerate(((rate, [(0, 0), (3, 5)]), (0.01 * rate, [(0, 0), (4, 1)]), (0.002 * rate, [(0,), (1,)]))):
+        for at in places:
+            shifted = [[x.copy() for x in old] for _ in range(2)]
+            shifted[0][k][at] += 1e-4
+            shifted[1][k][at] -= 1e-4
+            slope = (loss(*shifted[0]) - loss(*shifted[1])) / 2e-4
+            assert (new[k][at] - old[k][at]) / scale == pytest.approx(-slope, rel=1e-2, abs=1e-6), (k, at)
+
+
 def test_language_net_against_plain_convolution():
     """Every filter slid over every window, byte by byte, with the largest sum kept."""
     rng = np.random.default_rng(5)
