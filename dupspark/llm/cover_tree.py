@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -88,7 +88,7 @@ class Best:
         """scores of the queries `rows` (with ids own) with candidates ids."""
         self.scored += scores.size
         worst, last = self.score[rows, -1:], self.id[rows, -1:]
-        r, c = np.nonzero(((scores > worst) | ((scores == worst) & (ids[None] < last))) & (ids[None] != own[:, None]))
+        r, c = np.nonzero(((scores > worst) | ((scores == worst) & (ids[None] < last))) & (scores >= self.floor[rows, None]) & (ids[None] != own[:, None]))
         if not len(r):
             return
         hit, at = np.unique(r, return_inverse=True)
@@ -124,17 +124,28 @@ def seed(best: Best, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.
         best.floor[rows] = np.partition(scores, -best.k, axis=1)[:, -best.k]
 
 
+def left_by_bounds(best: Best, q: np.ndarray, tree: Node) -> float:
+    """The share of all pairs that the bounds of the data's leaves, against single queries and the floors they have, would leave."""
+    ends = leaves(tree)
+    reach = q @ np.stack([n.center for n in ends]).T + np.sqrt((q * q).sum(axis=1))[:, None] * np.array([n.radius for n in ends])
+    return float(((reach >= best.floor[:, None]) @ np.array([n.hi - n.lo for n in ends], float)).mean()) / tree.hi
+
+
 def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Best:
     """The k largest inner products of each row of q with rows of x that have another id; ties go to the smaller id.
 
     A pair of nodes is left if center . center, with both radii added in, stays below the worst kth score of the query
-    node's queries. Pairs of higher bounds come first, and every query begins with the kth score of its own leaf.
+    node's queries. Pairs of higher bounds come first, and every query begins with the kth score of its own leaf. Where even the
+    bounds of leaves against single queries would leave over half of all pairs, as with noise in many dimensions, the roots are scored
+    as they are, in blocks: going down would add work and take none away.
     """
     qt, q_order = cover_tree(q, QUERY_LEAF)
     xt, x_order = cover_tree(x)
     q, q_ids, x, x_ids = q[q_order], q_ids[q_order], x[x_order], x_ids[x_order]
     best = Best(len(q), k)
     seed(best, q, q_ids, x, x_ids, xt)
+    if left_by_bounds(best, q, xt) > 0.5:
+        qt, xt = replace(qt, children=[]), replace(xt, children=[])
 
     def bounds(a: Node, nodes: list[Node]) -> np.ndarray:
         radii, norms = np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
@@ -147,9 +158,11 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
         if bound < best.worst(a.lo, a.hi):
             continue
         if not a.children and not b.children:
-            for at in range(b.lo, b.hi, 4096):
-                part = slice(at, min(at + 4096, b.hi))
+            at, step = b.lo, 64  # few at first, while most of them still get in
+            while at < b.hi:
+                part = slice(at, min(at + step, b.hi))
                 best.offer(np.arange(a.lo, a.hi), q[a.lo : a.hi] @ x[part].T, q_ids[a.lo : a.hi], x_ids[part])
+                at, step = part.stop, min(2 * step, 2048)
         elif b.children and (not a.children or b.radius >= a.radius):
             found = bounds(a, b.children)
             todo += [(a, b.children[i], found[i]) for i in np.argsort(found)]
