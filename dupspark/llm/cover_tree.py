@@ -211,7 +211,11 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
 
 
 def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """top_k of the rows whose vec_id is divisible by `every`, against all rows of embeddings(vec_id, embedding)."""
+    """top_k of the rows whose vec_id is divisible by `every`, against all rows of embeddings(vec_id, embedding).
+
+    Components are floor(256 x). Vectors that are null or hold a null or non-finite component, and rows with a null id, take no
+    part; repeated rows and ids as in top_k(); an empty table gives no rows; other columns are not read.
+    """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding")).alias("v"))
     return top_k(rows.where(F.col("vec_id") % every == 0), rows, k)
 

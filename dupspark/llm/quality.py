@@ -153,7 +153,8 @@ def quality_of(docs: DataFrame, labels: DataFrame, per_label: int = 1500, thresh
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text), from labels(doc_id, quality).
 
     Rows whose crc32(doc_id) mod 5 is 0 are held out. Null doc_id: held_out is null. Without any label the score is 0.5
-    or near it. Repeated rows are scored each; other columns are not read.
+    or near it. Null and empty texts get the bias alone. Repeated rows are scored each, an empty table gives no rows;
+    other columns are not read.
     """
     texts, marks = labelled(docs, labels, "quality", per_label)
     net = train(texts, marks)

@@ -257,7 +257,8 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, per_label: int = 2000, thres
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text), from labels(doc_id, toxic).
 
     Rows whose crc32(doc_id) mod 5 is 0 are held out; null doc_id: held_out is null. A null or empty text has one empty
-    window. Without labels of both kinds the score is their smoothed share. Other columns are not read.
+    window. Without labels of both kinds the score is their smoothed share. Repeated rows are scored each; an empty
+    table gives no rows. Other columns are not read.
     """
     texts, marks = labelled(docs, labels, "toxic", per_label)
     net = train(texts, marks)
