@@ -41,10 +41,10 @@ def groups(files: DataFrame, verify: bool = False) -> DataFrame:
 def members(files: DataFrame, rank: bool = True, verify: bool = False, spread: bool = False) -> DataFrame:
     """Rows of the sets of equal files, numbered inside their set: prioritized ones first, then by path.
 
-    The sets' keys come from a pre-aggregated count, so a file without a copy leaves before the ranking's sort, and
-    content is no part of what is shuffled. verify: sets are of equal bytes; contents are shuffled, and where two have
+    Files are read and hashed once, and one shuffle brings the rows of a set together, without their content, for both their
+    number and their ranks. verify: sets are of equal bytes; contents are shuffled, and where two have
     one hash, the sets but the one with the smallest path have that path behind theirs. spread: a set may be larger than a task can
-    rank, and is ranked by several, for which the rows are written once.
+    rank, and is ranked by several; for that the rows should be a written table, since the sets' keys come from a count of their own.
     """
     keyed = files.drop("content")
     if verify:
@@ -52,14 +52,15 @@ def members(files: DataFrame, rank: bool = True, verify: bool = False, spread: b
         named = one.join(one.groupBy("size", "h").agg(F.min("_p").alias("_least")), ["size", "h"])
         named = named.select("size", "h", "content", F.when(F.col("_p") == F.col("_least"), F.col("h")).otherwise(F.concat("h", F.lit(" "), "_p")).alias("_h"))
         keyed = files.join(named, ["size", "h", "content"]).drop("content", "h").withColumnRenamed("_h", "h")
+    ties = [c for c in ("path", "subpath", "id") if c in keyed.columns]
+    order = [F.desc("prioritized"), *map(F.col, ties)]
+    if rank and not spread:
+        own = Window.partitionBy("size", "h").orderBy(*order)
+        counted = keyed.withColumn("n", F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        return counted.where("n > 1").withColumn("rank", F.row_number().over(own))
     several = keyed.groupBy("size", "h").agg(F.count("*").alias("n")).where("n > 1")
     out = keyed.join(several, ["size", "h"])
-    if rank:
-        ties = [c for c in ("path", "subpath", "id") if c in out.columns]
-        if spread:
-            return global_order.ranked(out, ["size", "h"], [F.desc("prioritized"), *map(F.col, ties)])
-        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("size", "h").orderBy(F.desc("prioritized"), *ties)))
-    return out
+    return global_order.ranked(out, ["size", "h"], order) if rank else out
 
 
 def verified_pairs(files: DataFrame, key: str = "id") -> DataFrame:
