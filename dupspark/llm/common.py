@@ -23,14 +23,17 @@ def work_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Options of a writer of long rows: their sizes are asked for row by row, or nearly so, else a hundred of them make one page.
+LONG_ROWS = {f"parquet.{kind}.size.row.check.{end}": n for kind in ("page", "block") for end, n in (("min", 1), ("max", 8))}
+
+
 def written(df: DataFrame, folder: str | None = None, group: int | None = None) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost no recomputation. group: bytes of a row group, for rows that are long: their sizes are asked for row by row then, else a hundred of them make one page."""
+    """df as a table in the shared folder: lineage ends there, and lost executors cost no recomputation. group: bytes of a row group, for rows that are long."""
     spark = df.sparkSession
     folder = folder or work_folder(spark)
     rows = df.write.mode("overwrite")
     if group:
-        checks = {f"parquet.{kind}.size.row.check.{end}": n for kind in ("page", "block") for end, n in (("min", 1), ("max", 8))}
-        rows = rows.options(**checks).option("parquet.block.size", group)
+        rows = rows.options(**LONG_ROWS).option("parquet.block.size", group)
     rows.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, MIX, bounded_batches, byte_blocks, runs, span_hashes, work_folder, written
+from .common import BASE, LONG_ROWS, MIX, bounded_batches, byte_blocks, runs, span_hashes, work_folder, written
 from .suffix_groups import lay_out, suffix_arrays
 
 WINDOW, GRAM = 50, 24
@@ -205,7 +205,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b"))
     table = f"text_blocks_{uuid.uuid4().hex}"
     cuts = rows.mapInArrow(cut, "block long, " + ", ".join(f"{c} binary" for c in Block.COLUMNS))
-    cuts.write.option("path", work_folder(spark)).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(table)
+    cuts.write.options(**LONG_ROWS).option("path", work_folder(spark)).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the name alone: found knows its files and buckets, which stay in the work folder
     return found
