@@ -66,9 +66,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, pattern: str, se
     """Writes one flat token file a task below folder, a separator after each text; returns (file, nth, doc_id), written too.
 
     A task writes under a name of its own attempt and renames at its end, so a task that runs again leaves the same file.
-    Null text is an empty document.
+    Null text is an empty document. The separator must be no token's id, and all ids must fit in `width` bytes.
     """
     bounded_batches(docs.sparkSession)
+    with open(vocabulary, "rb") as lines:
+        known = {int(line.split()[1]) for line in lines}
+    if separator in known or max([separator, *known]) >= 1 << 8 * width:
+        raise ValueError(f"separator {separator} is a token, or an id needs over {width} bytes")
 
     def run(batches):
         import base64
@@ -90,6 +94,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, pattern: str, se
                 yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), pa.array(np.arange(n, n + batch.num_rows)), batch.column(0)], ["file", "nth", "doc_id"])
                 n += batch.num_rows
         if n:
+            if fs.get_file_info(f"{top}/{name}").type != pyarrow.fs.FileType.NotFound:  # of an attempt before; not every store moves onto a file
+                fs.delete_file(f"{top}/{name}")
             fs.move(draft, f"{top}/{name}")
         else:
             fs.delete_file(draft)

@@ -428,6 +428,19 @@ def test_token_counts(spark, tmp_path, block):
     assert collected(got, "file", "nth", "first", "n_tokens") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("separator, width", [(5, 2), (65536, 2), (50256, 1)])
+def test_separators_that_cannot_be_told_are_refused(spark, tmp_path, separator, width):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with pytest.raises(ValueError, match="separator"):
+        token_counts.write_tokens(documents(spark), str(tmp_path), path, public_tokenizers.PATTERN, separator, width)
+
+
+def test_token_files_of_an_earlier_attempt_are_replaced(spark, tmp_path):
+    path, docs = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), documents(spark).coalesce(1)
+    first = [token_counts.write_tokens(docs, str(tmp_path), path, public_tokenizers.PATTERN, 50256).count() for _ in range(2)]
+    assert first == [docs.count()] * 2 and [p.name for p in tmp_path.iterdir()] == ["part-000000.bin"]
+
+
 def test_document_token_counts(spark):
     coder, path = tokenizer(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = documents(spark).repartition(3)
