@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches, byte_blocks, byte_column, plain_names, released, span_hashes, written
+from .common import bounded_batches, byte_blocks, byte_column, plain_names, released, span_hashes, trimmed, written
 
 #: Bytes of a block of texts and of a page of one text, which is cut where a token ends anyway. A fold costs the square of a
 #: word's length: words of more than LONG bytes are merged by merged(), which takes n log n steps and gives the same ids.
@@ -231,6 +231,16 @@ class RankMap:
         return F.expr(bound(f"named_struct({literals})", "m", f"transform({words}, w -> {fold})"))
 
 
+_LAST: list = []
+
+
+def fold_of_ranks(ranks: dict[bytes, int]) -> tuple[Column, tuple]:
+    """The fold over a column _words and the arguments of the tokens' pool, those of the last ranks if these are equal: a session builds the map once."""
+    if not _LAST or _LAST[0] != ranks:
+        _LAST[:] = [dict(ranks), RankMap.of(ranks), token_pool(ranks)]
+    return _LAST[1].fold("_words"), _LAST[2]
+
+
 def numbered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The place of one occurrence of each distinct word, each word's number among the distinct ones, and their hashes. Bytes decide, a hash only sorts."""
     hashes = span_hashes(data, starts, stops)
@@ -353,11 +363,13 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    fold = RankMap.of(ranks).fold("_words")
-    tokens = token_pool(ranks)
+    short = "spark.sql.maxPlanStringLength"  # the driver keeps every plan's description, and these hold the literal map
+    spark.conf.set(short, str(min(int(str(spark.conf.get(short)).rstrip("bB")), 1 << 16)))
+    fold, tokens = fold_of_ranks(ranks)
     words = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), tokens, fold, MOST)
     known, answers = (spark.sparkContext.broadcast(x) for x in ((words[:2], tokens[:2], char_classes()), (ranks, words[2:], tokens[3])))
     del words
+    trimmed()
 
     def cut(batches):
         pools, classes = [Pool(*x) for x in known.value[:2]], known.value[2]

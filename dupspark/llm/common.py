@@ -58,14 +58,19 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def trimmed() -> None:
+    """Gives this process's free memory back."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def released(work: Callable) -> Callable:
     """work(batches) for mapInArrow, whose worker gives free memory back after each task; one that is used again would keep it beside the next job's."""
 
     def run(batches):
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trimmed()
 
     return run
 
