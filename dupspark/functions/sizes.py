@@ -12,10 +12,10 @@ SUFFIXES = {"K": 1, "M": 2, "G": 3, "T": 4}
 _SIZE = r"^[ \t\n\x0B\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ \t\n\x0B\f\r]*(.?)"
 
 
-def human_size(size: Column) -> Column:
-    """Bytes as an integer below 1 KiB, else one decimal of the largest unit that leaves at least 1; ties go to the even digit."""
+def human_size(size: Column, largest: str = UNITS[-1]) -> Column:
+    """Bytes as an integer below 1 KiB, else one decimal of the largest unit, up to the one named, that leaves at least 1; ties go to the even digit."""
     out = F.concat(size.cast("bigint").cast("string"), F.lit(" B"))
-    for power in range(1, len(UNITS)):
+    for power in range(1, UNITS.index(largest) + 1):
         shown = F.bround(size.cast("double") / float(1024**power), 1).cast("decimal(20,1)").cast("string")
         out = F.when(size.cast("double") >= float(1024**power), F.concat(shown, F.lit(f" {UNITS[power]}"))).otherwise(out)
     return out

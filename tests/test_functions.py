@@ -15,6 +15,20 @@ def test_human_size(spark):
     assert {r.n: r.s for r in rows.select("n", human_size(F.col("n")).alias("s")).collect()} == SHOWN
 
 
+def test_human_size_up_to_a_unit(spark, tmp_path):
+    """The query shows TiB at most, as its SQL does, however large the keys grow."""
+    import duckdb
+
+    from dupspark.plans import registry
+
+    spark.range(1, 60_000_001, 999_983).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.queries()["human_sizes"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(registry.oracle_sql()["human_sizes"]).fetchall()) and got[-1][1] > 1 << 56
+    assert spark.range(1).select(human_size(F.lit(1 << 50), "TiB"), human_size(F.lit(1 << 50))).first()[:] == ("1024.0 TiB", "1.0 PiB")
+
+
 def test_parse_size(spark):
     assert {k: parse_size(k) for k in SIZES} == SIZES
     rows = spark.createDataFrame([(k,) for k in [*SIZES, None]], "t string")
