@@ -43,14 +43,17 @@ def neighbours(rows: DataFrame, k: str, previous: str = "prev_key", following: s
 
 
 def seek_many(rows: DataFrame, probes: DataFrame, k: str = "k") -> DataFrame:
-    """(probe, k): for every distinct probe the first key at or above it, null if there is none: one sort of both and a look ahead inside each part; what a part doesn't have is the least key of the parts after it."""
+    """(probe, k): for every distinct probe the first key at or above it, null if there is none: one sort of both, from the largest key down, and the last key seen inside each part; what a part doesn't have is the least key of the parts after it.
+
+    The frame ends at the probe: Spark carries such a one on from row to row, while it goes through all rows that are left for each row of a frame that is open ahead.
+    """
     kind = rows.schema[k].dataType
     both = rows.select(F.col(k).alias("k"), F.lit(False).alias("asks")).unionByName(probes.select(F.col(k).cast(kind).alias("k"), F.lit(True).alias("asks"))).where("k is not null")
     cut = parts(both, "k")
     own = F.when(~F.col("asks"), F.col("k"))
     edges = carried(cut, F.min(own), F.max(own), kind).drop("before")
-    ahead = Window.partitionBy(PART).orderBy("k", F.desc("asks")).rowsBetween(0, Window.unboundedFollowing)
-    found = cut.withColumn("near", F.first(own, ignorenulls=True).over(ahead)).where("asks").join(F.broadcast(edges), PART)
+    down = Window.partitionBy(PART).orderBy(F.desc("k"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.withColumn("near", F.last(own, ignorenulls=True).over(down)).where("asks").join(F.broadcast(edges), PART)
     return found.select(F.col("k").alias("probe"), F.coalesce("near", "after").alias("k")).distinct()
 
 
