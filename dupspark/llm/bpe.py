@@ -212,23 +212,26 @@ class RankMap:
     def fold(self, words: str) -> Column:
         """Ids of each word of an array<binary> column: one merge a step, of the leftmost pair of lowest rank, until no pair has a rank.
 
-        Both ends of a merge get new ranks; the ranks of all other pairs stay as they are.
+        Both ends of a merge get new ranks; the ranks of all other pairs stay as they are. Ranks stand between a null before
+        the first part and one after the last, so that the ends need no case of their own. Values are bound by a reduce
+        over one element, which hands them on as they are; a transform would copy them.
         """
-        bound = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+        bound = lambda value, zero, name, body: f"reduce(array({value}), {zero}, (z, {name}) -> {body})"
         literal = lambda values: f"cast(split('{','.join(map(str, values))}', ',') as array<int>)"
         tables = {"bytes": self.byte_ids, "pairs": self.pairs.tolist(), "shift": self.shift.tolist(), "owner": self.owner.tolist(), "joint": self.joint.tolist()}
         # get() is null before the first and past the last part, and so is the rank
-        joint = lambda x, y: bound(f"get(m.shift, {x}) + {y}", "cell", f"case when get(m.owner, cell) = {x} then get(m.joint, cell) end")
-        start = "transform(sequence(1, octet_length(w) * 2, 2), i -> (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)"
-        pair = "zip_with(raw, slice(raw, 2, size(raw)), (a, b) -> nullif(get(m.pairs, a * 256 + b), -1))"
-        first = bound("hex(w)", "h", bound(start, "raw", f"named_struct('parts', transform(raw, x -> get(m.bytes, x)), 'ranks', {pair})"))
-        left = f"case when p > 1 then array({joint('get(s.parts, p - 2)', 'best')}) else slice(s.ranks, 1, 0) end"
-        ranks = f"concat(slice(s.ranks, 1, greatest(p - 2, 0)), {left}, array({joint('best', 'get(s.parts, p + 1)')}), slice(s.ranks, p + 2, size(s.ranks)))"
-        merge = f"named_struct('parts', concat(slice(s.parts, 1, p - 1), array(best), slice(s.parts, p + 2, size(s.parts))), 'ranks', {ranks})"
-        step = bound("array_min(s.ranks)", "best", f"case when best is null then s else {bound('cast(array_position(s.ranks, best) as int)', 'p', merge)} end")
+        joint = lambda x, y: f"case when get(m.owner, get(m.shift, {x}) + {y}) = {x} then get(m.joint, get(m.shift, {x}) + {y}) end"
+        none = "cast(null as array<int>)"
+        raw = "transform(split(decode(w, 'ISO-8859-1'), ''), c -> ascii(c))"  # the bytes as numbers
+        pair = "transform(raw, (a, i) -> nullif(get(m.pairs, a * 256 + get(raw, i + 1)), -1))"
+        first = bound(raw, f"named_struct('parts', {none}, 'ranks', {none})", "raw", f"named_struct('parts', transform(raw, x -> get(m.bytes, x)), 'ranks', concat(array(cast(null as int)), {pair}))")
+        best, rest = "get(s.ranks, q - 1)", lambda name, at: f"slice(s.{name}, q + {at}, size(s.{name}))"
+        parts = f"concat(slice(s.parts, 1, q - 2), array({best}), {rest('parts', 1)})"
+        ranks = f"concat(slice(s.ranks, 1, q - 2), array({joint('get(s.parts, q - 3)', best)}, {joint(best, 'get(s.parts, q)')}), {rest('ranks', 2)})"
+        step = bound("cast(array_position(s.ranks, array_min(s.ranks)) as int)", "s", "q", f"case when q is null then s else named_struct('parts', {parts}, 'ranks', {ranks}) end")
         fold = f"reduce(sequence(1, octet_length(w)), {first}, (s, i) -> {step}, s -> s.parts)"
         literals = ", ".join(f"'{k}', {literal(v)}" for k, v in tables.items())
-        return F.expr(bound(f"named_struct({literals})", "m", f"transform({words}, w -> {fold})"))
+        return F.expr(bound(f"named_struct({literals})", "cast(null as array<array<int>>)", "m", f"transform({words}, w -> {fold})"))
 
 
 _LAST: list = []

@@ -367,6 +367,17 @@ def test_bpe(spark, most, block, page, monkeypatch):
     assert bpe.digests(empty(spark), RANKS).count() == 0 and bpe.encode(empty(spark), RANKS).count() == 0
 
 
+def test_a_fold_copies_nothing_and_equals_the_heap(spark):
+    """A transform over one element copies what it binds, and hex digits cost as much as a merge."""
+    fold = bpe.RankMap.of(RANKS).fold("_words")
+    assert not any(f"{f}(" in str(fold)[: 1 << 24] for f in ("element_at", "hex", "instr"))
+    words = [bytes([b]) for b in range(256)] + [bytes(range(k, 256, 7)) for k in range(7)] + ["ééé öäü 日本語".encode(), b"a" * 255, b" unbelievably", b"\r\n\r\n  "]
+    rows = spark.createDataFrame([(words[k::3],) for k in range(3)] + [([],), (None,)], "_words array<binary>")
+    got = rows.select("_words", fold.alias("ids")).collect()
+    assert sum(len(r.ids or []) for r in got) == len(words) and got[-1].ids is None
+    assert all(r.ids == [bpe.merged(bytes(w), RANKS) for w in r._words] for r in got[:-1])
+
+
 def test_bpe_of_very_long_texts_and_bytes_that_are_no_text(spark):
     rnd = random.Random(8)
     one = " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 5))) for _ in range(2_500_000))
