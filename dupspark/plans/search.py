@@ -74,8 +74,8 @@ def similar_images(spark: SparkSession, o: Options) -> DataFrame:
     """(pivot, others) of images nearer than the threshold."""
     sizes = some(listed(spark, o)).select(F.col("path").alias("id"), "size")
     plain = F.regexp_replace("path", "^file:/+", "/")
-    signed = images.read_signatures(spark, *map(os.path.abspath, o.roots)).select(plain.alias("id"), "v").join(sizes, "id", "left_semi")
-    return similar.stars(similar.pairs(signed, o.threshold), sizes)
+    signed = images.read_signatures(spark, *map(os.path.abspath, o.roots)).select(plain.alias("id"), "v").join(sizes.dropDuplicates(["id"]), "id")
+    return similar.stars(similar.pairs(signed, o.threshold, size="size"))
 
 
 def main(argv: list[str], spark: SparkSession | None = None, out=sys.stdout) -> int:

@@ -136,6 +136,33 @@ def test_similarity_sends_little_where_lengths_differ(spark):
     assert sent(units, 0.2) == 4096 * 64  # one band: every block meets every block
 
 
+def test_similarity_sends_no_more_of_a_vector_as_tables_grow(spark):
+    from pyspark.sql import functions as F
+
+    rows = lambda n: spark.range(n).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("v"), F.lit(2).alias("dim"))
+    assert [similar.dealt(rows(n), 0.6).count() for n in (1000, 40_000, 160_000)] == [1000, 40_000 * 16, 160_000 * 16]
+
+
+def test_sides_of_pairs_that_carry_their_sizes(spark, monkeypatch):
+    """The same pairs from small tiles and batches, for ids that are text, and no shuffle after the pairs."""
+    for name, value in (("TILE", (3, 5)), ("GAPS", 64), ("BATCH", 4)):
+        monkeypatch.setattr(similar, name, value)
+    rows = spark.range(60).selectExpr("concat('p', id) as id", "array(cast(1 + id % 4 as float), cast(id % 3 as float)) as v", "id % 5 as size")
+    sizes, found = rows.select("id", "size"), similar.pairs(rows, 0.3, block=16, size="size")
+    plain = similar.pairs(rows.select("id", F_double("v").alias("v")), 0.3, block=16)
+    assert found.columns == ["a", "b", "distance", "sa", "sb"] and plain.columns == ["a", "b", "distance"]
+    assert sorted(map(tuple, found.select("a", "b", "distance").collect())) == sorted(map(tuple, plain.collect()))
+    want = sorted((r.pivot, r.others) for r in similar.stars(plain, sizes).collect())
+    assert want and sorted((r.pivot, r.others) for r in similar.stars(found).collect()) == want
+    assert plan_of(similar.sided(found)).count("Exchange") == plan_of(found).count("Exchange")
+
+
+def F_double(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name).cast("array<double>")
+
+
 @pytest.fixture
 def many_parts(spark):
     """Range partitions of a few rows each."""
