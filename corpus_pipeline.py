@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dupspark.llm import bpe, exact_dedup, language_id, mixing, simhash
-from dupspark.llm.common import written
+from dupspark.llm.common import trimmed, written
 
 #: The vocabulary file is a parameter of the encoder; this is the one the pipeline uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,4 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            trimmed(spark)
     return docs

@@ -372,7 +372,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], text: str, keep: list[str],
     words = frequent_words(docs.select(F.col(text).cast("binary").alias("_b")), tokens, fold, MOST)
     known, answers = (spark.sparkContext.broadcast(x) for x in ((words[:2], tokens[:2], char_classes()), (ranks, words[2:], tokens[3])))
     del words
-    trimmed()
+    trimmed(spark)
 
     def cut(batches):
         pools, classes = [Pool(*x) for x in known.value[:2]], known.value[2]

@@ -58,8 +58,10 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def trimmed() -> None:
-    """Gives this process's free memory back."""
+def trimmed(spark: SparkSession | None = None) -> None:
+    """Gives this process's free memory back; with a session the driver's JVM collects too, which lets go of broadcasts and plans that nobody holds any more."""
+    if spark:
+        spark._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
