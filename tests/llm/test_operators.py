@@ -378,6 +378,19 @@ def test_a_fold_copies_nothing_and_equals_the_heap(spark):
     assert all(r.ids == [bpe.merged(bytes(w), RANKS) for w in r._words] for r in got[:-1])
 
 
+def test_a_fold_holds_a_word_in_one_array_and_takes_the_leftmost_of_equal_ranks(spark):
+    """A merge cuts and joins one array; ranks that no training would give, ties and splits of one token by the dozen, merge as the heap does."""
+    assert str(bpe.RankMap.of(RANKS).fold("_words")).count("slice(") == 3
+    rnd = random.Random(5)
+    for letters in ("a", "ab", "abc"):
+        longer = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(2, 5))).encode() for _ in range(40)})
+        tokens = [bytes([b]) for b in range(256)] + rnd.sample(longer, len(longer))
+        ranks = dict(zip(tokens, rnd.sample(range(900), len(tokens)), strict=True))
+        words = [w for n in range(1, 40) for _ in range(6) if (w := "".join(rnd.choice(letters) for _ in range(n)).encode()) not in ranks]
+        got = spark.createDataFrame([(words,)], "_words array<binary>").select(bpe.RankMap.of(ranks).fold("_words").alias("ids")).first().ids
+        assert got == [bpe.merged(w, ranks) for w in words]
+
+
 def test_bpe_of_very_long_texts_and_bytes_that_are_no_text(spark):
     rnd = random.Random(8)
     one = " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 5))) for _ in range(2_500_000))
