@@ -35,9 +35,17 @@ def written(df: DataFrame, folder: str | None = None, group: int | None = None)
     if group:
         rows = rows.options(**LONG_ROWS).option("parquet.block.size", group)
     rows.parquet(folder)
+    heap = driver_heap(spark)
+    if 2 * heap.totalMemory() > heap.maxMemory():  # many small jobs in a row fill a heap with garbage, which it then keeps from the system
+        trimmed(spark)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def driver_heap(spark: SparkSession):
+    """The driver's JVM, as it tells of its heap: totalMemory() is what it has taken from the system."""
+    return spark._jvm.java.lang.Runtime.getRuntime()
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with columns _c0, _c1, ... and the new name of each: names that an operator adds can't clash with them."""
     at = {c: f"_c{i}" for i, c in enumerate(df.columns)}

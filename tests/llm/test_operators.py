@@ -403,6 +403,18 @@ def test_bpe_of_very_long_texts_and_bytes_that_are_no_text(spark):
     assert collected(bpe.digests(odd, RANKS), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+def test_a_driver_whose_heap_is_over_half_collects_when_it_writes(spark, monkeypatch):
+    class Heap:
+        def __init__(self, now):
+            self.totalMemory, self.maxMemory = lambda: now, lambda: 750
+
+    freed = []
+    monkeypatch.setattr(common, "trimmed", freed.append)
+    for now, times in ((375, 0), (376, 1), (750, 2)):
+        monkeypatch.setattr(common, "driver_heap", lambda _, now=now: Heap(now))
+        assert common.written(spark.range(3)).count() == 3 and freed == [spark] * times
+
+
 def test_words_of_one_hash_stay_apart(monkeypatch):
     monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, stops: np.zeros(len(starts), np.uint64))
     text = b"one two six one two ab"
