@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -38,6 +39,8 @@ def written(df: DataFrame, folder: str | None = None, group: int | None = None)
     heap = driver_heap(spark)
     if 2 * heap.totalMemory() > heap.maxMemory():  # many small jobs in a row fill a heap with garbage, which it then keeps from the system
         trimmed(spark)
+    else:
+        native_trimmed(spark)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -46,6 +49,47 @@ def driver_heap(spark: SparkSession):
     return spark._jvm.java.lang.Runtime.getRuntime()
 
 
+def asked(spark: SparkSession, bean: str, operation: str, *values: str):
+    """What an operation of the driver's JVM on strings answers, by its management interface; None if it has no such operation."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+
+    def filled(kind, *items):
+        out = new(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    objects, text = jvm.java.lang.Object, "java.lang.String"
+    kinds = filled(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", text, "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    told = filled(objects, jvm.javax.management.ObjectName(f"com.sun.management:type={bean}"), operation, filled(objects, *values), filled(jvm.java.lang.String, *[text] * len(values)))
+    try:  # py4j finds methods by an object's own class, which is hidden here
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), told)
+    except Py4JJavaError:
+        return None
+
+
+def native_trimmed(spark: SparkSession) -> str | None:
+    """The driver's JVM gives free memory outside its heap, such as compilers and codecs leave, back to the system; None where it can't, which is no fault."""
+    return asked(spark, "DiagnosticCommand", "systemTrimNativeHeap")
+
+
+#: Percent of the heap that may stay free where the driver collects: at least, at most. A JVM's own are 40 and 70.
+FREE = {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "30"}
+
+
+def collected(spark: SparkSession) -> None:
+    """The driver's JVM collects, and gives back what of its heap it has no use for; its own ratios hold again afterwards."""
+    own = {flag: found.get("value") for flag in FREE if (found := asked(spark, "HotSpotDiagnostic", "getVMOption", flag)) is not None}
+    try:
+        for flag in own:
+            asked(spark, "HotSpotDiagnostic", "setVMOption", flag, FREE[flag])
+        spark._jvm.System.gc()
+    finally:
+        for flag in reversed(own):  # the least may never be above the most
+            asked(spark, "HotSpotDiagnostic", "setVMOption", flag, own[flag])
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with columns _c0, _c1, ... and the new name of each: names that an operator adds can't clash with them."""
     at = {c: f"_c{i}" for i, c in enumerate(df.columns)}
@@ -67,9 +111,10 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
 
 
 def trimmed(spark: SparkSession | None = None) -> None:
-    """Gives this process's free memory back; with a session the driver's JVM collects too, which lets go of broadcasts and plans that nobody holds any more."""
+    """Gives this process's free memory back; with a session the driver's JVM collects too, which lets go of broadcasts and plans that nobody holds any more, and gives back its own."""
     if spark:
-        spark._jvm.System.gc()
+        collected(spark)
+        native_trimmed(spark)
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import gc
 import hashlib
 import random
 import re
@@ -415,6 +416,20 @@ def test_a_driver_whose_heap_is_over_half_collects_when_it_writes(spark, monkeyp
         assert common.written(spark.range(3)).count() == 3 and freed == [spark] * times
 
 
+def test_a_driver_that_collects_gives_its_memory_back(spark):
+    heap, ratios = common.driver_heap(spark), lambda: [common.asked(spark, "HotSpotDiagnostic", "getVMOption", f).get("value") for f in common.FREE]
+    before, held = ratios(), spark._jvm.java.util.ArrayList()
+    for _ in range(200):
+        held.add(spark._jvm.java.nio.ByteBuffer.allocate(1 << 18))
+    spark._jvm.System.gc()
+    taken = heap.totalMemory()
+    held.retainAll(spark._jvm.java.util.ArrayList())
+    gc.collect()
+    common.trimmed(spark)
+    assert heap.freeMemory() < 0.4 * heap.totalMemory() < 0.4 * taken and ratios() == before
+    assert "Trim" in common.native_trimmed(spark) and common.asked(spark, "DiagnosticCommand", "noSuchOperation") is None
+
+
 def test_words_of_one_hash_stay_apart(monkeypatch):
     monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, stops: np.zeros(len(starts), np.uint64))
     text = b"one two six one two ab"
