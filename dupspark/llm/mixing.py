@@ -164,9 +164,10 @@ def mix(sizes: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     if quotas.count() > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     drawn = shard_ranges(spark, [(r.nth, r.quota) for r in quotas.orderBy("nth").collect()], seed)
-    drawn = drawn.join(quotas.select("nth", "blocks"), "nth").select("shard", "nth", "blocks", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("at"))
+    # Spark takes the runs and the draws in them for as few as the nodes they come from, and would broadcast all draws: the quotas alone are small
+    drawn = drawn.join(F.broadcast(quotas.select("nth", "blocks")), "nth").select("shard", "nth", "blocks", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("at"))
     drawn = drawn.select("shard", "nth", F.floor(F.col("at") / F.col("blocks")).alias("turn"), F.pmod("at", "blocks").alias("rank"), F.xxhash64(F.lit(seed + 2), "nth", "at").alias("key"))
-    shards = drawn.join(ranked, ["nth", "rank"]).select("shard", "key", "row", "doc_id", "nth", "block", "turn", "words")
+    shards = drawn.hint("merge").join(ranked, ["nth", "rank"]).select("shard", "key", "row", "doc_id", "nth", "block", "turn", "words")
     return written(shards.repartition("shard").sortWithinPartitions("shard", "key")), goals
 
 

@@ -586,6 +586,26 @@ def test_shards_are_shuffled_runs(spark, monkeypatch):
         assert keys == sorted(keys) and {n for _, n in keys} == {0, 1} and [n for _, n in keys] != sorted(n for _, n in keys)
 
 
+@pytest.mark.parametrize("sources", [2, 700])
+def test_draws_are_never_broadcast(spark, monkeypatch, sources):
+    """Neither the draws, which Spark takes for few, nor the runs that they come from, where there are more sources than nodes."""
+    plans, keep = [], mixing.written
+
+    def written(df):
+        if "turn" in df.columns:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return keep(df)
+
+    monkeypatch.setattr(mixing, "written", written)
+    monkeypatch.setattr(mixing, "SHARD", 50)
+    sizes = spark.createDataFrame([(i, i, f"s{i % sources}", 8, i) for i in range(1400)], "row long, doc_id long, source string, size long, mark long")
+    shards, _ = mixing.mix(sizes)
+    (plan,) = plans
+    assert abs(shards.count() - 2100) <= sources and "isFinalPlan=true" in plan
+    assert "SortMergeJoin" in plan and plan.count(" BroadcastHashJoin") == 1 and "BuildRight" in plan and "BuildLeft" not in plan
+
+
 # top-k
 
 
